@@ -15,37 +15,32 @@ from flowlens.schema import SEQUENCE_FEATURES
 
 def fit_flow_scaler(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, mean, std) rows: population std over non-NULL values, one aggregate."""
-    stats = F.array(*[
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.avg(F.col(c).cast("double")).alias("mean"),
-            F.stddev_pop(F.col(c).cast("double")).alias("std"),
-        )
-        for c in features
-    ])
-    return df.agg(stats.alias("s")).select(F.inline("s"))
+    stats = ", ".join(
+        f"named_struct('feature', '{c}', 'mean', avg(double(`{c}`)), 'std', stddev_pop(double(`{c}`)))" for c in features
+    )
+    return df.agg(F.expr(f"array({stats})").alias("s")).select(F.inline("s"))
 
 
 def _one_row(scaler: DataFrame, features: Sequence[str]) -> Column:
     """The scaler as one struct; its size is the number of features."""
-    picks = []
-    for c in features:
-        here = F.col("feature") == c
-        picks.append(F.max(F.when(here, F.col("mean"))).alias(f"mean_{c}"))
-        picks.append(F.max(F.when(here, F.when(F.col("std") == 0, 1.0).otherwise(F.col("std")))).alias(f"std_{c}"))
-    return scaler.agg(F.struct(*picks).alias("s")).scalar()
+    picks = ", ".join(
+        f"'mean_{c}', max(mean) filter (where feature = '{c}'), "
+        f"'std_{c}', max(if(std = 0, 1.0d, std)) filter (where feature = '{c}')"
+        for c in features
+    )
+    return scaler.agg(F.expr(f"named_struct({picks})").alias("s")).scalar()
 
 
 def apply_flow_scaler(
     df: DataFrame, scaler: DataFrame, features: Sequence[str], clamp: bool = False
 ) -> DataFrame:
     """Replace features by (x - mean) / std; a zero std divides by 1."""
-    scaled = df.withColumn("_s", _one_row(scaler, features))
-    out = {}
-    for c in features:
-        z = (F.col(c).cast("double") - F.col(f"_s.mean_{c}")) / F.col(f"_s.std_{c}")
-        out[c] = clamp_scaled(z) if clamp else z
-    return scaled.withColumns(out).drop("_s")
+    scaled = df.withColumn("_s", _one_row(scaler, features)).withColumns({
+        c: F.expr(f"(double(`{c}`) - _s.`mean_{c}`) / _s.`std_{c}`") for c in features
+    })
+    if clamp:
+        scaled = scaled.withColumns({c: clamp_scaled(c) for c in features})
+    return scaled.drop("_s")
 
 
 def scaled_ranges(df: DataFrame, scaler: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -160,7 +160,7 @@ def _(t):
         .when(F.col("packet_id") % 5 == 2, float("-inf")).otherwise(F.col("frame_len") / F.lit(7.0))
     )
     rows = t.packets.select("packet_id", v.alias("v"))
-    return r6(rows.select("packet_id", C.finite_or_zero(F.col("v")).alias("cleaned"), C.clamp_scaled(F.col("v")).alias("clamped")))
+    return r6(rows.select("packet_id", C.finite_or_zero(F.col("v")).alias("cleaned"), C.clamp_scaled("v").alias("clamped")))
 
 
 @query("prj_14_log_shift", """
