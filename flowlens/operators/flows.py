@@ -32,13 +32,14 @@ def build_flows(
     per_file: bool = False,
     label_domain: Sequence[str] | None = None,
     use_udp_ports: bool = False,
-    with_id: bool = False,
+    extra: dict[str, Column] | None = None,
     ts: str = "packet_ts",
 ) -> DataFrame:
     """One row per 5-tuple (and capture file): length, time, TTL, window statistics and label.
 
     One shuffle of partially aggregated rows. ``label_domain`` lists every label
-    that can occur; without it the label comes from ``mode``.
+    that can occur; without it the label comes from ``mode``. ``extra`` adds
+    aggregates, such as the lowest packet id as a row id.
     """
     keyed = packets.filter(F.col("ip_src").isNotNull() & F.col("ip_dst").isNotNull())
     # cleaned TCP ports are 0 on UDP rows
@@ -59,8 +60,7 @@ def build_flows(
         F.avg("tcp_window").alias("tcp_window_mean"),
         label.alias("label"),
     ]
-    if with_id:
-        aggs.append(F.min("packet_id").alias("first_packet_id"))
+    aggs += [column.alias(name) for name, column in (extra or {}).items()]
     return with_rates(keyed.groupBy(*key).agg(*aggs))
 
 

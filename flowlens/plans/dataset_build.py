@@ -37,7 +37,8 @@ def build_dataset(
         pending = pending_inputs(packets, processed, force)
     days = pending.select("capture_day").distinct()
     clean = clean_packets(apply_labels(packets.join(days, "capture_day", "left_semi"), attack_log))
-    flows = build_flows(clean, per_file=True, label_domain=label_domain(attack_log), with_id=True)
+    row_id = {"first_packet_id": F.min("packet_id")}
+    flows = build_flows(clean, per_file=True, label_domain=label_domain(attack_log), extra=row_id)
     write_by_day(with_row_index(flows, FLOW_KEY), f"{out}/flows")
     vectors = cap_per_file(window_vectors(clean, size, stride, per_file=True))
     write_by_day(vectors.withColumnRenamed("seq_idx", "row_idx"), f"{out}/sequences")

@@ -6,9 +6,8 @@ can use them unchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowlens.schema import FLOW_KEY
 from flowlens.session import configure
 
 PACKET_COLUMNS = {
@@ -59,17 +58,15 @@ def attack_log(spark: SparkSession) -> DataFrame:
     return spark.sql(f"select * from values {rows} as t(log_id, start_ts, end_ts, target_ip, attack_type)")
 
 
-def scored_flows(packets_df: DataFrame, per_file: bool = False) -> DataFrame:
+def packet_ids() -> dict[str, Column]:
+    """Extra flow aggregates the fixture scores and row ids come from."""
+    return {"first_packet_id": F.min("packet_id"), "last_packet_id": F.max("packet_id")}
+
+
+def with_scores(flows: DataFrame) -> DataFrame:
     """Deterministic stage scores per flow, for triage and evaluation without a model."""
-    key = [*(["capture_day", "capture_file"] if per_file else []), *FLOW_KEY]
-    first, last = F.min("packet_id"), F.max("packet_id")
-    return (
-        packets_df.filter(F.col("ip_src").isNotNull() & F.col("ip_dst").isNotNull())
-        .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("tcp_srcport", "tcp_dstport")})
-        .groupBy(*key)
-        .agg(
-            ((first * 7919 + 104729) % 1000 / F.lit(1000.0)).alias("x_score"),
-            F.when(first % 11 == 0, None)
-            .otherwise((last * 6101 + 224737) % 1000 / F.lit(1000.0)).alias("t_score"),
-        )
-    )
+    first, last = F.col("first_packet_id"), F.col("last_packet_id")
+    return flows.withColumns({
+        "x_score": (first * 7919 + 104729) % 1000 / F.lit(1000.0),
+        "t_score": F.when(first % 11 != 0, (last * 6101 + 224737) % 1000 / F.lit(1000.0)),
+    })

@@ -337,6 +337,7 @@ def _(t):
     select round(a, 9) as train_accuracy, round(b, 9) as test_accuracy, round(abs(a - b), 9) as gap from (
       select avg((label = pred_label)::int) filter (split = 'train') as a, avg((label = pred_label)::int) filter (split = 'test') as b from s)""", GUESSED)
 def _(t):
+    t.store("file_scored").__dict__["file_flows"] = t.file_scored
     sides = t.split_rows.select("capture_file", "first_packet_id", "split")
     rows = guessed(t).join(sides, ["capture_file", "first_packet_id"])
     return r6(E.accuracy_gap(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "label", "pred_label"), digits=9)

@@ -17,6 +17,7 @@ from flowlens.operators.triage import batch_triage
 from flowlens.plans import fixtures
 from flowlens.plans.oracle import with_base
 from flowlens.schema import FLOW_KEY
+from flowlens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,7 +55,9 @@ class Tables:
 
     @cached_property
     def file_flows(self) -> DataFrame:
-        return build_flows(self.clean, per_file=True, label_domain=self.domain, with_id=True)
+        ids = fixtures.packet_ids()
+        del ids["last_packet_id"]
+        return build_flows(self.clean, per_file=True, label_domain=self.domain, extra=ids)
 
     @cached_property
     def file_windows(self) -> DataFrame:
@@ -73,12 +76,13 @@ class Tables:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return self.flows.join(fixtures.scored_flows(self.clean), FLOW_KEY)
+        return fixtures.with_scores(build_flows(self.clean, label_domain=self.domain, extra=fixtures.packet_ids()))
 
     @cached_property
     def file_scored(self) -> DataFrame:
-        key = ["capture_day", "capture_file", *FLOW_KEY]
-        return self.file_flows.join(fixtures.scored_flows(self.clean, per_file=True), key)
+        return fixtures.with_scores(
+            build_flows(self.clean, per_file=True, label_domain=self.domain, extra=fixtures.packet_ids())
+        )
 
     @cached_property
     def triaged(self) -> DataFrame:
@@ -92,6 +96,16 @@ class Tables:
     def split_rows(self) -> DataFrame:
         return stratified_split(self.file_flows, ["first_packet_id"], ROW_KEY())
 
+    def store(self, *names: str) -> "Tables":
+        """Write the named tables once; everything built on them afterwards reads the copy.
+
+        For queries that use a table on several branches, which would otherwise
+        go back to the packets each time.
+        """
+        for name in names:
+            self.__dict__[name] = materialize(getattr(self, name), name)
+        return self
+
     @cached_property
     def files(self) -> DataFrame:
         return self.file_flows.groupBy("capture_day", "capture_file").agg(F.count(F.lit(1)).alias("n"))

@@ -245,6 +245,7 @@ def _(t):
 @query("smp_06_golden_sequences", """
     select s.capture_file, s.row_idx, s.label from seqs s join golden g using (capture_file)""")
 def _(t):
+    t.store("file_flows", "file_windows")
     return SP.golden_set(t.seqs, golden(t)).select("capture_file", "row_idx", "label")
 
 
@@ -261,6 +262,7 @@ def _(t):
     where case when by_index then hit else r <= greatest(1, floor(n * 0.15e0)) end""")
 def _(t):
     """Test rows come from the head of each file, except one capture per day whose indices run past its sequences."""
+    t.store("file_flows", "file_windows")
     tested = t.indexed_flows.join(
         t.split_rows.filter("split = 'test'").select("capture_file", "first_packet_id"), ["capture_file", "first_packet_id"]
     ).filter((F.col("row_idx") < 40) | F.col("capture_file").endswith("-1"))

@@ -217,6 +217,7 @@ def _(t):
     select f.capture_file, f.row_idx, f.ip_src, f.ip_dst, f.label, s.ip_src as ip_src_seq, s.win, s.label as label_seq
     from indexed_flows f join seqs s on f.capture_file = s.capture_file and f.row_idx = s.row_idx""")
 def _(t):
+    t.store("file_flows", "file_windows")
     return J.positional_join(t.indexed_flows, t.seqs).select(
         "capture_file", "row_idx", "ip_src", "ip_dst", "label", "ip_src_seq", "win", "label_seq"
     )
@@ -253,6 +254,7 @@ def _(t):
       select 1 from indexed_flows f join split_rows r using (capture_file, first_packet_id)
       where r.split = 'test' and f.capture_file = s.capture_file and f.row_idx = s.row_idx)""")
 def _(t):
+    t.store("file_flows", "file_windows")
     tested = t.indexed_flows.join(
         t.split_rows.filter("split = 'test'").select("capture_file", "first_packet_id"), ["capture_file", "first_packet_id"]
     )
@@ -598,12 +600,13 @@ def readiness_checks(t: Tables):
       count(*) filter (status = 'fail') as failed, round(count(*) filter (status = 'pass') * 100.0e0 / count(*), 6) as score from checks""",
     {"checks": READINESS_SQL})
 def _(t):
+    t.store("file_flows", "flows")
     return r6(A.readiness(readiness_checks(t)))
 
 
 @query("agg_27_readiness_checks", "select check_name, status from checks", {"checks": READINESS_SQL})
 def _(t):
-    return readiness_checks(t)
+    return readiness_checks(t.store("file_flows", "flows"))
 
 
 @query("agg_28_severe_imbalance", """
