@@ -66,6 +66,14 @@ def clean_packets(df: DataFrame) -> DataFrame:
     return typed.withColumn("payload_ratio", payload_ratio("frame_len"))
 
 
+def with_packet_id(packets: DataFrame) -> DataFrame:
+    """Add ``packet_id`` from the row's content, to order packets of equal time repeatably.
+
+    Equal rows share an id; they are interchangeable.
+    """
+    return packets.withColumn("packet_id", F.xxhash64(*[F.col(c) for c in packets.columns]))
+
+
 def protocol_name(proto: Column | str) -> Column:
     col = F.col(proto) if isinstance(proto, str) else proto
     chain = None

@@ -23,9 +23,11 @@ def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def long_form(df: DataFrame, ids: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """(ids, feature, value) rows with a double value; NULL values are left out."""
+    """(ids, feature, value) rows with a double value; NULL and NaN values are left out."""
     doubles = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in values])
-    return doubles.unpivot(list(ids), list(values), "feature", "value").filter(F.col("value").isNotNull())
+    return doubles.unpivot(list(ids), list(values), "feature", "value").filter(
+        F.col("value").isNotNull() & ~F.isnan("value")
+    )
 
 
 def value_counts(df: DataFrame, group: Sequence[str], value: str = "value") -> DataFrame:
@@ -115,14 +117,18 @@ def label_means(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r of every pair below the diagonal, pairwise complete, in one aggregate."""
+    """Pearson r of every pair below the diagonal, pairwise complete.
+
+    Column pairs become rows keyed by a pair number and are combined before the
+    shuffle; one wide aggregate would have too many buffer fields for generated code.
+    """
     pairs = [(b, a) for a, b in combinations(columns, 2)]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
-    entries = F.array(*[
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"`{a}|{b}`").alias("r"))
-        for a, b in pairs
-    ])
-    return row.select(F.inline(entries))
+    rows = ", ".join(
+        f"named_struct('pair', {i}, 'x', double(`{a}`), 'y', double(`{b}`))" for i, (a, b) in enumerate(pairs)
+    )
+    names = ", ".join(f"named_struct('feature_a', '{a}', 'feature_b', '{b}')" for a, b in pairs)
+    found = df.select(F.expr(f"inline(array({rows}))")).groupBy("pair").agg(F.corr("x", "y").alias("r"))
+    return found.select(F.expr(f"array({names})[pair]").alias("p"), "r").select("p.feature_a", "p.feature_b", "r")
 
 
 def redundant_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0.95) -> DataFrame:

@@ -6,7 +6,7 @@ row values, so a rerun or a recomputed task picks the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -32,10 +32,31 @@ def _ranked(
     return sliced_row_number(keyed, "_rank", group, ["_key", *ids], ["_slice"], count_as).drop("_slice")
 
 
+def _first_rows(keyed: DataFrame, ids: Sequence[str], want: Callable[[Column], Column]) -> Column:
+    """Condition that holds for the first ``want(total)`` rows by (_key, ids).
+
+    Counts per key (at most KEY_SPACE rows) locate the key in which the quota
+    ends; only the rows of that key are ordered, to find the last row that fits.
+    All other rows are decided by a comparison, without a shuffle.
+    """
+    per_key = keyed.groupBy("_key", "_slice").agg(F.count(F.lit(1)).alias("_own"))
+    upto = running_sums(per_key, {"_upto": "_own"}, [], ["_key"], ["_slice"], totals=True)
+    before, quota = F.col("_upto") - F.col("_own"), want(F.col("_upto_total"))
+    edge = upto.filter((quota > before) & (quota <= F.col("_upto"))).select(
+        F.struct(F.col("_key").alias("key"), (quota - before).alias("need")).alias("e")
+    )
+    near = keyed.withColumn("_edge", edge.scalar()).filter(F.col("_key") == F.col("_edge.key"))
+    order = Window.partitionBy("_key").orderBy(*ids)
+    row_key = F.struct("_key", *ids)
+    last = near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") == F.col("_edge.need"))
+    return F.coalesce(row_key <= last.select(row_key.alias("k")).scalar(), F.lit(False))
+
+
 def sample_rows(df: DataFrame, n: int, ids: Sequence[str], key: Column | None = None, seed: int = SEED) -> DataFrame:
-    """Exactly ``n`` rows (all, if there are fewer) by sampling key."""
-    ranked = _ranked(df, [], ids, key, seed)
-    return ranked.filter(F.col("_rank") <= n).drop("_rank", "_key")
+    """Exactly ``n`` rows (all, if there are fewer) by sampling key; ``ids`` identify a row."""
+    keyed = _ordered(df, ids, key, seed)
+    taken = _first_rows(keyed, ids, lambda total: F.least(F.lit(n), total))
+    return keyed.filter(taken).drop("_key", "_slice")
 
 
 def first_files(flows: DataFrame, n: int) -> DataFrame:
@@ -57,12 +78,12 @@ def attack_priority(
 ) -> DataFrame:
     """Every attack-bearing file, then shuffled benign files until ``max_total`` rows.
 
-    The running total is over one row per file.
+    The running total is over one row per file, sliced by key.
     """
     files = file_classes(flows).withColumn(
         "_key", (file_key if file_key is not None else hash_key(seed, "capture_file")).cast("bigint")
-    ).withColumn("_benign", (~F.col("has_attack")).cast("int"))
-    loaded = running_sums(files, {"_upto": "n"}, [], ["_benign", "_key", "capture_file"])
+    ).withColumns({"_benign": (~F.col("has_attack")).cast("int"), "_slice": key_slice("_key")})
+    loaded = running_sums(files, {"_upto": "n"}, [], ["_key", "capture_file"], ["_benign", "_slice"])
     kept = loaded.filter(F.col("has_attack") | (F.col("_upto") - F.col("n") < max_total))
     return flows.join(kept.select("capture_file"), "capture_file", "left_semi")
 
@@ -165,7 +186,8 @@ def evaluation_quota(
     keyed = files.withColumn(
         "_key", (file_key if file_key is not None else hash_key(seed, "capture_file")).cast("bigint")
     )
-    upto = running_sums(keyed, {"_upto": "n"}, [], ["_key", "capture_file"])
+    sliced = keyed.withColumn("_slice", key_slice("_key"))
+    upto = running_sums(sliced, {"_upto": "n"}, [], ["_key", "capture_file"], ["_slice"])
     take = F.least(F.col("n"), F.lit(limit) - (F.col("_upto") - F.col("n")))
     return (
         upto.withColumn("take", take).filter(F.col("take") > 0)
@@ -190,10 +212,9 @@ def permutation_split(
     df: DataFrame, ids: Sequence[str], fraction: float = 0.9, key: Column | None = None, seed: int = SEED
 ) -> DataFrame:
     """Exact train/eval split of a permutation: the first ``int(fraction * n)`` rows train."""
-    ranked = _ranked(df, [], ids, key, seed, count_as="_n")
-    return ranked.withColumn(
-        "split", F.when(F.col("_rank") <= F.floor(F.col("_n") * F.lit(fraction)), "train").otherwise("eval")
-    ).drop("_rank", "_key", "_n")
+    keyed = _ordered(df, ids, key, seed)
+    trains = _first_rows(keyed, ids, lambda total: F.floor(total * F.lit(fraction)))
+    return keyed.withColumn("split", F.when(trains, "train").otherwise("eval")).drop("_key", "_slice")
 
 
 def mixed_batches(

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Thresholds of the two rules.
+# Verdict texts and thresholds of the two rules.
+ATTACK_LOUD = "ATTACK (Loud)"
+ATTACK_STEALTH = "ATTACK (Stealth - Transformer Verified)"
+BENIGN_VERIFIED = "BENIGN (Transformer Verified)"
+ATTACK_FLOW = "ATTACK (XGBoost)"
+BENIGN_FLOW = "BENIGN (XGBoost)"
 LOUD = 0.9
 UNSURE_LOW, UNSURE_HIGH = 0.4, 0.6
 STEALTH_RATE = 5.0
@@ -34,11 +39,11 @@ def row_cascade(df: DataFrame, x: str = "x_score", t: str = "t_score") -> DataFr
     blended = ts * WEIGHT_T + xs * WEIGHT_X
     return df.withColumn("final_score", F.when(verify, blended).otherwise(xs)).withColumn(
         "verdict",
-        F.when(xs > LOUD, "ATTACK (Loud)")
-        .when(verify & (blended > 0.5), "ATTACK (Stealth - Transformer Verified)")
-        .when(verify, "BENIGN (Transformer Verified)")
-        .when(xs > 0.5, "ATTACK (XGBoost)")
-        .otherwise("BENIGN (XGBoost)"),
+        F.when(xs > LOUD, ATTACK_LOUD)
+        .when(verify & (blended > 0.5), ATTACK_STEALTH)
+        .when(verify, BENIGN_VERIFIED)
+        .when(xs > 0.5, ATTACK_FLOW)
+        .otherwise(BENIGN_FLOW),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.functions.cleaning import clean_packets
+from flowlens.functions.cleaning import clean_packets, with_packet_id
 from flowlens.operators.flows import build_flows
 from flowlens.operators.joins import with_row_index
 from flowlens.operators.labels import apply_labels, label_domain
@@ -25,11 +25,15 @@ def build_dataset(
 ) -> DataFrame:
     """Write ``out/flows`` and ``out/sequences`` by day for captures not yet built.
 
-    ``packets`` carries capture_day, capture_file and packet_id. Days are
-    replaced whole, so a pending file brings its day along. Returns the status
-    per capture.
+    ``packets`` carries capture_day and capture_file; a packet_id is derived
+    where absent. Days are replaced whole, so a pending file brings its day
+    along. Returns the status per capture.
     """
     configure(packets.sparkSession)
+    if "packet_ts" not in packets.columns:
+        packets = clean_packets(packets)
+    if "packet_id" not in packets.columns:
+        packets = with_packet_id(packets)
     key = ["capture_day", "capture_file"]
     if processed is None:
         pending = packets.select(*key).distinct()

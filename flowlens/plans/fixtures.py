@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens.session import configure
 
+EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
 PACKET_COLUMNS = {
     "packet_id": "event_id",
     "capture_day": "concat('D', lpad(cast(cast(floor((extract(day from ts) - 1) / 3) as int) as string), 2, '0'))",
@@ -44,9 +46,14 @@ def packets_of(events: DataFrame) -> DataFrame:
     return events.selectExpr(*[f"{expr} as {name}" for name, expr in PACKET_COLUMNS.items()])
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declared schema spares the job that would infer it."""
+    return spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+
+
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return packets_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return packets_of(events(spark, sf_dir))
 
 
 def attack_log(spark: SparkSession) -> DataFrame:

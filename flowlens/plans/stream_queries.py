@@ -6,16 +6,14 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.cleaning import clean_packets
 from flowlens.operators.labels import apply_labels
-from flowlens.plans.fixtures import packets_of
+from flowlens.plans.fixtures import EVENT_SCHEMA, events, packets_of
 from flowlens.plans.registry import Tables, query
-from flowlens.schema import FLOW_KEY
 from flowlens.session import scratch_path
 from flowlens.streaming import packets as ST
 
 
 def _events(t: Tables):
-    schema = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
-    return ST.event_stream(t.spark, t.sf_dir, schema)
+    return ST.event_stream(t.spark, t.sf_dir, EVENT_SCHEMA)
 
 
 def _finish(t: Tables, stream, name):
@@ -75,10 +73,10 @@ def _(t):
     Lateness is judged by the mark of the batch before, so the other rows arrive
     in two batches.
     """
-    events = t.spark.read.parquet(f"{t.sf_dir}/events.parquet")
+    rows = events(t.spark, t.sf_dir)
     folder = scratch_path(t.spark, "arrivals")
     arrivals = ["event_id % 10 between 1 and 8", "event_id % 10 = 9", "event_id % 10 = 0"]
-    for part in map(events.filter, arrivals):
+    for part in map(rows.filter, arrivals):
         part.coalesce(1).write.mode("append").parquet(folder)
-    stream = ST.event_stream(t.spark, folder, events.schema, "*.parquet", files_per_batch=1)
+    stream = ST.event_stream(t.spark, folder, EVENT_SCHEMA, "*.parquet", files_per_batch=1)
     return _finish(t, ST.minute_counts(packets_of(stream)), "late")

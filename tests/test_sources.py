@@ -71,3 +71,18 @@ def test_day_overwrite_leaves_other_days(spark, tmp_path):
     D.write_by_day(df, path)
     D.write_by_day(df.filter("v = 3"), path)
     assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [1, 3]
+
+
+def test_build_from_capture_text(spark, tables, tmp_path):
+    from flowlens.plans.io_queries import capture_text
+
+    path, out = str(tmp_path / "csv"), str(tmp_path / "out")
+    PK.write_packets(capture_text(tables), path, partitions=["capture_day", "capture_file"])
+    build_dataset(PK.read_packets(spark, path), tables.log, out, size=20, stride=5)
+    built = spark.read.parquet(f"{out}/flows")
+    key = ["capture_file", "ip_src", "ip_dst", "ip_proto", "tcp_srcport", "tcp_dstport", "frame_len_count", "label"]
+    whole = lambda df: sorted(tuple(str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df.select(*key).collect())
+    assert whole(built) == whole(tables.file_flows)
+    vectors = spark.read.parquet(f"{out}/sequences")
+    assert vectors.groupBy("capture_file").count().count() == 50
+    assert vectors.filter(F.size("sequence_features") != 180).count() == 0
