@@ -1,87 +1,90 @@
-"""The 43 flow features, in model order, as column expressions."""
+"""The 43 flow features, in model order, as SQL expressions over two projections."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from flowlens.functions.cleaning import finite_or_zero
 from flowlens.schema import SERVICE_PORTS, USUAL_TTLS
 
+# NULL-free inputs of the features
+BASE = {
+    "packet_count": "coalesce(double(frame_len_count), 0d)",
+    "total_bytes": "coalesce(double(frame_len_sum), 0d)",
+    "avg_packet_size": "coalesce(double(frame_len_mean), 0d)",
+    "packet_size_std": "coalesce(double(frame_len_std), 0d)",
+    "ttl_mean": "coalesce(double(ip_ttl_mean), 0d)",
+    "window_size_mean": "coalesce(double(tcp_window_mean), 0d)",
+    "flow_duration": "coalesce(double(flow_duration_sec), 0d)",
+    "packet_rate": "coalesce(double(packet_rate), 0d)",
+}
+PORTS = {
+    "_proto": "coalesce(int(ip_proto), 0)",
+    "_sport": "coalesce(int(tcp_srcport), 0)",
+    "_dport": "coalesce(int(tcp_dstport), 0)",
+}
+THROUGHPUT = "total_bytes / if(flow_duration = 0, 0.001d, flow_duration)"
+FLAGS = {
+    "is_single_packet": "packet_count = 1",
+    "is_micro_flow": "packet_count <= 5",
+    "is_large_flow": "packet_count > 100",
+    "is_small_payload": "avg_packet_size < 100",
+    "proto_tcp": "_proto = 6",
+    "proto_udp": "_proto = 17",
+    "proto_icmp": "_proto = 1",
+    "proto_other": "_proto not in (6, 17, 1)",
+    **{f"dst_is_{service}": f"_dport in ({', '.join(map(str, ports))})" for service, ports in SERVICE_PORTS.items()},
+    "src_ephemeral": "_sport > 1024",
+    "dst_ephemeral": "_dport > 1024",
+    "both_ephemeral": "_sport > 1024 and _dport > 1024",
+    "low_ttl": "ttl_mean < 32",
+    # bround is half-even, which decides 63.5 and 64.5
+    "unusual_ttl": f"bround(ttl_mean, 0) not in ({', '.join(f'{t}d' for t in USUAL_TTLS)})",
+    "zero_window": "window_size_mean = 0",
+    "large_window": "window_size_mean > 60000",
+}
+VALUES = {
+    "log_packet_count": "log1p(packet_count)",
+    "log_total_bytes": "log1p(total_bytes)",
+    "log_packet_rate": "log1p(packet_rate)",
+    "log_duration": "log1p(flow_duration)",
+    "bytes_per_sec": THROUGHPUT,
+    "log_bytes_per_sec": f"log1p(least({THROUGHPUT}, 1e9d))",
+    "packet_size_cv": "least(packet_size_std / if(avg_packet_size = 0, 0.001d, avg_packet_size), 100d)",
+    "dstport_value": "double(least(_dport, 65535))",
+    "srcport_value": "double(least(_sport, 65535))",
+    "bytes_x_packets": "log1p(total_bytes * packet_count)",
+    "rate_x_size": "packet_rate * avg_packet_size / 1e6d",
+}
+# The model's feature order.
+ORDER = [
+    *BASE,
+    "log_packet_count", "log_total_bytes", "log_packet_rate", "log_duration",
+    "bytes_per_sec", "log_bytes_per_sec", "packet_size_cv",
+    "is_single_packet", "is_micro_flow", "is_large_flow", "is_small_payload",
+    "proto_tcp", "proto_udp", "proto_icmp", "proto_other",
+    *[f"dst_is_{service}" for service in SERVICE_PORTS],
+    "src_ephemeral", "dst_ephemeral", "both_ephemeral", "dstport_value", "srcport_value",
+    "low_ttl", "unusual_ttl", "zero_window", "large_window", "bytes_x_packets", "rate_x_size",
+]
 
-def _num(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
-
-
-def _flag(condition: Column) -> Column:
-    return condition.cast("int").cast("double")
-
-
-def _nonzero(value: Column) -> Column:
-    return F.when(value == 0, F.lit(0.001)).otherwise(value)
 
+def feature_names() -> list[str]:
+    return list(ORDER)
 
-def feature_columns() -> dict[str, Column]:
-    """Feature name to expression over a flow row; dict order is the model's order."""
-    packets, size = _num("frame_len_count"), _num("frame_len_sum")
-    mean, std = _num("frame_len_mean"), _num("frame_len_std")
-    ttl, window = _num("ip_ttl_mean"), _num("tcp_window_mean")
-    duration, rate = _num("flow_duration_sec"), _num("packet_rate")
-    proto = F.coalesce(F.col("ip_proto").cast("int"), F.lit(0))
-    sport = F.coalesce(F.col("tcp_srcport").cast("int"), F.lit(0))
-    dport = F.coalesce(F.col("tcp_dstport").cast("int"), F.lit(0))
-    throughput = size / _nonzero(duration)
 
-    feats = {
-        "packet_count": packets,
-        "total_bytes": size,
-        "avg_packet_size": mean,
-        "packet_size_std": std,
-        "ttl_mean": ttl,
-        "window_size_mean": window,
-        "flow_duration": duration,
-        "packet_rate": rate,
-        "log_packet_count": F.log1p(packets),
-        "log_total_bytes": F.log1p(size),
-        "log_packet_rate": F.log1p(rate),
-        "log_duration": F.log1p(duration),
-        "bytes_per_sec": throughput,
-        "log_bytes_per_sec": F.log1p(F.least(throughput, F.lit(1e9))),
-        "packet_size_cv": F.least(std / _nonzero(mean), F.lit(100.0)),
-        "is_single_packet": _flag(packets == 1),
-        "is_micro_flow": _flag(packets <= 5),
-        "is_large_flow": _flag(packets > 100),
-        "is_small_payload": _flag(mean < 100),
-        "proto_tcp": _flag(proto == 6),
-        "proto_udp": _flag(proto == 17),
-        "proto_icmp": _flag(proto == 1),
-        "proto_other": _flag(~proto.isin(6, 17, 1)),
-    }
-    for service, ports in SERVICE_PORTS.items():
-        feats[f"dst_is_{service}"] = _flag(dport.isin(*ports))
-    feats |= {
-        "src_ephemeral": _flag(sport > 1024),
-        "dst_ephemeral": _flag(dport > 1024),
-        "both_ephemeral": _flag((sport > 1024) & (dport > 1024)),
-        "dstport_value": F.least(dport, F.lit(65535)).cast("double"),
-        "srcport_value": F.least(sport, F.lit(65535)).cast("double"),
-        "low_ttl": _flag(ttl < 32),
-        "unusual_ttl": _flag(~F.bround(ttl, 0).isin(*[float(t) for t in USUAL_TTLS])),
-        "zero_window": _flag(window == 0),
-        "large_window": _flag(window > 60000),
-        "bytes_x_packets": F.log1p(size * packets),
-        "rate_x_size": rate * mean / F.lit(1e6),
-    }
-    return feats
+def _feature(name: str) -> str:
+    """NULL, NaN and infinities end as 0; flags never need the test."""
+    if name in FLAGS:
+        return f"double({FLAGS[name]}) as {name}"
+    value = VALUES.get(name, name)
+    return f"if(abs({value}) < double('inf'), {value}, 0d) as {name}"
 
 
 def engineer_features(flows: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns followed by the 43 features; one projection, no shuffle.
+    """``keep`` columns followed by the 43 features; projections only, no shuffle.
 
     ``packet_rate`` exists on both sides and is replaced by its feature.
     """
     keep = [c for c in (keep or []) if c != "packet_rate"]
-    return flows.select(*keep, *[finite_or_zero(c).alias(n) for n, c in feature_columns().items()])
-
-
-def feature_names() -> list[str]:
-    return list(feature_columns())
+    inputs = [f"{expr} as {name}" for name, expr in (BASE | PORTS).items()]
+    return flows.selectExpr(*keep, *inputs).selectExpr(*keep, *map(_feature, ORDER))
