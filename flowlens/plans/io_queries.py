@@ -63,7 +63,10 @@ def _(t):
     PK.write_packets(text.filter("capture_day >= 'D05'").drop("frame_time_epoch"), untimed, partitions=["capture_day"])
     rows, manifest = PK.read_folders(t.spark, [timed, untimed])
     counts = rows.groupBy("source_folder").agg(F.count(F.lit(1)).alias("n"))
-    return manifest.join(counts, "source_folder", "left").select("status", F.coalesce("n", F.lit(0)).alias("packets"))
+    seen = manifest.select("source_folder", "status", F.lit(0).cast("bigint").alias("n")).unionByName(
+        counts.select("source_folder", F.lit(None).cast("string").alias("status"), "n")
+    )
+    return seen.groupBy("source_folder").agg(F.max("status").alias("status"), F.sum("n").alias("packets")).drop("source_folder")
 
 
 @query("src_04_discovery", """
