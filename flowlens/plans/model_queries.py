@@ -142,11 +142,12 @@ def _(t):
 
 
 @query("scl_04_scaled_sequences", """
-    select ip_src, ip_dst, win, round(sum((v - mean) / case when std = 0 then 1 else std end)
-      + (200 * 9 - count(*)) / 9 * (select sum(-mean / case when std = 0 then 1 else std end) from seq_scaler), 2) + 0.0e0 as scaled_sum
+    select ip_src, ip_dst, win, round(sum(cast(cast((v - mean) / case when std = 0 then 1 else std end as float) as double))
+      + (200 * 9 - count(*)) / 9 * (select sum(cast(cast(-mean / case when std = 0 then 1 else std end as float) as double))
+          from seq_scaler), 2) + 0.0e0 as scaled_sum
     from window_steps join seq_scaler using (feature_idx) group by 1, 2, 3""", SEQ_SCALER)
 def _(t):
-    """Sum of every scaled vector; padding steps count with the value of a scaled zero."""
+    """Sum of every scaled vector, of 32-bit values; padding steps count with the value of a scaled zero."""
     vectors = S.window_vectors(t.clean)
     scaled = SC.apply_sequence_scaler(vectors, SC.fit_sequence_scaler(vectors))
     total = F.aggregate("sequence_features", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
