@@ -93,9 +93,12 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.count(F.lit(1)).alias("n"), F.max("id").alias("top"), F.max("edge").alias("edge"))
     whole = runs.filter("edge is not null").groupBy("edge").agg(
         F.sum("n").alias("all_n"), F.max("top").alias("all_top"), F.max(F.struct("part", "run")).alias("end"))
-    runs = runs.join(whole, "edge", "left").select(
-        "part", "run", F.coalesce("all_n", "n").alias("group_size"), F.coalesce("all_top", "top").alias("keep_id"),
-        F.coalesce(F.struct("part", "run") == F.col("end"), F.lit(True)).alias("final"))
+    inner = runs.filter("edge is null").select(
+        "part", "run", F.col("n").alias("group_size"), F.col("top").alias("keep_id"), F.lit(True).alias("final"))
+    outer = runs.filter("edge is not null").join(whole, "edge").select(
+        "part", "run", F.col("all_n").alias("group_size"), F.col("all_top").alias("keep_id"),
+        (F.struct("part", "run") == F.col("end")).alias("final"))
+    runs = inner.unionByName(outer)
     return rows.drop("edge").join(runs, ["part", "run"]).select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("last") & F.col("final")).alias("kept"),
         F.col("sha").alias("text_sha256"))

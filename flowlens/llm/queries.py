@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowlens.llm import exact_dedup, near_dedup, packing
+from flowlens.llm import exact_dedup, language_id, near_dedup, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +26,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def id_remainder(id_col: str, n: int) -> Column:
+    """crc32 of the id as text, modulo n; NULL for a NULL id, which is thus in no fold."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(documents(spark, sf_dir), id_remainder("doc_id", 4) != 2)
+    held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
+    return found.withColumn("held_out", held_out)
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, "doc_id", "text", labels, "toxic", id_remainder("id", 5) != 0)
+    held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
+    return toxicity.score(docs, model).withColumn("held_out", held_out)
+
+
 @query("op4_exact_dedup", """
     with n as (
         select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm

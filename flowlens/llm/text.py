@@ -103,9 +103,20 @@ class Words:
             place = np.arange(len(at)) - np.repeat(first, length)
             value = (folded[at].astype(U64) + U64(1)) * POWERS[place & 4095]
             self.hash = mix(np.add.reduceat(value, first) + length.astype(U64))
+            self._sums = (value, place, first)
         else:
             self.hash = np.zeros(0, U64)
 
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of words longer than ``size`` bytes: their numbers, and a hash of their first bytes and length."""
+        if not len(self.hash):
+            return np.zeros(0, np.int64), self.hash
+        value, place, first = self._sums
+        length = self.end - self.start
+        at = np.flatnonzero(length > size)
+        head = np.add.reduceat(np.where(place < size, value, U64(0)), first)[at]
+        return at, mix(head + length[at].astype(U64) * U64(0x9E3779B97F4A7C15) + U64(size))
+
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``size`` words and their texts; a shorter text has one, of all its words."""
         if not len(self.hash):
