@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowlens.llm import exact_dedup, language_id, near_dedup, packing, toxicity
+from flowlens.llm import exact_dedup, language_id, mixing, near_dedup, packing, substring, toxicity, warc
+from flowlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,6 +39,25 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out)
 
 
+@query("op2_warc", """
+    with p as (
+        select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as payload_bytes,
+               sha256(coalesce(html, '')) as payload_digest
+        from pages
+    ), r as (
+        select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first_id from p
+    )
+    select page_id, payload_bytes, payload_digest,
+           case when page_id is distinct from first_id and first_id is not null then 'revisit' else 'response' end as record_type,
+           case when page_id is distinct from first_id then first_id end as refers_to
+    from r
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "warc")
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), root)
+    return warc.read_archives(spark, root).drop("url", "file")
+
+
 @query("op3_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -61,11 +81,45 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+@query("op5_mixing", f"""
+    with sizes as (
+        select source, sum(coalesce(length(text), 0))::double as chars from documents group by source
+    ), rated as (
+        select source, case when chars > 0 then pow(chars, {mixing.EVENNESS}) / (select sum(pow(chars, {mixing.EVENNESS})) from sizes)
+            * (select sum(chars) from sizes) / chars else 1.0 end as rate from sizes
+    ), steps as (
+        select source, rate, greatest(ceil(rate / {mixing.MEAN_STEP}), 1)::int as parts, k,
+               exp(-rate / greatest(ceil(rate / {mixing.MEAN_STEP}), 1) + k * ln(rate / greatest(ceil(rate / {mixing.MEAN_STEP}), 1))
+                   - lgamma(k + 1)) as p
+        from rated, range(0, {mixing.TABLE + 1}) t(k)
+    ), cdfs as (
+        select source, rate, parts, k, sum(p) over (partition by source order by k) as cdf from steps
+    ), draws as (
+        select doc_id, source, text, j,
+               ('0x' || substr(md5('{mixing.SEED}:' || doc_id || ':' || j), 1, 13))::bigint / pow(16.0, 13) as u
+        from documents join (select distinct source, parts from cdfs) using (source), lateral range(1, parts + 1) r(j)
+    ), counts as (
+        select d.doc_id, d.source, any_value(d.text) as text, any_value(c.rate) as rate, count(*) filter (c.cdf <= d.u) as copies
+        from draws d join cdfs c using (source) group by d.doc_id, d.source
+    )
+    select doc_id, source, text, round(rate, 9) as rate, copies::int as copies, copy::int as copy,
+           md5('{mixing.SEED}:' || doc_id || ':copy:' || copy) as key
+    from counts, lateral range(1, copies + 1) r(copy)
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(documents(spark, sf_dir)).withColumn("rate", F.round("rate", 9))
+
+
 @query("op6_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(documents(spark, sf_dir))
+
+
 @query("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
