@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowlens.llm import exact_dedup, language_id, mixing, near_dedup, packing, substring, toxicity, warc
+from flowlens.llm import (
+    exact_dedup, fingerprint, language_id, mixing, near_dedup, packing, substring, toxicity, url_filter, warc,
+)
 from flowlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +122,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(documents(spark, sf_dir))
 
 
+@query("op8_fingerprint")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 @query("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
+
+
+@query("op10_url_filter")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
