@@ -1,31 +1,56 @@
-"""The corpus pipeline: whole documents in, packed training sequences out."""
+"""The corpus pipeline: whole documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept. All but
+the last return the columns of ``docs``. NULL texts and ids, repeated rows, empty tables and
+columns of any name pass through as each operator's docstring says.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import exact_dedup, packing
+from flowlens.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from flowlens.session import materialize
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below one half stay; learned from four fifths of ``labels``, as in the query."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    taught = F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0
+    return toxicity.keep_clean(docs, toxicity.train(docs, "doc_id", "text", labels, "toxic", taught))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that differ at most in the case of A-Z, the one with the largest id stays."""
     return exact_dedup.keep_one(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates, the document with the smallest id stays."""
+    return near_dedup.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight draws it, in a global shuffle."""
+    return mixing.mix(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents and their places in sequences of 2048."""
     return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
 
-#: Toxicity, near-duplicate search and tokens cannot be expressed in SQL; tests compare with brute force.
+#: Learned scores, similarity classes and tokens cannot be expressed in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
