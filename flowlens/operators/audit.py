@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.schema import BENIGN, WINDOW_SIZE, SEQUENCE_FEATURES
+from flowlens.schema import BENIGN, FILE_KEY, WINDOW_SIZE, SEQUENCE_FEATURES
 
 
 def _benign() -> Column:
@@ -63,7 +63,7 @@ def day_label_pivot(flows: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 def label_family(flows: DataFrame, needle: str = "DDoS") -> DataFrame:
     """Files that hold a label family, and its rows."""
-    per_file = flows.groupBy("capture_file").agg(F.count_if(F.col("label").contains(needle)).alias("hits"))
+    per_file = flows.groupBy(*FILE_KEY).agg(F.count_if(F.col("label").contains(needle)).alias("hits"))
     return per_file.agg(
         F.count(F.lit(1)).alias("files"),
         F.count_if(F.col("hits") > 0).alias("files_with_family"),
@@ -81,7 +81,7 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def file_classes(flows: DataFrame) -> DataFrame:
     """Attack-bearing against benign-only files."""
-    return flows.groupBy("capture_file").agg(
+    return flows.groupBy(*FILE_KEY).agg(
         F.count(F.lit(1)).alias("n"), F.bool_or(F.col("label") != BENIGN).alias("has_attack")
     )
 
@@ -91,7 +91,7 @@ def file_health(
 ) -> DataFrame:
     """Per listed file: rows, classes, imbalance, missing and unexpected labels."""
     unknown = F.col("label").isNotNull() & ~F.col("label").isin(*known_labels)
-    stats = flows.groupBy("capture_file").agg(
+    stats = flows.groupBy(*FILE_KEY).agg(
         F.count(F.lit(1)).alias("n"),
         F.size(F.collect_set("label")).cast("bigint").alias("classes"),
         _benign().alias("benign"), _attack().alias("attack"),
@@ -99,7 +99,7 @@ def file_health(
         F.count_if(unknown).alias("unexpected_labels"),
     )
     zeroed = ["n", "classes", "benign", "attack", "missing_labels", "unexpected_labels"]
-    filled = manifest.select("capture_file").distinct().join(stats, "capture_file", "left").withColumns(
+    filled = manifest.select(*FILE_KEY).distinct().join(stats, FILE_KEY, "left").withColumns(
         {c: F.coalesce(c, F.lit(0)) for c in zeroed}
     )
     return filled.withColumns({
@@ -197,4 +197,4 @@ def absent_labels(df: DataFrame, expected: DataFrame) -> DataFrame:
 
 def shared_files(train: DataFrame, test: DataFrame) -> DataFrame:
     """File names present on both sides of a split."""
-    return train.select("capture_file").intersect(test.select("capture_file"))
+    return train.select(*FILE_KEY).distinct().intersect(test.select(*FILE_KEY).distinct())

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.functions.cleaning import is_attack
-from flowlens.schema import BENIGN
+from flowlens.schema import BENIGN, FILE_KEY
 
 
 def confusion_matrix(df: DataFrame, true: str, pred: str) -> DataFrame:
@@ -115,7 +115,7 @@ def accuracy_gap(train: DataFrame, test: DataFrame, true: str, pred: str) -> Dat
 def score_health(df: DataFrame, score: str, collapse_below: float = 0.1, label: str = "label") -> DataFrame:
     """Range, mean, attack mean and spread of a score per file and overall (NULL file)."""
     return (
-        df.filter(F.col(score).isNotNull()).rollup("capture_file")
+        df.filter(F.col(score).isNotNull()).groupingSets([FILE_KEY, []], *FILE_KEY)
         .agg(
             F.count(F.lit(1)).alias("n"), F.min(score).alias("low"), F.max(score).alias("high"),
             F.avg(score).alias("mean"),

@@ -31,7 +31,8 @@ def _window_branch(window: Row, ts: str, match: str) -> str:
     if window["target_ip"] is not None:
         target = sql_text(window["target_ip"])
         inside += f" and ({_hits('ip_src', target, match)} or {_hits('ip_dst', target, match)})"
-    return f"when {inside} then {sql_text(window['attack_type'])}"
+    attack = BENIGN if window["attack_type"] is None else window["attack_type"]
+    return f"when {inside} then {sql_text(attack)}"
 
 
 def apply_labels(
@@ -43,9 +44,10 @@ def apply_labels(
 ) -> DataFrame:
     """Add ``label``: the last log row whose window and target fit, else Benign.
 
-    The log is read up to ``max_inline + 1`` rows. A short one becomes a CASE
-    expression, newest row first, so labelling costs no shuffle and no join. A
-    longer one goes through :func:`join_labels`.
+    A log row without attack type labels its packets Benign. The log is read up to
+    ``max_inline + 1`` rows. A short one becomes a CASE expression, newest row first,
+    so labelling costs no shuffle and no join. A longer one goes through
+    :func:`join_labels`, which gives the same labels.
     """
     head = attack_log.select(
         "log_id", "target_ip", "attack_type",
@@ -68,33 +70,30 @@ def join_labels(
     ts: str = "packet_ts",
     bucket_seconds: int = 3600,
 ) -> DataFrame:
-    """Labels for a log of any length: windows are spread over time buckets and equi-joined.
+    """Labels for a log of any length, the same as the short form gives.
 
-    Needs a unique ``packet_id``. Matches are reduced per packet before they are
-    joined back, and a bucket with many packets is split by the skew-join rule.
+    Every time bucket has one row with its windows in log order; packets meet it on
+    the bucket and take the last window that fits. No packet is grouped or joined
+    back; Spark broadcasts the bucket table where it is small, and splits buckets
+    with many packets by the skew-join rule where it is not.
     """
     width = F.lit(bucket_seconds * 1_000_000)
     bucket = lambda c: F.floor(epoch_us(c) / width).cast("bigint")
-    windows = attack_log.filter(F.col("start_ts") <= F.col("end_ts")).select(
-        "log_id", "start_ts", "end_ts", "target_ip", "attack_type",
+    buckets = attack_log.filter(F.col("start_ts") <= F.col("end_ts")).select(
         F.explode(F.sequence(bucket("start_ts"), bucket("end_ts"))).alias("_bucket"),
+        F.struct("log_id", "start_ts", "end_ts", "target_ip", "attack_type").alias("w"),
+    ).groupBy("_bucket").agg(F.sort_array(F.collect_list("w")).alias("_windows"))
+    last = F.expr(
+        f"try_element_at(filter(_windows, w -> {ts} between w.start_ts and w.end_ts and (w.target_ip is null"
+        f" or coalesce({_hits('ip_src', 'w.target_ip', match)}, false) or coalesce({_hits('ip_dst', 'w.target_ip', match)}, false))), -1)"
     )
-    probes = packets.select("packet_id", ts, "ip_src", "ip_dst", bucket(ts).alias("_bucket"))
-    fits = (probes["_bucket"] == windows["_bucket"]) & F.expr(
-        f"{ts} between start_ts and end_ts and (target_ip is null"
-        f" or {_hits('ip_src', 'target_ip', match)} or {_hits('ip_dst', 'target_ip', match)})"
-    )
-    last = probes.join(windows, fits).groupBy("packet_id").agg(
-        F.max_by("attack_type", "log_id").alias("label")
-    )
-    return packets.join(last, "packet_id", "left").withColumn(
-        "label", F.coalesce("label", F.lit(BENIGN))
-    )
+    joined = packets.withColumn("_bucket", bucket(ts)).join(buckets, "_bucket", "left")
+    return joined.withColumn("label", F.coalesce(last["attack_type"], F.lit(BENIGN))).drop("_bucket", "_windows")
 
 
 def label_domain(attack_log: DataFrame, max_inline: int = MAX_INLINE_WINDOWS) -> list[str] | None:
-    """Benign plus the log's attack types, sorted; None when the log is not short."""
-    head = attack_log.select("attack_type").limit(max_inline + 1).collect()
+    """Benign plus the log's attack types, sorted; None when there are very many types."""
+    head = attack_log.select("attack_type").filter("attack_type is not null").distinct().limit(max_inline + 1).collect()
     if len(head) > max_inline:
         return None
     return sorted({BENIGN, *(r["attack_type"] for r in head)})

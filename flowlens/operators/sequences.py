@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowlens.functions.ordering import sliced_row_number, time_slice
 from flowlens.operators.flows import mode_in_domain
 from flowlens.schema import (
+    FILE_KEY,
     MAX_SEQUENCES_PER_FILE, SEQUENCE_FEATURES, SESSION_KEY, WINDOW_SIZE, WINDOW_STRIDE,
 )
 
@@ -164,12 +165,13 @@ def array_mode(values: Column) -> Column:
     return F.array_min(counted)["v"]
 
 
-def cap_per_file(windows: DataFrame, cap: int = MAX_SEQUENCES_PER_FILE) -> DataFrame:
-    """At most ``cap`` windows per capture file, in session and window order.
+def cap_per_file(windows: DataFrame, cap: int | None = MAX_SEQUENCES_PER_FILE) -> DataFrame:
+    """At most ``cap`` windows per capture (all, if None), in session and window order.
 
-    Adds ``seq_idx``, the 0-based position in the file.
+    Adds ``seq_idx``, the 0-based position in the capture.
     """
     ranked = sliced_row_number(
-        windows, "_rank", ["capture_file"], ["ip_src", "ip_dst", "win"], ["ip_src", "ip_dst"]
+        windows, "_rank", FILE_KEY, ["ip_src", "ip_dst", "win"], ["ip_src", "ip_dst"]
     )
-    return ranked.filter(F.col("_rank") <= cap).withColumn("seq_idx", F.col("_rank") - 1).drop("_rank")
+    kept = ranked if cap is None else ranked.filter(F.col("_rank") <= cap)
+    return kept.withColumn("seq_idx", F.col("_rank") - 1).drop("_rank")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowlens.functions.cleaning import is_attack
 from flowlens.functions.ordering import hash_key, key_slice, running_sums, sliced_row_number
 from flowlens.operators.audit import file_classes
-from flowlens.schema import BENIGN
+from flowlens.schema import BENIGN, FILE_KEY
 
 SEED = 42
 TEST_RATIO = 0.15
@@ -60,17 +60,17 @@ def sample_rows(df: DataFrame, n: int, ids: Sequence[str], key: Column | None =
 
 
 def first_files(flows: DataFrame, n: int) -> DataFrame:
-    """Rows of the first ``n`` capture files by name."""
-    names = flows.select("capture_file").distinct().orderBy("capture_file").limit(n)
-    return flows.join(names, "capture_file", "left_semi")
+    """Rows of the first ``n`` captures by day and name."""
+    names = flows.select(*FILE_KEY).distinct().orderBy(*FILE_KEY).limit(n)
+    return flows.join(names, FILE_KEY, "left_semi")
 
 
 def files_up_to(flows: DataFrame, max_rows: int) -> DataFrame:
     """Whole files in name order until ``max_rows`` is reached; the last one may overshoot."""
-    counts = flows.groupBy("capture_file").agg(F.count(F.lit(1)).alias("n"))
-    reached = running_sums(counts, {"_upto": "n"}, [], ["capture_file"])
-    kept = reached.filter(F.col("_upto") - F.col("n") < max_rows).select("capture_file")
-    return flows.join(kept, "capture_file", "left_semi")
+    counts = flows.groupBy(*FILE_KEY).agg(F.count(F.lit(1)).alias("n"))
+    reached = running_sums(counts, {"_upto": "n"}, [], FILE_KEY, ["capture_day"])
+    kept = reached.filter(F.col("_upto") - F.col("n") < max_rows).select(*FILE_KEY)
+    return flows.join(kept, FILE_KEY, "left_semi")
 
 
 def attack_priority(
@@ -81,11 +81,11 @@ def attack_priority(
     The running total is over one row per file, sliced by key.
     """
     files = file_classes(flows).withColumn(
-        "_key", (file_key if file_key is not None else hash_key(seed, "capture_file")).cast("bigint")
+        "_key", (file_key if file_key is not None else hash_key(seed, *FILE_KEY)).cast("bigint")
     ).withColumns({"_benign": (~F.col("has_attack")).cast("int"), "_slice": key_slice("_key")})
-    loaded = running_sums(files, {"_upto": "n"}, [], ["_key", "capture_file"], ["_benign", "_slice"])
+    loaded = running_sums(files, {"_upto": "n"}, [], ["_key", *FILE_KEY], ["_benign", "_slice"])
     kept = loaded.filter(F.col("has_attack") | (F.col("_upto") - F.col("n") < max_total))
-    return flows.join(kept.select("capture_file"), "capture_file", "left_semi")
+    return flows.join(kept.select(*FILE_KEY), FILE_KEY, "left_semi")
 
 
 def stratified_split(
@@ -98,7 +98,7 @@ def stratified_split(
     two, and ``int(ratio * n)`` benign rows.
     """
     rows = flows.withColumn("_attack", is_attack())
-    ranked = _ranked(rows, ["capture_file", "_attack"], ids, key, seed, count_as="_n")
+    ranked = _ranked(rows, [*FILE_KEY, "_attack"], ids, key, seed, count_as="_n")
     share = F.floor(F.col("_n") * F.lit(test_ratio))
     quota = F.when(F.col("_attack") == 0, share).when(F.col("_n") > 1, F.greatest(F.lit(1), share)).otherwise(0)
     return ranked.withColumn(
@@ -155,20 +155,20 @@ def repair_sequences(
 
     Where every test row index fits the file's sequences and some match, those
     are taken; otherwise a proportional sample of at least one. Inputs carry
-    ``capture_file`` and ``row_idx``.
+    capture_day, capture_file and ``row_idx``.
     """
-    tested = test_rows.select("capture_file", "row_idx").distinct()
-    tops = tested.groupBy("capture_file").agg(F.max("row_idx").alias("_top"))
-    ranked = _ranked(sequences, ["capture_file"], ids, key, seed, count_as="_n")
-    marked = ranked.join(tested.withColumn("_match", F.lit(1)), ["capture_file", "row_idx"], "left")
+    tested = test_rows.select(*FILE_KEY, "row_idx").distinct()
+    tops = tested.groupBy(*FILE_KEY).agg(F.max("row_idx").alias("_top"))
+    ranked = _ranked(sequences, FILE_KEY, ids, key, seed, count_as="_n")
+    marked = ranked.join(tested.withColumn("_match", F.lit(1)), [*FILE_KEY, "row_idx"], "left")
     matched = (
-        marked.groupBy("capture_file").agg(F.count("_match").alias("_matches"), F.max("_n").alias("_size"))
-        .join(tops, "capture_file")
-        .select("capture_file", ((F.col("_size") > F.col("_top")) & (F.col("_matches") > 0)).alias("_by_index"))
+        marked.groupBy(*FILE_KEY).agg(F.count("_match").alias("_matches"), F.max("_n").alias("_size"))
+        .join(tops, FILE_KEY)
+        .select(*FILE_KEY, ((F.col("_size") > F.col("_top")) & (F.col("_matches") > 0)).alias("_by_index"))
     )
     quota = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(test_ratio)))
     return (
-        marked.join(matched, "capture_file")
+        marked.join(matched, FILE_KEY)
         .filter(F.when(F.col("_by_index"), F.col("_match") == 1).otherwise(F.col("_rank") <= quota))
         .withColumn("picked_by", F.when(F.col("_by_index"), "index").otherwise("sample"))
         .drop("_rank", "_key", "_n", "_match", "_by_index")
@@ -176,19 +176,19 @@ def repair_sequences(
 
 
 def evaluation_quota(
-    files: DataFrame, limit: int = 500_000, file_key: Column | None = None, seed: int = SEED
+    files: DataFrame, limit: int | None = None, file_key: Column | None = None, seed: int = SEED
 ) -> DataFrame:
-    """How many rows each file adds to a size-limited evaluation in shuffled file order.
+    """How many rows each file adds to an evaluation of ``limit`` rows (all, if None) in shuffled file order.
 
-    ``files`` has capture_file, n and triggers; the last file is cut and its
+    ``files`` has capture_day, capture_file, n and triggers; the last file is cut and its
     triggers are prorated.
     """
     keyed = files.withColumn(
-        "_key", (file_key if file_key is not None else hash_key(seed, "capture_file")).cast("bigint")
+        "_key", (file_key if file_key is not None else hash_key(seed, *FILE_KEY)).cast("bigint")
     )
     sliced = keyed.withColumn("_slice", key_slice("_key"))
-    upto = running_sums(sliced, {"_upto": "n"}, [], ["_key", "capture_file"], ["_slice"])
-    take = F.least(F.col("n"), F.lit(limit) - (F.col("_upto") - F.col("n")))
+    upto = running_sums(sliced, {"_upto": "n"}, [], ["_key", *FILE_KEY], ["_slice"])
+    take = F.col("n") if limit is None else F.least(F.col("n"), F.lit(limit) - (F.col("_upto") - F.col("n")))
     return (
         upto.withColumn("take", take).filter(F.col("take") > 0)
         .withColumn(
@@ -196,14 +196,14 @@ def evaluation_quota(
             F.when(F.col("take") == F.col("n"), F.col("triggers").cast("bigint"))
             .otherwise(F.floor(F.col("triggers") * (F.col("take") / F.col("n")))),
         )
-        .select("capture_file", "n", "triggers", "take", "triggers_counted")
+        .select(*FILE_KEY, "n", "triggers", "take", "triggers_counted")
     )
 
 
 def evaluation_rows(rows: DataFrame, quota: DataFrame) -> DataFrame:
     """The first ``take`` rows of each file, by 0-based ``row_idx``."""
     return (
-        rows.join(quota.select("capture_file", "take"), "capture_file")
+        rows.join(quota.select(*FILE_KEY, "take"), FILE_KEY)
         .filter(F.col("row_idx") < F.col("take")).drop("take")
     )
 

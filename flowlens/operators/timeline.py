@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.functions.cleaning import is_internal
 from flowlens.functions.ordering import epoch_us, previous_time, time_slice
+from flowlens.schema import FILE_KEY
 
 
 def time_bin(ts: Column | str, unit: str) -> Column:
@@ -62,8 +63,8 @@ def file_timeline(flows: DataFrame) -> DataFrame:
     """
     rows = flows.withColumn("bin", time_bin("timestamp_min", "minute"))
     sums = rows.groupBy("bin").agg(F.sum("frame_len_count").alias("packets"))
-    ranges = rows.groupBy("capture_file").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-    shown = time_spine(ranges, ["capture_file"], "minute").select("bin").distinct()
+    ranges = rows.groupBy(*FILE_KEY).agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
+    shown = time_spine(ranges, FILE_KEY, "minute").select("bin").distinct()
     return shown.join(sums, "bin", "left").select("bin", F.coalesce("packets", F.lit(0)).alias("packets"))
 
 
@@ -84,7 +85,7 @@ def mark_windows(bins: DataFrame, attack_log: DataFrame, name: str = "bin", unit
 
 
 def interarrival(
-    packets: DataFrame, group: Sequence[str] = ("capture_file",), ts: str = "packet_ts", slice_seconds: int = 60
+    packets: DataFrame, group: Sequence[str] = FILE_KEY, ts: str = "packet_ts", slice_seconds: int = 60
 ) -> DataFrame:
     """Seconds since the preceding packet of the group; NULL on its first packet."""
     rows = packets.withColumn("_slice", time_slice(ts, slice_seconds))

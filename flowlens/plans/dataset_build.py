@@ -9,9 +9,9 @@ from flowlens.operators.flows import build_flows
 from flowlens.operators.joins import with_row_index
 from flowlens.operators.labels import apply_labels, label_domain
 from flowlens.operators.sequences import cap_per_file, window_vectors
-from flowlens.schema import FLOW_KEY, WINDOW_SIZE, WINDOW_STRIDE
-from flowlens.session import configure
-from flowlens.sources.datasets import build_status, pending_inputs, write_by_day
+from flowlens.schema import FILE_KEY, FLOW_KEY, FLOW_SCHEMA, WINDOW_SIZE, WINDOW_STRIDE
+from flowlens.session import configure, materialize
+from flowlens.sources.datasets import build_status, built_files, pending_inputs, write_by_day
 
 
 def build_dataset(
@@ -22,28 +22,35 @@ def build_dataset(
     force: bool = False,
     size: int = WINDOW_SIZE,
     stride: int = WINDOW_STRIDE,
+    cap: int | None = None,
+    captures: DataFrame | None = None,
 ) -> DataFrame:
     """Write ``out/flows`` and ``out/sequences`` by day for captures not yet built.
 
     ``packets`` carries capture_day and capture_file; a packet_id is derived
-    where absent. Days are replaced whole, so a pending file brings its day
-    along. Returns the status per capture.
+    where absent. Without ``processed``, the captures in ``out/flows`` count as
+    built. ``captures`` is the list of inputs, from a listing, to spare a scan of
+    the packets. Days are replaced whole, so a pending file brings its day along;
+    their packets are parsed and cleaned once and stored for both tables. ``cap``
+    bounds the windows per capture; by default all are written. Flows have the
+    types of ``FLOW_SCHEMA``. Returns the status per capture.
     """
+    spark = packets.sparkSession
     configure(packets.sparkSession)
     if "packet_ts" not in packets.columns:
         packets = clean_packets(packets)
     if "packet_id" not in packets.columns:
         packets = with_packet_id(packets)
-    key = ["capture_day", "capture_file"]
-    if processed is None:
-        pending = packets.select(*key).distinct()
-    else:
-        pending = pending_inputs(packets, processed, force)
+    inputs = materialize((packets if captures is None else captures).select(*FILE_KEY).distinct(), "captures")
+    done = built_files(spark, f"{out}/flows") if processed is None else processed
+    pending = materialize(pending_inputs(inputs, done, force), "pending")
     days = pending.select("capture_day").distinct()
     clean = clean_packets(apply_labels(packets.join(days, "capture_day", "left_semi"), attack_log))
+    clean = materialize(clean, "clean-packets")
     row_id = {"first_packet_id": F.min("packet_id")}
     flows = build_flows(clean, per_file=True, label_domain=label_domain(attack_log), extra=row_id)
+    flows = flows.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in FLOW_SCHEMA})
     write_by_day(with_row_index(flows, FLOW_KEY), f"{out}/flows")
-    vectors = cap_per_file(window_vectors(clean, size, stride, per_file=True))
+    vectors = cap_per_file(window_vectors(clean, size, stride, per_file=True), cap)
     write_by_day(vectors.withColumnRenamed("seq_idx", "row_idx"), f"{out}/sequences")
-    return build_status(packets, pending).withColumn("built_to", F.lit(out))
+    return build_status(inputs, pending).withColumn("built_to", F.lit(out))

@@ -11,14 +11,13 @@ from flowlens.operators import models as M
 from flowlens.operators import scaling as SC
 from flowlens.operators import sequences as S
 from flowlens.operators.split import permutation_split
-from flowlens.plans.hybrid import score_sessions, triage_flows
+from flowlens.plans.hybrid import evaluation_report, held_out_session, score_sessions, triage_flows
 from flowlens.plans.registry import FILE_ORDER_KEY, ROW_KEY, Tables, query
-from flowlens.plans.training import train_flow_classifier
-from flowlens.schema import FLOW_FEATURES, FLOW_KEY
-from flowlens.session import materialize
+from flowlens.plans.training import FlowClassifier, train_flow_classifier
+from flowlens.schema import FILE_KEY, FLOW_FEATURES, FLOW_KEY
+from flowlens.session import materialize, scratch_path
 
-IDS = ["capture_file", "first_packet_id"]
-SMALL = {"rounds": 10, "depth": 4, "step": 0.3}
+IDS = [*FILE_KEY, "first_packet_id"]
 
 
 def split_table(t: Tables):
@@ -41,24 +40,37 @@ def _(t):
 @query("ml_01_binary_classifier")
 def _(t):
     rows = split_table(t)
-    model = M.fit_binary(rows.filter("split = 'train'"), FLOW_FEATURES, **SMALL)
+    model = M.fit_binary(rows.filter("split = 'train'"), FLOW_FEATURES)
     return M.log_loss(M.score_binary(model, rows, FLOW_FEATURES), by=["split"])
 
 
 @query("ml_02_multiclass_classifier")
 def _(t):
     rows = split_table(t)
-    classifier = train_flow_classifier(rows.filter("split = 'train'"), IDS, trees=10, depth=5, file_key=FILE_ORDER_KEY())
-    scored = classifier.score(rows.filter("split = 'test'"), [*IDS, "label"])
+    classifier = train_flow_classifier(rows.filter("split = 'train'"), IDS, file_key=FILE_ORDER_KEY())
+    scored = materialize(classifier.score(rows.filter("split = 'test'"), [*IDS, "label"]).select("label", "pred_label"), "scored")
     return E.classification_report(scored, "label", "pred_label")
 
 
+@query("ml_02_saved_classifier")
+def _(t):
+    """Test flows whose label or score changes when the classifier is saved and loaded: none."""
+    rows = split_table(t)
+    classifier = train_flow_classifier(rows.filter("split = 'train'"), IDS, file_key=FILE_ORDER_KEY())
+    path = scratch_path(t.spark, "classifier")
+    classifier.save(path)
+    scores = lambda c, n: c.score(rows.filter("split = 'test'"), [*IDS, "label"]).select(
+        *IDS, F.struct("pred_label", F.round("x_score", 12).alias("x_score")).alias(n))
+    both = scores(classifier, "before").join(scores(FlowClassifier.load(t.spark, path), "after"), IDS, "full")
+    return both.groupBy(F.col("before").eqNullSafe(F.col("after")).alias("equal")).agg(F.count(F.lit(1)).alias("flows"))
+
+
 @query("ml_06_early_stopping")
 def _(t):
     rows = split_table(t).filter("split = 'train'").drop("split")
     parts = permutation_split(rows, ["first_packet_id"], key=ROW_KEY()).withColumn("held_out", F.col("split") == "eval")
     parts = materialize(parts, "early-stop")
-    model = M.fit_binary_early_stop(parts, FLOW_FEATURES, "held_out", **SMALL)
+    model = M.fit_binary_early_stop(parts, FLOW_FEATURES, "held_out")
     losses = M.log_loss(M.score_binary(model, parts, FLOW_FEATURES), by=["split"])
     return losses.withColumn("trees", F.lit(model.stages[-1].getNumTrees))
 
@@ -66,27 +78,28 @@ def _(t):
 @query("ml_07_permutation_importance")
 def _(t):
     rows = split_table(t)
-    model = M.fit_binary(rows.filter("split = 'train'"), FLOW_FEATURES, **SMALL)
+    model = M.fit_binary(rows.filter("split = 'train'"), FLOW_FEATURES)
     return M.permutation_importance(model, rows.filter("split = 'test'"), FLOW_FEATURES, IDS)
 
 
 @query("top_05_feature_importance")
 def _(t):
     rows = split_table(t)
-    classifier = train_flow_classifier(rows.filter("split = 'train'"), IDS, trees=10, depth=5, file_key=FILE_ORDER_KEY())
+    classifier = train_flow_classifier(rows.filter("split = 'train'"), IDS, file_key=FILE_ORDER_KEY())
     return M.feature_importances(classifier.model, classifier.features)
 
 
 def sequence_model(t: Tables):
-    windows, names = M.window_summary(t.clean, label_domain=t.domain)
-    windows = materialize(windows, "windows")
-    return M.fit_sequence_model(windows, names), windows
+    """Stage 2, fitted on the windows of sessions that are not held out; and all windows with ``held_out``."""
+    windows, names = M.window_summary(t.clean, per_file=True, label_domain=t.domain)
+    windows = materialize(windows.withColumn("held_out", held_out_session()), "windows")
+    return M.fit_sequence_model(windows.filter("not held_out"), names), windows
 
 
 @query("ml_08_sequence_score")
 def _(t):
     model, windows = sequence_model(t)
-    return score_sessions(model, windows).groupBy("label").agg(
+    return score_sessions(model, windows.filter("held_out")).groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.avg("t_score").alias("mean_score"), F.max("t_score").alias("max_score")
     )
 
@@ -135,9 +148,10 @@ def _(t):
 
 @query("run_02_hybrid_evaluation")
 def _(t):
-    """Both stages fitted, triaged and reported on the held-out flows."""
-    rows = split_table(t)
-    classifier = train_flow_classifier(rows.filter("split = 'train'"), IDS, trees=10, depth=5, file_key=FILE_ORDER_KEY())
+    """Both stages fitted on one side of the sessions, triaged and reported on the other."""
+    rows = materialize(t.file_flows.withColumn("held_out", held_out_session()), "flows")
+    classifier = train_flow_classifier(rows.filter("not held_out"), IDS, file_key=FILE_ORDER_KEY())
     model, windows = sequence_model(t)
-    triaged = triage_flows(classifier, model, rows.filter("split = 'test'"), windows, [*FLOW_KEY, "label"])
-    return E.attack_recall(triaged)
+    test, seen = rows.filter("held_out"), windows.filter("held_out")
+    triaged = materialize(triage_flows(classifier, model, test, seen), "triaged")
+    return evaluation_report(triaged.select("label", "pred", "triggered"))

@@ -15,7 +15,7 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type st
 PACKET_COLUMNS = {
     "packet_id": "event_id",
     "capture_day": "concat('D', lpad(cast(cast(floor((extract(day from ts) - 1) / 3) as int) as string), 2, '0'))",
-    "capture_file": "concat('cap', lpad(cast(cast(floor((extract(day from ts) - 1) / 3) as int) as string), 2, '0'), '-', cast(event_id % 5 as string))",
+    "capture_file": "concat('cap-', cast(event_id % 5 as string))",
     "packet_ts": "ts",
     "ip_src": "case when event_id % 97 = 0 then null when user_id % 2 = 0 then concat('172.31.64.', cast(user_id % 6 as string)) else concat('10.0.0.', cast(100 + user_id % 75 as string)) end",
     "ip_dst": "concat('172.31.', cast(66 + event_id % 3 as string), '.25')",

@@ -139,18 +139,18 @@ def _(t):
 
 
 @query("src_10_run_summary", f"""
-    select case when {PROCESSED} then 'skipped' when capture_file = 'cap09-4' then 'error' else 'success' end as status,
-      count(distinct capture_file) as files from packets group by 1""")
+    select case when {PROCESSED} then 'skipped' when capture_day = 'D09' and capture_file = 'cap-4' then 'error' else 'success' end as status,
+      count(distinct (capture_day, capture_file)) as files from packets group by 1""")
 def _(t):
     done = t.packets.filter(PROCESSED).select("capture_day", "capture_file").distinct()
-    failed = t.packets.filter("capture_file = 'cap09-4'").select("capture_day", "capture_file")
+    failed = t.packets.filter("capture_day = 'D09' and capture_file = 'cap-4'").select("capture_day", "capture_file")
     return D.run_summary(D.build_status(t.packets, D.pending_inputs(t.packets, done), failed))
 
 
 @query("run_01_dataset_build", """
     select capture_day, flows, bytes, windows from (
       select capture_day, count(*) as flows, cast(sum(frame_len_sum) as bigint) as bytes from file_flows group by 1)
-    join (select capture_day, count(*) as windows from seqs where row_idx < 50000 group by 1) using (capture_day)""")
+    join (select capture_day, count(*) as windows from seqs group by 1) using (capture_day)""")
 def _(t):
     """The whole build: label, clean, flows and vectors, both tables written by day and read back."""
     out = scratch_path(t.spark, "build")

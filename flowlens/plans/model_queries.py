@@ -108,7 +108,7 @@ def _scaled(table):
     picks = ", ".join(
         f"({c} - (select mean from scaler where feature = '{c}')) / "
         f"(select case when std = 0 then 1 else std end from scaler where feature = '{c}') as {c}" for c in FLOW_FEATURES)
-    return f"select capture_file, first_packet_id, {picks} from {table}"
+    return f"select capture_day, capture_file, first_packet_id, {picks} from {table}"
 
 
 def train_scaler(t: Tables):
@@ -134,11 +134,11 @@ def _(t):
     return r6(SC.fit_sequence_scaler(S.window_vectors(t.clean)), digits=5)
 
 
-@query("scl_03_scaled_flows", "select capture_file, first_packet_id, " + ", ".join(
+@query("scl_03_scaled_flows", "select capture_day, capture_file, first_packet_id, " + ", ".join(
     f"round({c}, 6) + 0.0e0 as {c}" for c in FLOW_FEATURES) + " from z", SCALER | {"z": _scaled("file_flows")})
 def _(t):
     scaled = SC.apply_flow_scaler(t.file_flows, train_scaler(t), FLOW_FEATURES)
-    return scaled.select("capture_file", "first_packet_id", *[(F.round(c, 6) + 0.0).alias(c) for c in FLOW_FEATURES])
+    return scaled.select("capture_day", "capture_file", "first_packet_id", *[(F.round(c, 6) + 0.0).alias(c) for c in FLOW_FEATURES])
 
 
 @query("scl_04_scaled_sequences", """
@@ -183,14 +183,14 @@ def _(t):
 
 
 @query("ml_05_known_labels", """
-    select capture_file, first_packet_id, s.label, cast(label_idx as int) as label_idx from split_rows s join (
+    select capture_day, capture_file, first_packet_id, s.label, cast(label_idx as int) as label_idx from split_rows s join (
       select label, row_number() over (order by label) - 1 as label_idx from split_rows where split = 'train' and capture_day < 'D03' group by 1) c
     using (label) where split = 'test'""")
 def _(t):
     """Test rows whose label the first three days already had."""
     encoder = M.label_encoding(t.split_rows.filter("split = 'train' and capture_day < 'D03'"))
     known = M.encode_known(t.split_rows.filter("split = 'test'"), encoder)
-    return known.select("capture_file", "first_packet_id", "label", "label_idx")
+    return known.select("capture_day", "capture_file", "first_packet_id", "label", "label_idx")
 
 
 # ---- triage ------------------------------------------------------------------
@@ -334,20 +334,20 @@ def _(t):
 
 
 @query("evl_06_accuracy_gap", """
-    with s as (select g.*, r.split from guessed g join split_rows r using (capture_file, first_packet_id))
+    with s as (select g.*, r.split from guessed g join split_rows r using (capture_day, capture_file, first_packet_id))
     select round(a, 9) as train_accuracy, round(b, 9) as test_accuracy, round(abs(a - b), 9) as gap from (
       select avg((label = pred_label)::int) filter (split = 'train') as a, avg((label = pred_label)::int) filter (split = 'test') as b from s)""", GUESSED)
 def _(t):
     t.store("file_scored").__dict__["file_flows"] = t.file_scored
-    sides = t.split_rows.select("capture_file", "first_packet_id", "split")
-    rows = guessed(t).join(sides, ["capture_file", "first_packet_id"])
+    sides = t.split_rows.select("capture_day", "capture_file", "first_packet_id", "split")
+    rows = guessed(t).join(sides, ["capture_day", "capture_file", "first_packet_id"])
     return r6(E.accuracy_gap(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "label", "pred_label"), digits=9)
 
 
 @query("evl_07_score_health", """
-    select capture_file, count(*) as n, min(t_score) as low, max(t_score) as high, round(avg(t_score), 9) as mean,
+    select capture_day, capture_file, count(*) as n, min(t_score) as low, max(t_score) as high, round(avg(t_score), 9) as mean,
       round(avg(t_score) filter (label <> 'Benign'), 9) as attack_mean, round(stddev_pop(t_score), 9) as std, stddev_pop(t_score) < 0.1 as collapsed
-    from file_scored where t_score is not null group by rollup (capture_file)""")
+    from file_scored where t_score is not null group by grouping sets ((capture_day, capture_file), ())""")
 def _(t):
     return r6(E.score_health(t.file_scored, "t_score"), digits=9)
 

@@ -109,11 +109,11 @@ BASE = {
     "split_rows": """
     select * exclude (r, n), case when r <= case when label = 'Benign' then floor(n * 0.15e0)
         when n > 1 then greatest(1, floor(n * 0.15e0)) else 0 end then 'test' else 'train' end as split
-    from (select *, row_number() over (partition by capture_file, label <> 'Benign'
+    from (select *, row_number() over (partition by capture_day, capture_file, label <> 'Benign'
               order by (first_packet_id * 7919 + 104729) % 1000003, first_packet_id) as r,
-            count(*) over (partition by capture_file, label <> 'Benign') as n from file_flows)""",
+            count(*) over (partition by capture_day, capture_file, label <> 'Benign') as n from file_flows)""",
     "files": """
-    select *, (cast(substr(capture_file, 4, 2) as int) * 5 + cast(substr(capture_file, 7, 1) as int) + 1) * 245489 % 1000003 as file_key
+    select *, (cast(substr(capture_day, 2, 2) as int) * 5 + cast(substr(capture_file, 5, 1) as int) + 1) * 245489 % 1000003 as file_key
     from (select capture_day, capture_file, count(*) as n, bool_or(label <> 'Benign') as has_attack
           from file_flows group by 1, 2)""",
     "golden": """
@@ -123,10 +123,10 @@ BASE = {
     where r <= greatest(1, floor(c * 0.05e0))""",
     "seqs": """
     select capture_day, capture_file, ip_src, ip_dst, win, label,
-      row_number() over (partition by capture_file order by ip_src, ip_dst, win) - 1 as row_idx
+      row_number() over (partition by capture_day, capture_file order by ip_src, ip_dst, win) - 1 as row_idx
     from file_window_labels""",
     "indexed_flows": """
-    select *, row_number() over (partition by capture_file
+    select *, row_number() over (partition by capture_day, capture_file
       order by ip_src, ip_dst, ip_proto, tcp_srcport, tcp_dstport) - 1 as row_idx from file_flows""",
 }
 

@@ -118,7 +118,7 @@ def ROW_KEY() -> Column:
 
 def FILE_ORDER_KEY() -> Column:
     return F.expr(
-        "(cast(substr(capture_file, 4, 2) as int) * 5 + cast(substr(capture_file, 7, 1) as int) + 1) * 245489 % 1000003"
+        "(cast(substr(capture_day, 2, 2) as int) * 5 + cast(substr(capture_file, 5, 1) as int) + 1) * 245489 % 1000003"
     )
 
 

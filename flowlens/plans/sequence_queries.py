@@ -57,10 +57,10 @@ def _(t):
 
 
 @query("win_04_capped_windows", """
-    select capture_file, ip_src, ip_dst, win, label, row_idx as seq_idx from seqs where row_idx < 40""")
+    select capture_day, capture_file, ip_src, ip_dst, win, label, row_idx as seq_idx from seqs where row_idx < 40""")
 def _(t):
     capped = S.cap_per_file(t.file_windows, cap=40)
-    return capped.select("capture_file", "ip_src", "ip_dst", "win", "label", "seq_idx")
+    return capped.select("capture_day", "capture_file", "ip_src", "ip_dst", "win", "label", "seq_idx")
 
 
 def _lag_sql(part, source):
@@ -69,7 +69,7 @@ def _lag_sql(part, source):
       as interarrival_sec from {source}"""
 
 
-@query("win_05_interarrival", _lag_sql("capture_file", "packets"))
+@query("win_05_interarrival", _lag_sql("capture_day, capture_file", "packets"))
 def _(t):
     return r6(TL.interarrival(t.packets).select("packet_id", "interarrival_sec"))
 
@@ -104,8 +104,8 @@ def _(t):
 
 FILE_TIMELINE = """
     select s.bin, coalesce(n, 0) as packets from (
-      select distinct bin from (select capture_file, unnest(generate_series(min(date_trunc('minute', timestamp_min)),
-        max(date_trunc('minute', timestamp_min)), interval 1 minute)) as bin from file_flows group by 1)) s
+      select distinct bin from (select capture_day, capture_file, unnest(generate_series(min(date_trunc('minute', timestamp_min)),
+        max(date_trunc('minute', timestamp_min)), interval 1 minute)) as bin from file_flows group by 1, 2)) s
     left join (select date_trunc('minute', timestamp_min) as bin, cast(sum(frame_len_count) as bigint) as n from file_flows group by 1) b
       on s.bin = b.bin"""
 
@@ -198,30 +198,30 @@ def _(t):
 
 
 @query("smp_02_first_files", """
-    select capture_file, first_packet_id, label from file_flows
-    where capture_file in (select distinct capture_file from file_flows order by 1 limit 10)""")
+    select capture_day, capture_file, first_packet_id, label from file_flows
+    where (capture_day, capture_file) in (select distinct capture_day, capture_file from file_flows order by 1, 2 limit 10)""")
 def _(t):
-    return SP.first_files(t.file_flows, 10).select("capture_file", "first_packet_id", "label")
+    return SP.first_files(t.file_flows, 10).select("capture_day", "capture_file", "first_packet_id", "label")
 
 
 @query("smp_02_files_up_to", """
-    select capture_file, first_packet_id from file_flows where capture_file in (
-      select capture_file from (select capture_file, n, sum(n) over (order by capture_file) as upto from files) where upto - n < 2000)""")
+    select capture_day, capture_file, first_packet_id from file_flows where (capture_day, capture_file) in (
+      select capture_day, capture_file from (select capture_day, capture_file, n, sum(n) over (order by capture_day, capture_file) as upto from files) where upto - n < 2000)""")
 def _(t):
-    return SP.files_up_to(t.file_flows, 2000).select("capture_file", "first_packet_id")
+    return SP.files_up_to(t.file_flows, 2000).select("capture_day", "capture_file", "first_packet_id")
 
 
 @query("smp_03_attack_priority", """
-    select capture_file, first_packet_id, label from file_flows where capture_file in (
-      select capture_file from (select *, sum(n) over (order by not has_attack, file_key, capture_file) as upto from files)
+    select capture_day, capture_file, first_packet_id, label from file_flows where (capture_day, capture_file) in (
+      select capture_day, capture_file from (select *, sum(n) over (order by not has_attack, file_key, capture_day, capture_file) as upto from files)
       where has_attack or upto - n < 7000)""")
 def _(t):
-    return SP.attack_priority(t.file_flows, 7000, FILE_ORDER_KEY()).select("capture_file", "first_packet_id", "label")
+    return SP.attack_priority(t.file_flows, 7000, FILE_ORDER_KEY()).select("capture_day", "capture_file", "first_packet_id", "label")
 
 
-@query("smp_04_stratified_split", "select capture_file, first_packet_id, label, split from split_rows")
+@query("smp_04_stratified_split", "select capture_day, capture_file, first_packet_id, label, split from split_rows")
 def _(t):
-    return t.split_rows.select("capture_file", "first_packet_id", "label", "split")
+    return t.split_rows.select("capture_day", "capture_file", "first_packet_id", "label", "split")
 
 
 @query("smp_05_split_summary", """
@@ -237,74 +237,73 @@ def golden(t: Tables):
 
 
 @query("smp_06_golden_flows", """
-    select f.capture_file, f.first_packet_id, f.label from file_flows f join golden g using (capture_file)""")
+    select f.capture_day, f.capture_file, f.first_packet_id, f.label from file_flows f join golden g using (capture_day, capture_file)""")
 def _(t):
-    return SP.golden_set(t.file_flows, golden(t)).select("capture_file", "first_packet_id", "label")
+    return SP.golden_set(t.file_flows, golden(t)).select("capture_day", "capture_file", "first_packet_id", "label")
 
 
 @query("smp_06_golden_sequences", """
-    select s.capture_file, s.row_idx, s.label from seqs s join golden g using (capture_file)""")
+    select s.capture_day, s.capture_file, s.row_idx, s.label from seqs s join golden g using (capture_day, capture_file)""")
 def _(t):
     t.store("file_flows", "file_windows")
-    return SP.golden_set(t.seqs, golden(t)).select("capture_file", "row_idx", "label")
+    return SP.golden_set(t.seqs, golden(t)).select("capture_day", "capture_file", "row_idx", "label")
 
 
 @query("smp_07_repaired_sequences", """
-    with tested as (select f.capture_file, f.row_idx from indexed_flows f join split_rows r using (capture_file, first_packet_id)
-        where r.split = 'test' and (f.row_idx < 40 or f.capture_file like '%-1')),
-      ranked as (select s.*, row_number() over (partition by capture_file order by (row_idx * 7919 + 104729) % 1000003, row_idx) as r,
-          count(*) over (partition by capture_file) as n, x.row_idx is not null as hit
-        from seqs s left join tested x using (capture_file, row_idx)),
-      rule as (select capture_file, max(n) > max(top) and bool_or(hit) as by_index
-        from ranked join (select capture_file, max(row_idx) as top from tested group by 1) using (capture_file) group by 1)
-    select capture_file, row_idx, label, case when by_index then 'index' else 'sample' end as picked_by
-    from ranked join rule using (capture_file)
+    with tested as (select f.capture_day, f.capture_file, f.row_idx from indexed_flows f join split_rows r using (capture_day, capture_file, first_packet_id)
+        where r.split = 'test'),
+      ranked as (select s.*, row_number() over (partition by capture_day, capture_file order by (row_idx * 7919 + 104729) % 1000003, row_idx) as r,
+          count(*) over (partition by capture_day, capture_file) as n, x.row_idx is not null as hit
+        from seqs s left join tested x using (capture_day, capture_file, row_idx)),
+      rule as (select capture_day, capture_file, max(n) > max(top) and bool_or(hit) as by_index
+        from ranked join (select capture_day, capture_file, max(row_idx) as top from tested group by 1, 2) using (capture_day, capture_file) group by 1, 2)
+    select capture_day, capture_file, row_idx, label, case when by_index then 'index' else 'sample' end as picked_by
+    from ranked join rule using (capture_day, capture_file)
     where case when by_index then hit else r <= greatest(1, floor(n * 0.15e0)) end""")
 def _(t):
-    """Test rows come from the head of each file, except one capture per day whose indices run past its sequences."""
     t.store("file_flows", "file_windows")
     tested = t.indexed_flows.join(
-        t.split_rows.filter("split = 'test'").select("capture_file", "first_packet_id"), ["capture_file", "first_packet_id"]
-    ).filter((F.col("row_idx") < 40) | F.col("capture_file").endswith("-1"))
+        t.split_rows.filter("split = 'test'").select("capture_day", "capture_file", "first_packet_id"), ["capture_day", "capture_file", "first_packet_id"]
+    )
     key = F.expr("(row_idx * 7919 + 104729) % 1000003")
-    return SP.repair_sequences(t.seqs, tested, ["row_idx"], key).select("capture_file", "row_idx", "label", "picked_by")
+    return SP.repair_sequences(t.seqs, tested, ["row_idx"], key).select("capture_day", "capture_file", "row_idx", "label", "picked_by")
 
 
 QUOTA = {
     "quota": """
-    select capture_file, n, triggers, least(n, 4000 - (upto - n)) as take,
+    select capture_day, capture_file, n, triggers, least(n, 4000 - (upto - n)) as take,
       cast(case when least(n, 4000 - (upto - n)) = n then triggers
         else floor(triggers * (least(n, 4000 - (upto - n)) / n)) end as bigint) as triggers_counted
-    from (select *, cast(sum(n) over (order by file_key, capture_file) as bigint) as upto from (
-      select f.capture_file, f.file_key, count(*) as n, cast(sum(triggered) as bigint) as triggers
-      from file_triaged join files f using (capture_file) group by 1, 2)) where 4000 - (upto - n) > 0"""
+    from (select *, cast(sum(n) over (order by file_key, capture_day, capture_file) as bigint) as upto from (
+      select f.capture_day, f.capture_file, f.file_key, count(*) as n, cast(sum(triggered) as bigint) as triggers
+      from file_triaged join files f using (capture_day, capture_file) group by 1, 2, 3)) where 4000 - (upto - n) > 0"""
 }
 
 
 def quota(t: Tables):
-    files = t.file_triaged.groupBy("capture_file").agg(F.count(F.lit(1)).alias("n"), F.sum("triggered").alias("triggers"))
+    files = t.file_triaged.groupBy("capture_day", "capture_file").agg(F.count(F.lit(1)).alias("n"), F.sum("triggered").alias("triggers"))
     return SP.evaluation_quota(files, 4000, FILE_ORDER_KEY())
 
 
-@query("smp_08_evaluation_quota", "select capture_file, n, triggers, take, triggers_counted from quota", QUOTA)
+@query("smp_08_evaluation_quota", "select capture_day, capture_file, n, triggers, take, triggers_counted from quota", QUOTA)
 def _(t):
     return quota(t)
 
 
 @query("smp_08_evaluation_rows", """
-    select i.capture_file, i.row_idx, i.first_packet_id from indexed_flows i join quota q
-      on i.capture_file = q.capture_file and i.row_idx < q.take""", QUOTA)
+    select i.capture_day, i.capture_file, i.row_idx, i.first_packet_id from indexed_flows i join quota q
+      on i.capture_day = q.capture_day and i.capture_file = q.capture_file and i.row_idx < q.take""", QUOTA)
 def _(t):
-    return SP.evaluation_rows(t.indexed_flows, quota(t)).select("capture_file", "row_idx", "first_packet_id")
+    return SP.evaluation_rows(t.indexed_flows, quota(t)).select("capture_day", "capture_file", "row_idx", "first_packet_id")
 
 
 @query("smp_09_permutation_split", """
-    select first_packet_id, capture_file, case when r <= floor(n * 0.9e0) then 'train' else 'eval' end as split
+    select first_packet_id, capture_day, capture_file, case when r <= floor(n * 0.9e0) then 'train' else 'eval' end as split
     from (select *, row_number() over (order by (first_packet_id * 7919 + 104729) % 1000003, first_packet_id) as r,
       count(*) over () as n from file_flows)""")
 def _(t):
     split = SP.permutation_split(t.file_flows, ["first_packet_id"], key=ROW_KEY())
-    return split.select("first_packet_id", "capture_file", "split")
+    return split.select("first_packet_id", "capture_day", "capture_file", "split")
 
 
 @query("smp_10_mixed_batches", """
@@ -344,8 +343,8 @@ def _(t):
 
 
 @query("set_03_zero_overlap", """
-    select count(*) as overlapping from (select capture_file, first_packet_id from split_rows where split = 'train'
-      intersect select capture_file, first_packet_id from split_rows where split = 'test')""")
+    select count(*) as overlapping from (select capture_day, capture_file, first_packet_id from split_rows where split = 'train'
+      intersect select capture_day, capture_file, first_packet_id from split_rows where split = 'test')""")
 def _(t):
-    shared = SP.overlap_rows(t.split_rows, ["capture_file", "first_packet_id"])
+    shared = SP.overlap_rows(t.split_rows, ["capture_day", "capture_file", "first_packet_id"])
     return shared.agg(F.count(F.lit(1)).alias("overlapping"))

@@ -15,7 +15,7 @@ from flowlens.operators import sequences as S
 from flowlens.operators import triage as TR
 from flowlens.plans.oracle import FLOW_KEY as KEY_SQL
 from flowlens.plans.registry import FILE_ORDER_KEY, Tables, query, r6
-from flowlens.schema import FLOW_COLUMNS, FLOW_FEATURES, FLOW_KEY, LABELS
+from flowlens.schema import FILE_KEY, FLOW_COLUMNS, FLOW_FEATURES, FLOW_KEY, LABELS
 
 # ---- projections -------------------------------------------------------------
 
@@ -214,34 +214,35 @@ def _(t):
 
 
 @query("join_02_positional", f"""
-    select f.capture_file, f.row_idx, f.ip_src, f.ip_dst, f.label, s.ip_src as ip_src_seq, s.win, s.label as label_seq
-    from indexed_flows f join seqs s on f.capture_file = s.capture_file and f.row_idx = s.row_idx""")
+    select f.capture_day, f.capture_file, f.row_idx, f.ip_src, f.ip_dst, f.label, s.ip_src as ip_src_seq, s.win, s.label as label_seq
+    from indexed_flows f join seqs s on f.capture_day = s.capture_day and f.capture_file = s.capture_file and f.row_idx = s.row_idx""")
 def _(t):
     t.store("file_flows", "file_windows")
     return J.positional_join(t.indexed_flows, t.seqs).select(
-        "capture_file", "row_idx", "ip_src", "ip_dst", "label", "ip_src_seq", "win", "label_seq"
+        "capture_day", "capture_file", "row_idx", "ip_src", "ip_dst", "label", "ip_src_seq", "win", "label_seq"
     )
 
 
 @query("join_03_session_scores", f"""
-    select {KEY_SQL}, f.label, s.t_score from flows f left join (
-      select ip_src, ip_dst, max((win * 37 + 11) % 100) / 100.0e0 as t_score from window_labels group by 1, 2) s
-    using (ip_src, ip_dst)""")
+    select capture_day, capture_file, {KEY_SQL}, f.label, s.t_score from file_flows f left join (
+      select capture_day, capture_file, ip_src, ip_dst, max((win * 37 + 11) % 100) / 100.0e0 as t_score
+      from file_window_labels group by 1, 2, 3, 4) s
+    using (capture_day, capture_file, ip_src, ip_dst)""")
 def _(t):
-    windows = S.session_windows(t.clean, label_domain=t.domain).withColumn("t_score", (F.col("win") * 37 + 11) % 100 / F.lit(100.0))
-    return J.session_join(t.flows, windows).select(*FLOW_KEY, "label", "t_score")
+    windows = t.file_windows.withColumn("t_score", (F.col("win") * 37 + 11) % 100 / F.lit(100.0))
+    return J.session_join(t.file_flows, windows).select(*FILE_KEY, *FLOW_KEY, "label", "t_score")
 
 
 @query("join_04_flow_only_fallback", """
     select ip_src, ip_dst, count(*) as flows, cast(sum(case when s.t is null then 1 else 0 end) as bigint) as flow_only,
       cast(sum(case when s.t is null and x_score > 0.5 then 1 else 0 end) as bigint) as flagged_by_flow
-    from scored f left join (select ip_src, ip_dst, 1 as t from window_labels where label <> 'Benign' group by 1, 2) s
-      using (ip_src, ip_dst) group by 1, 2""")
+    from file_scored f left join (select capture_day, capture_file, ip_src, ip_dst, 1 as t from file_window_labels
+        where label <> 'Benign' group by 1, 2, 3, 4) s
+      using (capture_day, capture_file, ip_src, ip_dst) group by 1, 2""")
 def _(t):
     """Sessions without an attack window have no sequence score, so the flow score decides."""
-    windows = S.session_windows(t.clean, label_domain=t.domain).filter(F.col("label") != "Benign")
-    scores = windows.withColumn("t_score", F.lit(1.0))
-    triaged = TR.batch_triage(J.session_join(t.scored.drop("t_score"), scores))
+    scores = t.file_windows.filter(F.col("label") != "Benign").withColumn("t_score", F.lit(1.0))
+    triaged = TR.batch_triage(J.session_join(t.file_scored.drop("t_score"), scores))
     alone = F.col("outcome") == "flow_only"
     return triaged.groupBy("ip_src", "ip_dst").agg(
         F.count(F.lit(1)).alias("flows"), F.count_if(alone).alias("flow_only"),
@@ -250,20 +251,20 @@ def _(t):
 
 
 @query("join_05_matching_sequences", """
-    select s.capture_file, s.row_idx, s.label from seqs s where exists (
-      select 1 from indexed_flows f join split_rows r using (capture_file, first_packet_id)
-      where r.split = 'test' and f.capture_file = s.capture_file and f.row_idx = s.row_idx)""")
+    select s.capture_day, s.capture_file, s.row_idx, s.label from seqs s where exists (
+      select 1 from indexed_flows f join split_rows r using (capture_day, capture_file, first_packet_id)
+      where r.split = 'test' and f.capture_day = s.capture_day and f.capture_file = s.capture_file and f.row_idx = s.row_idx)""")
 def _(t):
     t.store("file_flows", "file_windows")
     tested = t.indexed_flows.join(
-        t.split_rows.filter("split = 'test'").select("capture_file", "first_packet_id"), ["capture_file", "first_packet_id"]
+        t.split_rows.filter("split = 'test'").select("capture_day", "capture_file", "first_packet_id"), ["capture_day", "capture_file", "first_packet_id"]
     )
-    return J.matching_sequences(t.seqs, tested).select("capture_file", "row_idx", "label")
+    return J.matching_sequences(t.seqs, tested).select("capture_day", "capture_file", "row_idx", "label")
 
 
 @query("join_06_shared_files", """
-    select distinct capture_file from split_rows where split = 'train'
-    intersect select capture_file from split_rows where split = 'test'""")
+    select distinct capture_day, capture_file from split_rows where split = 'train'
+    intersect select capture_day, capture_file from split_rows where split = 'test'""")
 def _(t):
     return A.shared_files(t.split_rows.filter("split = 'train'"), t.split_rows.filter("split = 'test'"))
 
@@ -291,8 +292,8 @@ def _(t):
 
 
 @query("join_09_file_parity", """
-    select capture_file from packets group by 1
-    except select capture_file from file_flows where label <> 'Benign'""")
+    select capture_day, capture_file from packets group by 1, 2
+    except select capture_day, capture_file from file_flows where label <> 'Benign'""")
 def _(t):
     """Captures without any attack flow, as inputs lacking an output."""
     return J.unprocessed(t.packets, t.file_flows.filter(F.col("label") != "Benign"))
@@ -376,7 +377,7 @@ def _(t):
 
 @query("agg_07_label_family", """
     select count(*) as files, count(*) filter (hits > 0) as files_with_family, cast(sum(hits) as bigint) as family_rows
-    from (select capture_file, count(*) filter (contains(label, 'DDoS')) as hits from file_flows group by 1)""")
+    from (select capture_day, capture_file, count(*) filter (contains(label, 'DDoS')) as hits from file_flows group by 1, 2)""")
 def _(t):
     return A.label_family(t.file_flows)
 
@@ -532,25 +533,23 @@ def _(t):
     return t.packets.select(F.inline(fields)).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg_23_file_classes", "select capture_file, n, has_attack from files")
+@query("agg_23_file_classes", "select capture_day, capture_file, n, has_attack from files")
 def _(t):
     return A.file_classes(t.file_flows)
 
 
 @query("agg_24_file_health", """
-    select m.capture_file, coalesce(n, 0) as n, coalesce(classes, 0) as classes, coalesce(benign, 0) as benign, coalesce(attack, 0) as attack,
+    select m.capture_day, m.capture_file, coalesce(n, 0) as n, coalesce(classes, 0) as classes, coalesce(benign, 0) as benign, coalesce(attack, 0) as attack,
       coalesce(missing_labels, 0) as missing_labels, coalesce(unexpected_labels, 0) as unexpected_labels,
       coalesce(n, 0) = 0 as is_empty, coalesce(classes, 0) = 1 as single_class,
       coalesce(attack, 0) > 0 and coalesce(benign, 0) > coalesce(attack, 0) * 100 as extreme_imbalance
-    from (select distinct capture_file from packets) m left join (
-      select capture_file, count(*) as n, count(distinct label) as classes, count(*) filter (label = 'Benign') as benign,
+    from (select distinct capture_day, capture_file from packets) m left join (
+      select capture_day, capture_file, count(*) as n, count(distinct label) as classes, count(*) filter (label = 'Benign') as benign,
         count(*) filter (label <> 'Benign') as attack, count(*) filter (label is null) as missing_labels,
-        count(*) filter (label not in ('Benign', 'Botnet', 'DDoS-HOIC')) as unexpected_labels
-      from file_flows where frame_len_count > 1 group by 1) s using (capture_file)""")
+        count(*) filter (label not in (select attack_type from attack_log union all select 'Benign')) as unexpected_labels
+      from file_flows group by 1, 2) s using (capture_day, capture_file)""")
 def _(t):
-    """Multi-packet flows per capture; labels outside a short list count as unexpected."""
-    flows = t.file_flows.filter(F.col("frame_len_count") > 1)
-    return A.file_health(flows, t.packets, ["Benign", "Botnet", "DDoS-HOIC"])
+    return A.file_health(t.file_flows, t.packets, t.domain)
 
 
 @query("agg_25_schema_parity", """

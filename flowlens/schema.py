@@ -9,6 +9,8 @@ BENIGN = "Benign"
 
 FLOW_KEY = ["ip_src", "ip_dst", "ip_proto", "tcp_srcport", "tcp_dstport"]
 SESSION_KEY = ["ip_src", "ip_dst"]
+# A capture is a file of a day folder; names repeat over the days.
+FILE_KEY = ["capture_day", "capture_file"]
 
 NUMERIC_PACKET_COLUMNS = [
     "frame_len", "ip_proto", "tcp_srcport", "tcp_dstport", "ip_ttl", "tcp_window",

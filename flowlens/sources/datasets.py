@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from flowlens.schema import FILE_KEY
+
 
 def write_by_day(df: DataFrame, path: str, columns: Sequence[str] = ("capture_day",)) -> None:
     """Write Parquet partitioned by day; only the days present are replaced.
@@ -33,6 +36,16 @@ def golden_scan(table: DataFrame) -> DataFrame:
     return table.filter(F.col("split") == "test")
 
 
+def built_files(spark: SparkSession, path: str) -> DataFrame:
+    """Captures that a table written by day already holds; none where there is no table yet."""
+    try:
+        return spark.read.parquet(path).select(*FILE_KEY).distinct()
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in FILE_KEY))
+
+
 def pending_inputs(inputs: DataFrame, processed: DataFrame, force: bool = False) -> DataFrame:
     """Inputs to build: those not yet processed, or all of them when forced."""
     names = inputs.select("capture_day", "capture_file").distinct()

@@ -61,10 +61,14 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def event_stream(spark: SparkSession, folder: str, schema, glob: str = "events.parquet", files_per_batch: int = 1000) -> DataFrame:
-    """A folder of event files as a stream."""
+def event_stream(spark: SparkSession, folder: str, schema, glob: str = "events.parquet", files_per_batch: int | None = None) -> DataFrame:
+    """A folder of event files as a stream.
+
+    Without ``files_per_batch`` all files present are one batch. With it, the watermark
+    moves between batches, so rows older than an earlier batch's mark are late.
+    """
     configure(spark)
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    )
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)

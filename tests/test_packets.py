@@ -138,3 +138,11 @@ def test_flow_statistics_and_null_addresses(spark):
 def test_flow_counts_add_up(tables):
     total = tables.flows.agg(F.sum("frame_len_count")).first()[0]
     assert total == tables.packets.filter("ip_src is not null").count()
+
+
+def test_an_attack_without_name_is_benign_in_both_forms(labelled_cases):
+    df, log = labelled_cases
+    unnamed = log.withColumn("attack_type", F.when(F.col("log_id") != 1, F.col("attack_type")))
+    short, long = (f(df.withColumnRenamed("packet_id", "n"), unnamed).orderBy("n") for f in (apply_labels, join_labels))
+    assert values(short, "label") == values(long, "label")
+    assert None not in values(short, "label")

@@ -69,9 +69,10 @@ def test_bidirectional_direction(spark):
 
 def test_cap(spark):
     df = spark.createDataFrame(
-        [(f"f{f}", f"s{s}", "d", w) for f in range(2) for s in range(4) for w in range(5)],
-        "capture_file string, ip_src string, ip_dst string, win long",
+        [(f"d{f}", "f", f"s{s}", "d", w) for f in range(2) for s in range(4) for w in range(5)],
+        "capture_day string, capture_file string, ip_src string, ip_dst string, win long",
     )
-    kept = S.cap_per_file(df, 7).orderBy("capture_file", "seq_idx").collect()
+    assert S.cap_per_file(df, None).count() == 40
+    kept = S.cap_per_file(df, 7).orderBy("capture_day", "seq_idx").collect()
     assert [(r["ip_src"], r["win"]) for r in kept[:7]] == [("s0", w) for w in range(5)] + [("s1", 0), ("s1", 1)]
     assert len(kept) == 14

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators.joins import unprocessed
 from flowlens.plans.dataset_build import build_dataset
+from flowlens.schema import FLOW_SCHEMA
 from flowlens.sources import datasets as D
 from flowlens.sources import packets as PK
 from flowlens.sources.attack_log import read_attack_log
@@ -63,6 +64,8 @@ def test_build_is_incremental(spark, tables, tmp_path):
     assert D.pending_inputs(tables.packets, built).count() == 0
     assert D.pending_inputs(tables.packets, built, force=True).count() == built.count()
     assert unprocessed(tables.packets, flows).count() == 0
+    again = build_dataset(tables.packets, tables.log, out, size=20, stride=5)
+    assert {r["status"] for r in again.collect()} == {"skipped"}
 
 
 def test_day_overwrite_leaves_other_days(spark, tmp_path):
@@ -80,9 +83,10 @@ def test_build_from_capture_text(spark, tables, tmp_path):
     PK.write_packets(capture_text(tables), path, partitions=["capture_day", "capture_file"])
     build_dataset(PK.read_packets(spark, path), tables.log, out, size=20, stride=5)
     built = spark.read.parquet(f"{out}/flows")
-    key = ["capture_file", "ip_src", "ip_dst", "ip_proto", "tcp_srcport", "tcp_dstport", "frame_len_count", "label"]
-    whole = lambda df: sorted(tuple(str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df.select(*key).collect())
+    key = ["capture_day", "capture_file", "ip_src", "ip_dst", "ip_proto", "tcp_srcport", "tcp_dstport", "frame_len_count", "frame_len_sum", "label"]
+    whole = lambda df: sorted(tuple(map(str, r)) for r in df.select(*key).collect())
+    assert {f.name: f.dataType for f in built.schema}.items() >= {f.name: f.dataType for f in FLOW_SCHEMA}.items()
     assert whole(built) == whole(tables.file_flows)
     vectors = spark.read.parquet(f"{out}/sequences")
-    assert vectors.groupBy("capture_file").count().count() == 50
+    assert vectors.groupBy("capture_day", "capture_file").count().count() == 50
     assert vectors.filter(F.size("sequence_features") != 180).count() == 0
