@@ -159,65 +159,90 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
     return np.unpackbits(bits, bitorder="little").view(bool)
 
 
-def _similarities(lists: DataFrame, sampler, size: int) -> DataFrame:
-    """Weighted Jaccard of each member with its leader; rows come sorted, each leader before its members."""
+def profiles(df: DataFrame, text_col: str, nodes: DataFrame, sampler, size: int) -> DataFrame:
+    """node, values and weights (its distinct shingles) of the given nodes; stored.
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        icws, leader, own = sampler.value, None, None
+    Only texts of those nodes, and the few that share a bit with one, leave their scan.
+    """
+    bits = df.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        icws = sampler.value
         for batch in batches:
-            leaders, nodes = batch.column("leader").to_pylist(), batch.column("node").to_pylist()
-            out = []
             for first, end, data, offsets in chunks(batch.column("text")):
-                values, docs, counts = counted(*Words(data, offsets).shingles(size))
-                weights = icws.weigh(values, counts).astype(np.float64)
-                bound = np.searchsorted(docs, np.arange(end - first + 1))
-                for i in range(end - first):
-                    v, w = values[bound[i] : bound[i + 1]], weights[bound[i] : bound[i + 1]]
-                    a, b = leaders[first + i], nodes[first + i]
-                    if a == b:
-                        leader, own = a, (v, w, w.sum())
-                        continue
-                    assert leader == a
-                    at = np.searchsorted(own[0], v)
-                    at[at == len(own[0])] = 0
-                    both = own[0][at] == v
-                    common = np.minimum(own[1][at[both]], w[both]).sum()
-                    out.append((a, b, float(common / (own[2] + w.sum() - common))))
-            a, b, s = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(s, pa.float64())], names=["leader", "node", "sim"])
+                words = Words(data, offsets)
+                hi, lo = _nodes(words, data, offsets)
+                keep = np.flatnonzero(bits.value[_bits(lo)] & (words.count > 0))
+                keep = keep[np.sort(np.unique(lo[keep], return_index=True)[1])]
+                values, docs = words.shingles(size)
+                wanted = np.zeros(end - first, bool)
+                wanted[keep] = True
+                values, docs, counts = counted(values[wanted[docs]], docs[wanted[docs]])
+                bound = pa.array(np.append(np.searchsorted(docs, keep), len(docs)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    to_binary16(hi[keep], lo[keep]), pa.ListArray.from_arrays(bound, pa.array(values.view(np.int64))),
+                    pa.ListArray.from_arrays(bound, pa.array(icws.weigh(values, counts)))], names=["node", "values", "weights"])
 
-    return lists.mapInArrow(verify, "leader binary, node binary, sim double")
+    found = df.select(col(text_col).cast("string").alias("text")).mapInArrow(
+        profile, "node binary, values array<long>, weights array<float>")
+    return materialize(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "profiles")
 
 
-def verified(df: DataFrame, text_col: str, pairs: DataFrame, sampler, size: int = WORDS, per_list: int = 500) -> DataFrame:
-    """``pairs`` (leader, node) with ``sim``; stored.
+def verified(pairs: DataFrame, profiled: DataFrame, per_list: int = 500) -> DataFrame:
+    """``pairs`` (leader, node) with ``sim``, their weighted Jaccard similarity; stored.
 
-    Only texts that some pair names travel. A leader's members are split into lists of
-    about ``per_list``, so a leader of any number of members is no task's burden alone.
+    A leader's members are split into lists of about ``per_list``, so a leader of any
+    number of members is no task's burden alone.
     """
-    spark = df.sparkSession
     many = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / per_list).cast("int").alias("lists"))
     member = pairs.join(many, "leader").select(
         "leader", "node", F.pmod(F.xxhash64("node", F.lit(7)), "lists").cast("int").alias("list"))
     heads = member.select("leader", F.col("leader").alias("node"), "list").distinct()
-    wanted = member.unionByName(heads)
-    bits = spark.sparkContext.broadcast(_bitmap(wanted.select("node")))
+    rows = member.unionByName(heads).join(profiled, "node").withColumn("member", F.col("leader") != F.col("node"))
+    lists = rows.repartition("leader", "list").sortWithinPartitions("leader", "list", "member")
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, own = None, None
         for batch in batches:
-            for first, end, data, offsets in chunks(batch.column("text")):
-                hi, lo = _nodes(Words(data, offsets), data, offsets)
-                keep = np.flatnonzero(bits.value[_bits(lo)])
-                keep = keep[np.sort(np.unique(lo[keep], return_index=True)[1])]
-                text = batch.column("text").slice(first, end - first).take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([to_binary16(hi[keep], lo[keep]), text], names=["node", "text"])
+            leaders, nodes = batch.column("leader").to_pylist(), batch.column("node").to_pylist()
+            values, weights = batch.column("values"), batch.column("weights")
+            bound = values.offsets.to_numpy() - values.offsets[0].as_py()
+            flat, heavy = values.flatten().to_numpy().view(U64), weights.flatten().to_numpy().astype(np.float64)
+            out = []
+            for i, (a, b) in enumerate(zip(leaders, nodes)):
+                v, w = flat[bound[i] : bound[i + 1]], heavy[bound[i] : bound[i + 1]]
+                if a == b:
+                    leader, own = a, (v, w, w.sum())
+                    continue
+                if leader != a:
+                    raise ValueError("a list came without its leader")
+                at = np.searchsorted(own[0], v)
+                at[at == len(own[0])] = 0
+                both = own[0][at] == v
+                common = np.minimum(own[1][at[both]], w[both]).sum()
+                out.append((a, b, float(common / (own[2] + w.sum() - common))))
+            a, b, s = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(s, pa.float64())], names=["leader", "node", "sim"])
+
+    given = lists.select("leader", "node", "values", "weights")
+    return materialize(given.mapInArrow(verify, "leader binary, node binary, sim double"), "similarities")
 
-    source = df.select(col(text_col).cast("string").alias("text")).mapInArrow(texts, "node binary, text string")
-    source = source.groupBy("node").agg(F.max("text").alias("text"))
-    rows = wanted.join(source, "node").select("leader", "list", "node", "text", (F.col("leader") != F.col("node")).alias("member"))
-    lists = rows.repartition("leader", "list").sortWithinPartitions("leader", "list", "member")
-    return materialize(_similarities(lists, sampler, size), "similarities")
+
+def weight_bounds(busy: DataFrame, profiled: DataFrame) -> DataFrame:
+    """node, whole and open: its weight, and that of the shingles some node of another class here has too.
+
+    What a node shares with no other class cannot be common to a pair that would join two
+    classes, so common <= least of the open weights and union >= each whole weight plus the
+    other's closed one. Independent edits of one text close most such pairs at once.
+    """
+    comps = busy.select("node", "comp").distinct()
+    exploded = profiled.join(comps, "node").select("node", "comp", F.explode(F.arrays_zip("values", "weights")).alias("e"))
+    exploded = exploded.select("node", "comp", F.col("e.values").alias("value"), F.col("e.weights").cast("double").alias("weight"))
+    shared = exploded.groupBy("value").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 != c2").select("value")
+    opened = exploded.join(shared, "value").groupBy("node").agg(F.sum("weight").alias("open"))
+    whole = exploded.groupBy("node").agg(F.sum("weight").alias("whole"))
+    return materialize(whole.join(opened, "node").select("node", "whole", "open"), "bounds")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,6 +268,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _mixed(busy: DataFrame) -> DataFrame:
+    """Entries of buckets that hold more than one class."""
+    several = busy.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 != c2")
+    return busy.join(several.select("band"), "band")
+
+
 def near_classes(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = WORDS,
 ) -> tuple[DataFrame, DataFrame]:
@@ -252,7 +283,8 @@ def near_classes(
     candidates; in each bucket the nodes met most often elsewhere lead. A round compares
     the next leaders (1, then eight times as many each time) with all lower nodes of their
     bucket that are not yet in the same class, so every candidate pair that could join two
-    classes is compared in the end, while copies around one centre cost one comparison each.
+    classes is compared in the end or excluded by ``weight_bounds``, while copies around one
+    centre cost one comparison each.
     """
     spark = df.sparkSession
     weights = shingle_weights(counter_sums(df, text_col, size))
@@ -264,28 +296,40 @@ def near_classes(
     central = members.groupBy("node").agg(F.sum("n").alias("met"))
     members = materialize(members.join(central, "node").select(
         "band", "node", "n", F.struct(F.col("met"), F.col("node").alias("key")).alias("rank")), "members")
+    profiled = profiles(df, text_col, central.select("node"), sampler, size)
     largest = members.agg(F.max("n")).first()[0] or 0
-    labels = links = done = None
-    low, high = 0, 1
+    labels = links = done = bounds = None
+    low, high, least = 0, 1, threshold - 1e-6
     while low < largest - 1:
         busy = members.filter(F.col("n") > low + 1).withColumn("comp", F.col("node"))
         if labels is not None:
             busy = busy.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            mixed = busy.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 != c2")
-            busy = materialize(busy.join(mixed.select("band"), "band"), "busy")
+            busy = _mixed(busy.join(bounds, "node") if bounds is not None else busy)
+            if bounds is None:
+                busy = materialize(busy, "busy")
+                bounds = weight_bounds(busy, profiled).filter(F.col("open") >= least * F.col("whole"))
+                members = materialize(_mixed(busy.join(bounds, "node")).drop("whole", "open", "comp"), "members")
+                low, high = 0, LEADERS
+                continue
+            busy = materialize(busy, "busy")
             if not busy.limit(1).count():
                 break
         order = Window.partitionBy("band").orderBy(F.desc("rank"))
         lead = busy.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= high).filter(F.col("place") > low)
-        lead = lead.select("band", F.col("node").alias("leader"), F.col("rank").alias("lead_rank"), F.col("comp").alias("lead_comp"))
-        pairs = busy.join(lead, "band").filter("rank < lead_rank and comp != lead_comp").select("leader", "node").distinct()
+        named = {"node": "leader", "rank": "lead_rank", "comp": "lead_comp", "whole": "lead_whole", "open": "lead_open"}
+        lead = lead.select("band", *[F.col(c).alias(n) for c, n in named.items() if c in lead.columns])
+        pairs = busy.join(lead, "band").filter("rank < lead_rank and comp != lead_comp")
+        if bounds is not None:
+            pairs = pairs.filter(F.least("open", "lead_open") >= least * F.greatest(
+                F.expr("whole + lead_whole - lead_open"), F.expr("lead_whole + whole - open")))
+        pairs = pairs.select("leader", "node").distinct()
         if done is not None:
             pairs = pairs.join(done, ["leader", "node"], "left_anti")
         pairs = materialize(pairs, "pairs")
         low, high = high, high * LEADERS
         if not pairs.limit(1).count():
             continue
-        sims = verified(df, text_col, pairs, sampler, size)
+        sims = verified(pairs, profiled)
         done = sims.select("leader", "node") if done is None else done.unionByName(sims.select("leader", "node"))
         new = sims.filter(F.col("sim") >= threshold - 1e-9).select("leader", "node")
         links = new if links is None else links.unionByName(new)
