@@ -191,6 +191,8 @@ class CharacterModels:
         """Cross-entropy per character of each text in each language; also characters and letters per text."""
         codes, docs, letters = grams(data, offsets)
         size = np.bincount(docs, minlength=len(offsets) - 1)
+        if not self.langs:
+            return np.zeros((len(size), 0)), size, letters
         at = self.grams[-1].find(codes)
         logs = self.logs[at]
         missing = np.flatnonzero(at < 0)
