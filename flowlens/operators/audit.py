@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.schema import BENIGN, FILE_KEY, WINDOW_SIZE, SEQUENCE_FEATURES
 
@@ -156,10 +156,10 @@ def union_checks(checks: Sequence[DataFrame]) -> DataFrame:
 def severe_imbalance(flows: DataFrame, max_ratio: float = 1000.0) -> DataFrame:
     """Benign rows per attack row of each attack label."""
     counts = flows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    benign = flows.agg(_benign().alias("b")).scalar()
+    benign = F.sum(F.when(F.col("label") == BENIGN, F.col("n")).otherwise(0)).over(Window.partitionBy())
     return (
-        counts.filter(F.col("label") != BENIGN)
-        .withColumn("benign_per_attack", benign / F.col("n"))
+        counts.withColumn("benign_per_attack", benign / F.col("n"))
+        .filter(F.col("label") != BENIGN)
         .withColumn("severe", F.col("benign_per_attack") > max_ratio)
     )
 

@@ -13,20 +13,18 @@ from flowlens.schema import BENIGN, FILE_KEY
 def confusion_matrix(df: DataFrame, true: str, pred: str) -> DataFrame:
     """Counts of every (true, pred) pair of occurring classes, zeros included.
 
-    The class list is a set over the counted pairs, so its size is the number of
-    classes.
+    The pairs are counted once and gathered into one row, whose size is the number
+    of classes squared; zeros are filled in there.
     """
     pairs = df.groupBy(F.col(true).alias("true_class"), F.col(pred).alias("pred_class")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    classes = pairs.select(F.explode(F.array("true_class", "pred_class")).alias("c")).agg(
-        F.array_sort(F.collect_set("c")).alias("cs")
-    )
-    zeros = (
-        classes.select(F.explode("cs").alias("true_class"), "cs")
-        .select("true_class", F.explode("cs").alias("pred_class"), F.lit(0).cast("bigint").alias("n"))
-    )
-    return pairs.unionByName(zeros).groupBy("true_class", "pred_class").agg(F.sum("n").alias("n"))
+    gathered = pairs.agg(F.collect_list(F.struct("true_class", "pred_class", "n")).alias("ps"))
+    names = F.array_sort(F.array_distinct(F.concat(F.col("ps.true_class"), F.col("ps.pred_class"))))
+    cells = gathered.select("ps", names.alias("cs")).select("ps", "cs", F.explode("cs").alias("true_class"))
+    cells = cells.select("ps", "true_class", F.explode("cs").alias("pred_class"))
+    here = F.expr("aggregate(filter(ps, p -> p.true_class <=> true_class and p.pred_class <=> pred_class), 0L, (a, p) -> a + p.n)")
+    return cells.select("true_class", "pred_class", here.alias("n"))
 
 
 def classification_report(df: DataFrame, true: str, pred: str) -> DataFrame:
@@ -102,14 +100,12 @@ def threshold_sweep(df: DataFrame, score: str, thresholds: Sequence[float], labe
     return df.filter(s.isNotNull()).agg(points.alias("p")).select(F.inline("p"))
 
 
-def accuracy_gap(train: DataFrame, test: DataFrame, true: str, pred: str) -> DataFrame:
-    """Train and test accuracy and their distance."""
-    hit = F.avg((F.col(true) == F.col(pred)).cast("double"))
-    return (
-        train.agg(hit.alias("train_accuracy"))
-        .withColumn("test_accuracy", test.agg(hit.alias("a")).scalar())
-        .withColumn("gap", F.abs(F.col("train_accuracy") - F.col("test_accuracy")))
-    )
+def accuracy_gap(df: DataFrame, true: str, pred: str, split: str = "split") -> DataFrame:
+    """Accuracy of the train and the test side, and their distance, in one aggregate."""
+    hit = (F.col(true) == F.col(pred)).cast("double")
+    side = lambda name: F.avg(F.when(F.col(split) == name, hit))
+    return df.agg(side("train").alias("train_accuracy"), side("test").alias("test_accuracy")).withColumn(
+        "gap", F.abs(F.col("train_accuracy") - F.col("test_accuracy")))
 
 
 def score_health(df: DataFrame, score: str, collapse_below: float = 0.1, label: str = "label") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.cleaning import is_attack
 from flowlens.functions.ordering import running_sums, value_slice
@@ -17,9 +17,9 @@ from flowlens.schema import BENIGN
 
 
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
+    """Rows and percentage per label; the total is summed over the counts, one row per label."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
-    return counts.withColumn("pct", F.col("n") * 100.0 / total)
+    return counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
 
 
 def long_form(df: DataFrame, ids: Sequence[str], values: Sequence[str]) -> DataFrame:

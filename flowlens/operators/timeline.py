@@ -38,7 +38,7 @@ def binned(
     group = list(group)
     rows = df.withColumn(name, time_bin(ts, unit))
     counts = rows.groupBy(*group, name).agg(*[c.alias(n) for n, c in measures.items()])
-    bounds = rows.groupBy(*group).agg(F.min(name).alias("lo"), F.max(name).alias("hi"))
+    bounds = counts.groupBy(*group).agg(F.min(name).alias("lo"), F.max(name).alias("hi"))
     filled = time_spine(bounds.filter(F.col("lo").isNotNull()), group, unit, name)
     return filled.join(counts, [*group, name], "left").select(
         *group, name, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in measures]
@@ -104,7 +104,7 @@ def port_entropy(packets: DataFrame, group: Sequence[str] = (), unit: str = "min
     total = F.sum("n").cast("double")
     entropy = F.log(total) - F.sum(F.col("n") * F.log(F.col("n").cast("double"))) / total
     per_bin = per_port.groupBy(*group, "bin").agg(entropy.alias("port_entropy"))
-    bounds = rows.groupBy(*group).agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
+    bounds = per_bin.groupBy(*group).agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
     spine = time_spine(bounds.filter(F.col("lo").isNotNull()), group, unit)
     return spine.join(per_bin, [*group, "bin"], "left").select(
         *group, "bin", F.coalesce("port_entropy", F.lit(0.0)).alias("port_entropy")

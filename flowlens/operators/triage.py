@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Verdict texts and thresholds of the two rules.
 ATTACK_LOUD = "ATTACK (Loud)"
@@ -86,9 +86,9 @@ def trigger_rate(triaged: DataFrame) -> DataFrame:
 
 
 def triage_share(triaged: DataFrame) -> DataFrame:
-    total = triaged.agg(F.count(F.lit(1)).alias("n")).scalar()
+    """Rows and percentage per outcome; the total is summed over the counts, one row per outcome."""
     return triaged.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "share_pct", F.col("n") * 100.0 / total
+        "share_pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())
     )
 
 
