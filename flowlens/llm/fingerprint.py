@@ -19,6 +19,7 @@ SUBSETS = sum(used for _, used in LEVELS)
 LEAST_FILLED = 8
 BUCKET_CHARS = 16_000_000
 MOST_BUCKETS = 10_000
+HASH_BITS = (1 << 44) - 1
 NOT_A_TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -64,23 +65,24 @@ def _dealt(inside: Column, ways: int, used: int) -> Column:
 
 
 def _entry(ways: int, base: int):
-    return lambda t: F.concat(F.lpad((_deal(t, ways) + base).cast("string"), 3, "0"), F.hex(t))
+    """The subset's number above 44 bits of the term's hash, the lowest of them set."""
+    return lambda t: F.shiftleft(_deal(t, ways) + base, 44).bitwiseOR(t.bitwiseAND(HASH_BITS)).bitwiseOR(F.lit(1))
 
 
 def subset_hashes(inside: Column) -> Column:
     """Hashes of the sorted distinct lexicon terms of every subset, NULL where a subset has none.
 
     A term is in subset s of a level when its hash deals it there; marks for every subset
-    are sorted in with the terms, so one sort and one split serve all subsets.
+    are sorted in before its terms, so one sort of numbers and one split serve all subsets.
     """
-    entries, marks, base = [], [], 0
+    entries, base = [], 0
     for ways, used in LEVELS:
         entries.append(F.transform(_dealt(inside, ways, used), _entry(ways, base)))
-        marks += [f"{base + s:03d}" for s in range(used)]
         base += used
-    marked = F.sort_array(F.concat(*entries, F.split(F.lit(",".join(marks)), ",")))
-    line = F.array_join(F.transform(marked, lambda e: F.when(F.length(e) == 3, F.lit(";")).otherwise(F.substring(e, 4, 16))), "")
-    parts = F.slice(F.split(line, ";"), 2, SUBSETS)
+    marks = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), lambda s: F.shiftleft(s, 44))
+    marked = F.sort_array(F.concat(*entries, marks))
+    shown = F.transform(marked, lambda e: F.when(e.bitwiseAND(HASH_BITS) == 0, F.lit(";")).otherwise(F.concat(e.cast("string"), F.lit(","))))
+    parts = F.slice(F.split(F.array_join(shown, ""), ";"), 2, SUBSETS)
     return F.transform(parts, lambda p: F.when(p != "", F.pmod(F.xxhash64(p), F.lit(65_536)).cast("int")))
 
 
