@@ -17,6 +17,7 @@ from flowlens.functions.cleaning import is_attack
 from flowlens.functions.ordering import hash_key, key_slice, sliced_row_number
 from flowlens.operators.sequences import session_windows
 from flowlens.schema import BENIGN, SEQUENCE_FEATURES, SESSION_KEY, WINDOW_SIZE, WINDOW_STRIDE
+from flowlens.session import use_checkpoints
 
 # Class-weight rule and positive weights.
 WEIGHT_GAIN, WEIGHT_CAP = 1.5, 10.0
@@ -60,6 +61,7 @@ def fit_binary(
     rounds: int = 100, depth: int = 8, step: float = 0.05,
 ) -> PipelineModel:
     """Boosted trees on attack against Benign."""
+    use_checkpoints(flows.sparkSession)
     trees = GBTClassifier(
         labelCol="y", weightCol="w", maxIter=rounds, maxDepth=depth, stepSize=step, seed=42,
         checkpointInterval=10,
@@ -73,6 +75,7 @@ def fit_binary_early_stop(
     rounds: int = 100, depth: int = 8, step: float = 0.05, tolerance: float = 0.01,
 ) -> PipelineModel:
     """As :func:`fit_binary`, stopping when the held-out loss stops improving."""
+    use_checkpoints(flows.sparkSession)
     trees = GBTClassifier(
         labelCol="y", weightCol="w", maxIter=rounds, maxDepth=depth, stepSize=step, seed=42,
         validationIndicatorCol=eval_flag, validationTol=tolerance, checkpointInterval=10,

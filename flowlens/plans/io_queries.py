@@ -13,7 +13,7 @@ from flowlens.plans.registry import Tables, query
 from flowlens.session import scratch_path
 from flowlens.sources import datasets as D
 from flowlens.sources import packets as PK
-from flowlens.sources.attack_log import parse_attack_log
+from flowlens.sources.attack_log import read_attack_log
 
 
 def capture_text(t: Tables):
@@ -112,17 +112,15 @@ def _(t):
 
 @query("src_08_attack_log", "select label, count(*) as n from labelled group by 1")
 def _(t):
-    """The log as text with separate date and time columns, parsed and applied to all packets."""
+    """The log written as CSV with separate date and time columns, read back and applied to all packets."""
     rows = [
-        (i, start[:10], start[11:], end[11:], target, attack, end[:10]) for i, start, end, target, attack in ATTACK_WINDOWS
+        (start[:10], start[11:], end[:10], end[11:], target, attack) for _, start, end, target, attack in ATTACK_WINDOWS
     ]
+    path = scratch_path(t.spark, "attack-log")
     text = t.spark.createDataFrame(
-        rows, "log_id int, Date string, Start_Time string, End_Time string, Target_IP string, Attack_Type string, End_Date string"
-    )
-    log = parse_attack_log(text)
-    # windows over several days: the text form has one date, so the end day comes from its own column
-    ends = text.select("log_id", F.to_timestamp_ntz(F.concat_ws(" ", "End_Date", "End_Time")).alias("end_ts"))
-    return apply_labels(t.packets, log.drop("end_ts").join(ends, "log_id")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        rows, "Date string, Start_Time string, End_Date string, End_Time string, Target_IP string, Attack_Type string")
+    text.coalesce(1).write.option("header", "true").csv(path)  # one small file, whose line order is the log's
+    return apply_labels(t.packets, read_attack_log(t.spark, path)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src_09_flow_sink", """

@@ -77,7 +77,7 @@ def _(t):
 @query("win_05_interarrival_per_flow", _lag_sql(KEY_SQL, "(select * from clean where ip_src is not null and ip_dst is not null)"))
 def _(t):
     rows = t.clean.filter(F.col("ip_src").isNotNull() & F.col("ip_dst").isNotNull())
-    return r6(TL.interarrival(rows, FLOW_KEY, slice_seconds=86_400).select("packet_id", "interarrival_sec"))
+    return r6(TL.interarrival(rows, FLOW_KEY, slice_seconds=3_600).select("packet_id", "interarrival_sec"))
 
 
 @query("win_06_packet_rate", """
@@ -261,7 +261,7 @@ def _(t):
     from ranked join rule using (capture_day, capture_file)
     where case when by_index then hit else r <= greatest(1, floor(n * 0.15e0)) end""")
 def _(t):
-    t.store("file_flows", "file_windows")
+    t.store("file_flows", "file_windows").store("seqs", "indexed_flows", "split_rows")
     tested = t.indexed_flows.join(
         t.split_rows.filter("split = 'test'").select("capture_day", "capture_file", "first_packet_id"), ["capture_day", "capture_file", "first_packet_id"]
     )

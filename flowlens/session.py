@@ -47,9 +47,26 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder of this application below the shared one."""
+    return f"{scratch_root(spark)}/flowlens/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; never reused between runs."""
-    return f"{scratch_root(spark)}/flowlens/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's folder; never reused between runs."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete everything this application stored; call it when no result is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Give iterative fits a checkpoint folder where the cluster has set none."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(f"{scratch_folder(spark)}/checkpoints")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

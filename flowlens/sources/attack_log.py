@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def parse_attack_log(text: DataFrame) -> DataFrame:
-    """Date, Start_Time, End_Time, Target_IP and Attack_Type text to typed windows; keeps ``log_id``."""
-    at = lambda c: F.to_timestamp_ntz(F.concat_ws(" ", "Date", c))
+    """Date, Start_Time, End_Time, Target_IP and Attack_Type text to typed windows; keeps ``log_id``.
+
+    A window ends on the day it starts, unless the log has a column End_Date.
+    """
+    at = lambda day, c: F.to_timestamp_ntz(F.concat_ws(" ", day, c))
+    last = F.coalesce("End_Date", "Date") if "End_Date" in text.columns else F.col("Date")
     return text.select(
-        "log_id", at("Start_Time").alias("start_ts"), at("End_Time").alias("end_ts"),
+        "log_id", at(F.col("Date"), "Start_Time").alias("start_ts"), at(last, "End_Time").alias("end_ts"),
         F.col("Target_IP").alias("target_ip"), F.col("Attack_Type").alias("attack_type"),
     )
 

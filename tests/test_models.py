@@ -68,3 +68,75 @@ def test_window_summary_counts_padding(tables):
     assert row["frame_len_avg"] == pytest.approx(row["bytes"] / 200)
     assert row["frame_len_last"] == 0.0
     assert row["packet_direction_avg"] == pytest.approx(row["packets"] / 200)
+
+
+def test_forest_stops_growing_on_held_out_loss(rows):
+    train, held = rows.filter("id % 10 > 0"), rows.filter("id % 10 = 0")
+    model, labels, losses = M.fit_multiclass_early_stop(train, held, FEATURES, trees=8, depth=4)
+    assert [n for n, _ in losses] == [2, 4, 8][: len(losses)]
+    best = min(loss for _, loss in losses)
+    found = M.multiclass_log_loss(M.score_multiclass(model, labels, held, FEATURES), labels).first()
+    assert found["n"] == held.count() and found["log_loss"] == pytest.approx(best)
+    shares = held.groupBy("label").count().collect()
+    assert best < -sum(r["count"] / found["n"] * np.log(r["count"] / found["n"]) for r in shares)
+
+
+@pytest.fixture(scope="module")
+def classifier(tables):
+    from flowlens.plans.hybrid import held_out_session
+    from flowlens.plans.training import train_flow_classifier
+    from flowlens.session import materialize
+
+    flows = materialize(tables.file_flows.withColumn("held_out", held_out_session()), "flows")
+    return flows, train_flow_classifier(flows.filter("not held_out"), ["capture_day", "capture_file", "first_packet_id"], trees=4, depth=4)
+
+
+def test_saved_classifier_scores_alike(spark, classifier, tmp_path):
+    from flowlens.plans.training import FlowClassifier
+
+    flows, fitted = classifier
+    fitted.save(str(tmp_path / "c"))
+    loaded = FlowClassifier.load(spark, str(tmp_path / "c"))
+    assert (loaded.labels, loaded.features) == (fitted.labels, fitted.features)
+    scores = [sorted(map(tuple, c.score(flows, ["first_packet_id", "label"]).select("first_packet_id", "pred_label", "x_score").collect()))
+              for c in (fitted, loaded)]
+    assert scores[0] == scores[1] and len(scores[0]) > 0
+
+
+def test_report_of_held_out_sessions(tables, classifier):
+    from flowlens.plans.hybrid import evaluation_report, held_out_session, triage_flows
+    from flowlens.session import materialize
+
+    flows, fitted = classifier
+    windows, names = M.window_summary(tables.clean, per_file=True, label_domain=tables.domain)
+    windows = materialize(windows.withColumn("held_out", held_out_session()), "windows")
+    key = ["capture_day", "capture_file", "ip_src", "ip_dst"]
+    sides = [windows.filter(c).select(*key).distinct() for c in ("held_out", "not held_out")]
+    assert sides[0].count() > 0 and sides[0].intersect(sides[1]).count() == 0
+    assert sides[1].intersect(flows.filter("held_out").select(*key).distinct()).count() == 0
+    model = M.fit_sequence_model(windows.filter("not held_out"), names)
+    triaged = materialize(triage_flows(fitted, model, flows.filter("held_out"), windows.filter("held_out")), "triaged")
+    report = {(r["section"], r["name"], r["other"]): r["value"] for r in evaluation_report(triaged).collect()}
+    n = triaged.count()
+    assert sum(v for (s, _, _), v in report.items() if s == "confusion") == n == report["triggers", "flows", None]
+    assert report["triggers", "trigger_rate", None] == pytest.approx(report["triggers", "triggered", None] / n)
+    attacks = triaged.filter("label <> 'Benign'").count()
+    assert report.get(("report", "1", "support"), 0) == attacks
+    hits = sum(report["recall", r["label"], None] * r["count"] for r in triaged.filter("label <> 'Benign'").groupBy("label").count().collect())
+    assert hits == pytest.approx(report.get(("confusion", "1", "1"), 0))
+
+
+def test_weighted_scores_keep_the_weighted_share(rows):
+    """An unpenalised intercept makes the weighted mean score the weighted attack share."""
+    (_, model), = M.continual_training(rows.withColumn("capture_day", F.lit("D0")), FEATURES, ["D0"], ["id"], rounds=100)
+    scored = M.with_positive_weight(M.score_binary(model, rows, FEATURES), M.FLOW_POSITIVE_WEIGHT)
+    mean, share = scored.agg(F.sum(F.expr("w * x_score")) / F.sum("w"), F.sum(F.expr("w * y")) / F.sum("w")).first()
+    assert mean == pytest.approx(share, abs=1e-3)
+
+
+def test_components_share_the_whole_variance(rows):
+    from flowlens.operators import scaling as SC
+
+    wide = rows.withColumn("c", F.col("a") * 2 - F.col("b")).withColumn("d", F.lit(3.0))
+    _, shares = SC.principal_components(wide, ["a", "b", "c", "d"], k=4)
+    assert sum(shares) == pytest.approx(1) and shares[0] >= shares[1] and shares[2] == pytest.approx(0, abs=1e-9)
