@@ -85,7 +85,16 @@ class _Plan:
                 self.open[room].append((first + used, count - used))
 
 
-def plan_runs(counts: np.ndarray, capacity: int = CAPACITY, groups: int = 40, small: int | None = None) -> tuple[pd.DataFrame, int]:
+def plan_runs(counts: np.ndarray, capacity: int = CAPACITY, groups: int = 40) -> tuple[pd.DataFrame, int]:
+    """The best of ``grouped_plan`` for three limits between small and large lengths: (runs, number of sequences).
+
+    Rounding up costs most where configurations hold many large pieces, and best fit where
+    small ones are scarce; which limit suits shows only in the number of sequences.
+    """
+    return min((grouped_plan(counts, capacity, groups, capacity // part) for part in (5, 3, 2)), key=lambda plan: plan[1])
+
+
+def grouped_plan(counts: np.ndarray, capacity: int, groups: int, small: int) -> tuple[pd.DataFrame, int]:
     """A packing of pieces known only by how many there are of each length: (runs, number of sequences).
 
     Lengths above ``small`` are cut, longest first, into ``groups`` groups of equal
@@ -94,7 +103,6 @@ def plan_runs(counts: np.ndarray, capacity: int = CAPACITY, groups: int = 40, sm
     lengths in their place. What is left, and the small lengths, go by best fit.
     The work depends on ``capacity`` and ``groups``, not on the number of pieces.
     """
-    small = capacity // 8 if small is None else small
     plan = _Plan(np.asarray(counts, np.int64), capacity)
     if plan.left[capacity]:
         count = int(plan.left[capacity])
