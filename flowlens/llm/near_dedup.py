@@ -197,7 +197,7 @@ def verified(pairs: DataFrame, profiled: DataFrame, per_list: int = 500) -> Data
     many = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / per_list).cast("int").alias("lists"))
     member = pairs.join(many, "leader").select(
         "leader", "node", F.pmod(F.xxhash64("node", F.lit(7)), "lists").cast("int").alias("list"))
-    heads = member.select("leader", F.col("leader").alias("node"), "list").distinct()
+    heads = many.select("leader", F.col("leader").alias("node"), F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("list"))
     rows = member.unionByName(heads).join(profiled, "node").withColumn("member", F.col("leader") != F.col("node"))
     lists = rows.repartition("leader", "list").sortWithinPartitions("leader", "list", "member")
 
@@ -332,8 +332,9 @@ def near_classes(
         sims = verified(pairs, profiled)
         done = sims.select("leader", "node") if done is None else done.unionByName(sims.select("leader", "node"))
         new = sims.filter(F.col("sim") >= threshold - 1e-9).select("leader", "node")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+        if labels is None or new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            labels = components(links)
     if labels is None:
         labels = members.select("node", F.col("node").alias("comp")).limit(0)
     return rows.select("id", "node"), labels
