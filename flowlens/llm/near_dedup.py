@@ -308,7 +308,9 @@ def near_classes(
             if bounds is None:
                 busy = materialize(busy, "busy")
                 bounds = weight_bounds(busy, profiled).filter(F.col("open") >= least * F.col("whole"))
-                members = materialize(_mixed(busy.join(bounds, "node")).drop("whole", "open", "comp"), "members")
+                members = _mixed(busy.join(bounds, "node")).drop("whole", "open", "comp")
+                shared_bands = members.groupBy("node").agg(F.collect_list("band").alias("bands"))
+                members = materialize(members.join(shared_bands, "node"), "members")
                 low, high = 0, LEADERS
                 continue
             busy = materialize(busy, "busy")
@@ -316,12 +318,14 @@ def near_classes(
                 break
         order = Window.partitionBy("band").orderBy(F.desc("rank"))
         lead = busy.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= high).filter(F.col("place") > low)
-        named = {"node": "leader", "rank": "lead_rank", "comp": "lead_comp", "whole": "lead_whole", "open": "lead_open"}
+        named = {"node": "leader", "rank": "lead_rank", "comp": "lead_comp", "whole": "lead_whole", "open": "lead_open", "bands": "lead_bands"}
         lead = lead.select("band", *[F.col(c).alias(n) for c, n in named.items() if c in lead.columns])
         pairs = busy.join(lead, "band").filter("rank < lead_rank and comp != lead_comp")
         if bounds is not None:
             pairs = pairs.filter(F.least("open", "lead_open") >= least * F.greatest(
                 F.expr("whole + lead_whole - lead_open"), F.expr("lead_whole + whole - open")))
+            # of the bands that a pair shares, the first one compares it
+            pairs = pairs.filter(F.col("band") == F.array_min(F.array_intersect("bands", "lead_bands")))
         pairs = pairs.select("leader", "node").distinct()
         if done is not None:
             pairs = pairs.join(done, ["leader", "node"], "left_anti")
