@@ -58,13 +58,14 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def digests(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit digests of the chunks' bytes, as two columns."""
+    """96-bit digests of the chunks' bytes, as a long and an int column: every byte of them is shuffled and stored."""
     length = np.diff(np.append(starts, len(data)))
     place = np.arange(len(data)) - np.repeat(starts, length)
     value = data.astype(U64) + U64(1)
     low = np.add.reduceat(value * POWERS[place], starts)
     high = np.add.reduceat(mix(value + (place.astype(U64) << U64(9))), starts)
-    return mix(high + length.astype(U64)), mix(low ^ (length.astype(U64) << U64(48)))
+    second = mix(low ^ (length.astype(U64) << U64(48))) >> U64(32)
+    return mix(high + length.astype(U64)).view(np.int64), second.astype(np.uint32).view(np.int32)
 
 
 def chunk_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,12 +86,12 @@ def chunk_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     ids, pa.array((starts - offsets[docs]).astype(np.int32)),
                     pa.array(np.diff(np.append(starts, len(data))).astype(np.int32)), pa.array(words.astype(np.int32)),
-                    pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))],
+                    pa.array(hi), pa.array(lo)],
                     names=["id", "start", "length", "words", "hi", "lo"])
 
     given = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).filter("id is not null")
     kind = given.schema["id"].dataType.simpleString()
-    return given.mapInArrow(table, f"id {kind}, start int, length int, words int, hi long, lo long")
+    return given.mapInArrow(table, f"id {kind}, start int, length int, words int, hi long, lo int")
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
