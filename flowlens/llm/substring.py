@@ -1,4 +1,9 @@
-"""Repeated passages by content-defined chunking."""
+"""Repeated passages: windows of words, met by an anchor that every copy of a window picks alike.
+
+The anchor of a window is the smallest hash among its runs of ``GRAM`` words, so it depends on
+the window's bytes only. Windows with different anchors differ; those whose anchor one document
+alone has need no further look, and the rest are compared whole.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowlens.llm.rows import col
-from flowlens.llm.text import FOLD, POWERS, U64, chunks, mix
+from flowlens.llm.text import POWERS, U64, Words, chunks, mix
 from flowlens.session import materialize
 
 WINDOW = 32
 MASK_BITS = 5
 LEAST_BYTES, MOST_BYTES = 8, 96
 MIN_WORDS = 30
+GRAM = 8
 GEAR = (mix(np.arange(1, 257, dtype=U64)) >> U64(32)).astype(np.uint32)
 
 
@@ -57,68 +63,140 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.searchsorted(offsets, starts, "right") - 1
 
 
-def digests(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """96-bit digests of the chunks' bytes, as a long and an int column: every byte of them is shuffled and stored."""
-    length = np.diff(np.append(starts, len(data)))
-    place = np.arange(len(data)) - np.repeat(starts, length)
-    value = data.astype(U64) + U64(1)
-    low = np.add.reduceat(value * POWERS[place], starts)
-    high = np.add.reduceat(mix(value + (place.astype(U64) << U64(9))), starts)
-    second = mix(low ^ (length.astype(U64) << U64(48))) >> U64(32)
-    return mix(high + length.astype(U64)).view(np.int64), second.astype(np.uint32).view(np.int32)
+class Windows:
+    """All runs of ``size`` words in some texts, byte for byte from their first word to their last.
 
+    ``word`` numbers the first word within its text, ``doc`` the text, ``start`` and ``end`` are
+    bytes of the chunk; ``hash`` is of the whole window, ``anchor`` of its smallest run of
+    ``GRAM`` words (the first in a tie) and ``place`` where that is.
+    """
 
-def chunk_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, start, length, words, hi, lo of every chunk of every text."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, size: int):
+        words = Words(data, offsets)
+        n = len(words.start)
+        left = np.repeat(words.first + words.count, words.count) - np.arange(n)
+        at = np.flatnonzero(left >= size)
+        self.doc, self.word = words.doc[at], at - words.first[words.doc[at]]
+        self.start, self.end = words.start[at], words.end[at + size - 1]
+        self.hash = self.anchor = np.zeros(0, U64)
+        self.place = at
+        if not len(at):
+            return
+        begin = words.start[0]
+        place = np.arange(begin, len(data)) - np.repeat(words.start, np.diff(np.append(words.start, len(data))))
+        value = mix(data[begin:].astype(U64) + U64(1) + (place.astype(U64) << U64(9)))
+        spaced = mix(np.add.reduceat(value, words.start - begin))  # the word and what stands before the next
+        edges = np.column_stack([words.start, words.end]).ravel() - begin
+        value = np.append(value, U64(0))  # a word may end with the chunk
+        plain = mix(np.add.reduceat(value, edges)[::2] + U64(1))
+
+        def runs(width: int) -> np.ndarray:
+            total = np.zeros(n, U64)
+            for k in range(width):
+                total[: n - k] += (spaced if k < width - 1 else plain)[k:] * POWERS[k % len(POWERS)]
+            return mix(total + U64(width))
+
+        gram = min(GRAM, size)
+        least, where, width, most = runs(gram), np.arange(n), 1, size - gram + 1
+        while width < most:  # smallest of 1, 2, 4, ... runs
+            step = min(width, most - width)
+            less = least[step:] < least[:-step]
+            least = np.append(np.where(less, least[step:], least[:-step]), least[n - step :])
+            where = np.append(np.where(less, where[step:], where[:-step]), where[n - step :])
+            width += step
+        self.hash, self.anchor, self.place = runs(size)[at], least[at], where[at]
+
+
+def anchor_table(given: DataFrame, min_words: int) -> DataFrame:
+    """A row for all windows of a text that pick the same anchor: id, anchor, span, start, length, word, words.
+
+    ``span`` is a hash of those windows and of where the anchor stands in them.
+    """
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in chunks(batch.column("text")):
-                starts, docs = cut(data, offsets)
-                if not len(starts):
+                w = Windows(data, offsets, min_words)
+                if not len(w.hash):
                     continue
-                hi, lo = digests(data, starts)
-                inside = FOLD[data] != 0
-                begins = inside.copy()
-                begins[1:] &= ~inside[:-1]
-                words = np.add.reduceat(begins.astype(np.int32), starts)
-                ids = batch.column("id").slice(first, end - first).take(pa.array(docs))
+                new = np.ones(len(w.hash), bool)
+                new[1:] = (w.place[1:] != w.place[:-1]) | (w.doc[1:] != w.doc[:-1])
+                lo = np.flatnonzero(new)
+                count = np.diff(np.append(lo, len(new)))
+                hi = lo + count - 1
+                step = np.arange(len(new)) - np.repeat(lo, count)
+                span = mix(np.add.reduceat(mix(w.hash + step.astype(U64)), lo) + count.astype(U64))
+                ids = batch.column("id").slice(first, end - first).take(pa.array(w.doc[lo]))
                 yield pa.RecordBatch.from_arrays([
-                    ids, pa.array((starts - offsets[docs]).astype(np.int32)),
-                    pa.array(np.diff(np.append(starts, len(data))).astype(np.int32)), pa.array(words.astype(np.int32)),
-                    pa.array(hi), pa.array(lo)],
-                    names=["id", "start", "length", "words", "hi", "lo"])
+                    ids, pa.array(w.anchor[lo].view(np.int64)), pa.array(span.view(np.int64)),
+                    pa.array((w.start[lo] - offsets[w.doc[lo]]).astype(np.int32)), pa.array((w.end[hi] - w.start[lo]).astype(np.int32)),
+                    pa.array(w.word[lo].astype(np.int32)), pa.array((count + min_words - 1).astype(np.int32))],
+                    names=["id", "anchor", "span", "start", "length", "word", "words"])
 
-    given = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).filter("id is not null")
     kind = given.schema["id"].dataType.simpleString()
-    return given.mapInArrow(table, f"id {kind}, start int, length int, words int, hi long, lo int")
+    return given.mapInArrow(table, f"id {kind}, anchor long, span long, start int, length int, word int, words int")
+
+
+def window_table(asked: DataFrame, min_words: int) -> DataFrame:
+    """The single windows of texts with one of the ``anchors`` beside them: id, hash, start, length, word."""
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in chunks(batch.column("text")):
+                w = Windows(data, offsets, min_words)
+                wanted = batch.column("anchors").slice(first, end - first)
+                bound = np.searchsorted(w.doc, np.arange(len(wanted) + 1))
+                keep = np.zeros(len(w.hash), bool)
+                for i, (a, b) in enumerate(zip(bound, bound[1:])):
+                    keep[a:b] = np.isin(w.anchor[a:b].view(np.int64), wanted[i].values.to_numpy())
+                at = np.flatnonzero(keep)
+                docs = w.doc[at]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("id").slice(first, end - first).take(pa.array(docs)), pa.array(w.hash[at].view(np.int64)),
+                    pa.array((w.start[at] - offsets[docs]).astype(np.int32)), pa.array((w.end[at] - w.start[at]).astype(np.int32)),
+                    pa.array(w.word[at].astype(np.int32))],
+                    names=["id", "hash", "start", "length", "word"])
+
+    kind = asked.schema["id"].dataType.simpleString()
+    return asked.mapInArrow(table, f"id {kind}, hash long, start int, length int, word int")
+
+
+def _shared(table: DataFrame, key: str, *more) -> DataFrame:
+    """The keys that several ids have: key, first_id, copies; stored, as only a join of plain shuffles is split at a hot key."""
+    found = table.groupBy(key).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("copies"), *more)
+    return materialize(found.filter("first_id != last_id").drop("last_id"), "shared")
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Passages that other documents have too: id, start, length, words, first_id, copies, removed.
 
-    Runs of neighbouring chunks whose digests other documents share, of ``min_words`` words
-    in all or more. ``start`` and ``length`` are UTF-8 bytes; ``first_id`` is the smallest id
-    that holds the run's first chunk and ``copies`` how often that chunk occurs. ``removed``
-    is false in that document, which keeps its text. A passage loses less than one chunk at
-    each end, 40 bytes on average, so one of over 50 words keeps 30. NULL ids, and texts that
-    are NULL or empty, have no passage; repeated rows of one id are one document.
+    Every run of ``min_words`` words that another document has byte for byte, from the first
+    letter to the last; overlapping runs with the same ``first_id`` are one passage, so those of
+    different ones may overlap. ``start`` and ``length`` are UTF-8 bytes; ``first_id`` is the
+    smallest id that holds each run and ``copies`` how often the first one occurs. ``removed``
+    is false in that document, which keeps its text. NULL ids, and texts that are NULL or
+    empty, have no passage; repeated rows of one id are one document.
     """
-    table = materialize(chunk_table(df, id_col, text_col), "chunks")
-    shared = table.groupBy("hi", "lo").agg(
-        F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("copies"))
-    shared = shared.filter("first_id != last_id").drop("last_id")
-    hits = table.join(shared, ["hi", "lo"]).select("id", "start", "length", "words", "first_id", "copies").distinct()
-    order = Window.partitionBy("id").orderBy("start")
-    gap = F.coalesce(F.col("start") != F.lag(F.col("start") + F.col("length")).over(order), F.lit(True))
-    runs = hits.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(order))
-    first = F.min(F.struct("start", "first_id", "copies"))
-    spans = runs.groupBy("id", "run").agg(
-        first.alias("first"), F.sum("length").alias("length"), F.sum("words").alias("words")).filter(F.col("words") >= min_words)
+    given = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).filter("id is not null")
+    table = materialize(anchor_table(given, min_words), "anchors")
+    # where all copies of an anchor stand in the same span, its windows are shared with it
+    alike = (F.min("span") == F.max("span")).alias("alike")
+    hits = materialize(table.drop("span").join(_shared(table, "anchor", alike), "anchor"), "hits")
+    asked = hits.filter("not alike").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
+    windows = materialize(window_table(given.join(asked, "id"), min_words), "windows")
+    parts = ["id", "start", "length", "word", "words", "first_id", "copies"]
+    single = windows.join(_shared(windows, "hash"), "hash").withColumn("words", F.lit(min_words))
+    pieces = hits.filter("alike").select(*parts).unionByName(single.select(*parts))
+    order = Window.partitionBy("id", "first_id").orderBy("word", "words")
+    before = F.max(F.col("word") + F.col("words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = pieces.withColumn("gap", F.coalesce(F.col("word") >= before, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("id", "first_id", "run").agg(
+        F.min(F.struct("start", "copies")).alias("first"), F.max(F.col("start") + F.col("length")).alias("end"),
+        (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("words"))
     return spans.select(
-        F.col("id").alias(id_col), F.col("first.start").alias("start"), "length", "words",
-        F.col("first.first_id").alias("first_id"), F.col("first.copies").alias("copies"),
-        (F.col("id") != F.col("first.first_id")).alias("removed"))
+        F.col("id").alias(id_col), F.col("first.start").alias("start"), (F.col("end") - F.col("first.start")).alias("length"), "words",
+        "first_id", F.col("first.copies").alias("copies"), (F.col("id") != F.col("first_id")).alias("removed"))
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -168,6 +168,48 @@ def test_passages_resist_insertions(docs):
     assert clean[0] == text[0] and len(clean[4]) < len(text[4]) and clean[1] == text[1]
 
 
+def shared_words(rows, size):
+    """Of each text, the numbers of the words that are in a run of ``size`` words another text has."""
+    held = defaultdict(set)
+    split = {i: text.split(" ") for i, text in rows}
+    for i, parts in split.items():
+        for k in range(len(parts) - size + 1):
+            held[tuple(parts[k : k + size])].add(i)
+    return {i: {k + j for k in range(len(parts) - size + 1) if len(held[tuple(parts[k : k + size])]) > 1 for j in range(size)}
+            for i, parts in split.items()}
+
+
+@pytest.mark.parametrize("size", [30, 51, 55, 60])
+def test_passages_just_long_enough_are_all_found(docs, size):
+    rng = random.Random(size)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(3000)]
+    rows = []
+    for _ in range(200):  # each passage in two texts, and its middle in a third that comes first
+        passage = rng.choices(words, k=size)
+        for part in (passage[10:size - 10], passage, passage):
+            text = rng.choices(words, k=rng.randint(20, 120))
+            at = rng.randrange(len(text))
+            rows.append((len(rows), " ".join(text[:at] + part + text[at:])))
+    found = defaultdict(set)
+    text = dict(rows)
+    for r in substring.repeated_passages(docs(rows)).collect():
+        raw = text[r["doc_id"]].encode()
+        first = raw[: r["start"]].count(b" ")
+        assert raw[r["start"] : r["start"] + r["length"]].count(b" ") + 1 == r["words"] >= 30
+        found[r["doc_id"]] |= set(range(first, first + r["words"]))
+    truth = shared_words(rows, 30)
+    assert {i: found[i] for i in text} == truth and all(len(truth[i]) >= size for i in text if i % 3)
+
+
+def test_no_passage_is_removed_everywhere(docs):
+    """Text 2 has words of text 1, and then words that only text 3 has too."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(120)]
+    rows = [(1, " ".join(words[:40])), (2, " ".join(words)), (3, " ".join(words[40:]))]
+    kept = dict(map(tuple, substring.without_repeats(docs(rows)).collect()))
+    assert kept[1] == rows[0][1] and kept[2].split() == words[40:] and kept[3] == ""
+
+
 def test_passages_of_odd_rows(docs, odd):
     spans = substring.repeated_passages(docs(odd, extra=("hi", "start"))).collect()
     assert {r["doc_id"] for r in spans} == {4, 5}
