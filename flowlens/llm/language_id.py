@@ -20,19 +20,29 @@ CALIBRATION_SHARE = 50
 ACCEPTED_SHARE = 0.999
 EVIDENCE = 50
 START, BLANK = 2, 32
+#: Second symbols of letters above U+FFFF are the 1,024 from here.
+SECOND = 0xDC00
 
 
-def _symbols() -> np.ndarray:
-    """Characters to model symbols: letters stay, the text mark stays, all else is a blank."""
-    table = np.full(1 << 16, BLANK, np.uint16)
-    for c in range(1 << 16):
-        if chr(c).isalpha():
-            table[c] = c
-    table[START] = START
-    return table
+LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-SYMBOLS = _symbols()
+def _symbols(points: np.ndarray) -> np.ndarray:
+    """Characters to model symbols: letters stay, the text mark stays, all else is a blank.
+
+    A letter above U+FFFF is two symbols, as in UTF-16; no other letter has either.
+    """
+    symbols = np.where(LETTER[points] | (points == START), points, BLANK)
+    high = symbols > 0xFFFF
+    if not high.any():
+        return symbols.astype(np.uint16)
+    at = np.cumsum(1 + high) - 1
+    out = np.empty(at[-1] + 1, np.uint16)
+    rest = symbols[high] - 0x10000
+    out[at[high] - 1] = 0xD800 + (rest >> 10)
+    out[at] = symbols & 0xFFFF
+    out[at[high]] = SECOND + (rest & 0x3FF)
+    return out
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,7 +55,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     mark = "\x02\x02\x02"
     texts = [raw[a:b].decode("utf-8", "replace").replace("\x02", " ").lower() for a, b in zip(offsets, offsets[1:])]
     points = np.frombuffer((mark + mark.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = SYMBOLS[(points & 0xFFFF)]
+    symbols = _symbols(points)
     blank = symbols == BLANK
     keep = ~blank
     keep[1:] |= symbols[:-1] > BLANK  # the first blank after a letter
@@ -57,7 +67,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for k in range(1, ORDER):
         codes[k:] |= wide[:-k] << U64(16 * k)
     told = ~marks
-    letters = np.bincount(docs[told & (symbols != BLANK)], minlength=len(texts))
+    letters = np.bincount(docs[told & (symbols != BLANK) & ((symbols < SECOND) | (symbols >= SECOND + 0x400))], minlength=len(texts))
     return codes[told], docs[told], letters
 
 

@@ -76,6 +76,17 @@ def test_language_of_odd_rows(docs, odd):
     assert (untaught["lang_pred"], untaught["score"], untaught["rejected"]) == ("und", 0.0, True)
 
 
+def test_characters_above_16_bits(docs):
+    emoji, rare = "\U0001F914 \U0001F923\U0001F97A", "\U00020BB7\U00020BB8 \U00020BB7"
+    raw = [t.encode() for t in (emoji, rare, "a" + emoji)]
+    codes, of, letters = language_id.grams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert letters.tolist() == [0, 3, 1] and np.bincount(of, minlength=3).tolist() == [0, 7, 2]
+    assert len({int(c) & 0xFFFFFFFF for c in codes[of == 1]}) > 2
+    rows = docs([(1, emoji), (2, rare), *[(10 + i, "the cat sat" if i % 2 else rare * 3, "en" if i % 2 else "zh") for i in range(40)]])
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(rows, F.lit(True)).collect()}
+    assert found[1] == ("und", 0.0) and found[2][0] == "zh" and found[2][1] > 0.5
+
+
 def toxic_rows(n=600):
     rng = np.random.default_rng(2)
     words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
