@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.llm.rows import col
@@ -14,11 +16,13 @@ from flowlens.llm.text import U64, chunks, mix
 from flowlens.session import materialize
 
 ORDER = 4
+#: Counted grams in one part of the model; there are as many parts as that takes.
 MAX_GRAMS = 1_500_000
 CALIBRATION_ROWS = 4000
 CALIBRATION_SHARE = 50
 ACCEPTED_SHARE = 0.999
 EVIDENCE = 50
+GROUP_BYTES = 64 << 20
 START, BLANK = 2, 32
 #: Second symbols of letters above U+FFFF are the 1,024 from here.
 SECOND = 0xDC00
@@ -138,11 +142,40 @@ class HashArray:
         return found
 
 
+def _discount(once: int, twice: int) -> float:
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+
+
+class Statistics:
+    """What the parts of a model have in common: languages, grams, discounts by (order, language), counts of single symbols."""
+
+    def __init__(self, counts: DataFrame):
+        level, found = counts, []
+        for k in range(ORDER, 0, -1):
+            if k < ORDER:  # in how many longer grams each one ends
+                level = level.groupBy("lang", F.col("code").bitwiseAND((1 << 16 * k) - 1).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+            found.append(level.groupBy("lang").agg(
+                F.lit(k).alias("k"), F.count(F.lit(1)).alias("grams"), F.count_if(F.col("n") == 1).alias("once"),
+                F.count_if(F.col("n") == 2).alias("twice")))
+        rows = reduce(DataFrame.unionByName, found).collect()
+        self.langs = sorted({r["lang"] for r in rows})
+        self.grams = sum(r["grams"] for r in rows if r["k"] == ORDER)
+        self.discounts = {(r["k"], r["lang"]): _discount(r["once"], r["twice"]) for r in rows}
+        singles = level.toPandas().sort_values("code")
+        self.singles = [(part["code"].to_numpy(np.int64).view(U64), part["n"].to_numpy(float))
+                        for part in (singles[singles["lang"] == lang] for lang in self.langs)]
+
+
 class CharacterModels:
-    """Kneser-Ney probabilities of all languages side by side, a hash array per order."""
+    """Kneser-Ney probabilities of all languages side by side, a hash array per order.
+
+    Every gram, its contexts and its endings but the last symbol have the same symbol before
+    the last, so the grams with some of those symbols make a part of the model that is
+    complete for them, given ``statistics`` of all grams. Without, the table is all there is.
+    """
 
-    def __init__(self, table: pd.DataFrame):
-        self.langs = sorted(table["lang"].unique())
+    def __init__(self, table: pd.DataFrame, statistics: Statistics | None = None):
+        self.langs = statistics.langs if statistics else sorted(table["lang"].unique())
         width = len(self.langs)
         per_order: list[list[tuple[np.ndarray, np.ndarray]]] = []
         top = []
@@ -156,6 +189,8 @@ class CharacterModels:
             mask = U64((1 << 16 * k) - 1)
             per_order.append([tuple(x.astype(t) for x, t in zip(np.unique(c & mask, return_counts=True), (U64, float)))
                               for c, _ in per_order[-1]])
+        if statistics:
+            per_order[-1] = statistics.singles
         per_order.reverse()
         self.grams: list[HashArray] = []
         self.backoff: list[HashArray] = []
@@ -168,8 +203,10 @@ class CharacterModels:
             gamma = np.ones((len(contexts), width))
             share = np.zeros((len(codes), width))
             for j, (own, n) in enumerate(langs):
-                once, twice = (n == 1).sum(), (n == 2).sum()
-                discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+                if statistics:
+                    discount = statistics.discounts[k, self.langs[j]]
+                else:
+                    discount = _discount((n == 1).sum(), (n == 2).sum())
                 context = np.searchsorted(contexts, own >> U64(16) if k > 1 else np.zeros(len(own), U64))
                 total = np.bincount(context, n, len(contexts))
                 kinds = np.bincount(context, minlength=len(contexts))
@@ -197,68 +234,104 @@ class CharacterModels:
             out[missing] = gamma * self.probabilities(rest & U64((1 << 16 * (order - 1)) - 1), order - 1)
         return out
 
-    def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cross-entropy per character of each text in each language; also characters and letters per text."""
-        codes, docs, letters = grams(data, offsets)
-        size = np.bincount(docs, minlength=len(offsets) - 1)
-        if not self.langs:
-            return np.zeros((len(size), 0)), size, letters
+    def log_sums(self, codes: np.ndarray, docs: np.ndarray, texts: int) -> np.ndarray:
+        """Sum of the grams' log-probabilities of each text in each language."""
+        total = np.zeros((texts, len(self.langs)))
+        if not self.langs or not len(codes):
+            return total
         at = self.grams[-1].find(codes)
-        logs = self.logs[at]
+        logs = self.logs[at] if len(self.logs) else np.empty((len(codes), len(self.langs)), np.float32)
         missing = np.flatnonzero(at < 0)
         if len(missing):
             logs[missing] = np.log(self.probabilities(codes[missing], ORDER))
-        total = np.zeros((len(size), len(self.langs)))
+        size = np.bincount(docs, minlength=texts)
         has = np.flatnonzero(size)
-        if len(has):
-            total[has] = np.add.reduceat(logs, np.cumsum(size)[has] - size[has], axis=0, dtype=np.float64)
-        return -total / np.maximum(size, 1)[:, None], size, letters
+        total[has] = np.add.reduceat(logs, np.cumsum(size)[has] - size[has], axis=0, dtype=np.float64)
+        return total
 
 
-def _model_rows(counts: DataFrame, most: int) -> pd.DataFrame:
-    """The counted grams, or as many of the most frequent ones (all of a count or none) as ``most`` allows.
+def _part(code, parts: int):
+    """Which part of the model a gram belongs to, by the symbol before its last."""
+    if isinstance(code, Column):
+        return F.pmod(F.shiftrightunsigned(code, 16).bitwiseAND(0xFFFF), F.lit(parts))
+    return (code >> U64(16) & U64(0xFFFF)) % U64(parts)
+
+
+def _broadcast_parts(counts: DataFrame, most: int) -> tuple[list[str], list[Broadcast]]:
+    """The languages, and the model of all counted grams in parts of about ``most`` of them, built one after the other."""
+    statistics = Statistics(counts)
+    parts = max(1, -(-statistics.grams // most))
+    return statistics.langs, [
+        counts.sparkSession.sparkContext.broadcast(CharacterModels(counts.filter(_part(F.col("code"), parts) == k).toPandas(), statistics))
+        for k in range(parts)]
 
-    ``most`` bounds what is sent to the driver and to every worker. The counts
-    themselves are over all rows; Kneser-Ney gives a dropped gram its backed-off share.
-    """
-    spread = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("grams")).toPandas()
-    spread = spread.sort_values("n", ascending=False)
-    fits = spread[spread["grams"].cumsum() <= most]
-    floor = int(fits["n"].min()) if len(fits) else 10_000
-    return counts.filter(F.col("n") >= floor).limit(most).toPandas()
 
+def _entropies(
+    batches: Iterator[pa.RecordBatch], model: list[Broadcast],
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of the batches with each text's cross-entropy per symbol in each language, symbols and letters.
 
-def _scores(df: DataFrame, model, calibration) -> DataFrame:
+    A model of several parts is gone through once for every ``GROUP_BYTES`` of text, with one
+    part in memory at a time.
+    """
+    group, held = [], 0
+
+    def scored():
+        told: list = [None] * len(group)
+        for k, part in enumerate(model):
+            for i, (rows, data, offsets) in enumerate(group):
+                codes, docs, letters = grams(data, offsets)
+                size = np.bincount(docs, minlength=len(offsets) - 1)
+                if len(model) > 1:
+                    mine = _part(codes, len(model)) == k
+                    codes, docs = codes[mine], docs[mine]
+                sums = part.value.log_sums(codes, docs, len(size))
+                told[i] = (rows, sums if told[i] is None else told[i][1] + sums, size, letters)
+            if len(model) > 1 and getattr(part, "_path", None):
+                vars(part).pop("_value", None)  # read from its file again when its turn comes
+        for rows, sums, size, letters in told:
+            yield rows, -sums / np.maximum(size, 1)[:, None], size, letters
+        group.clear()
+
+    for batch in batches:
+        for first, end, data, offsets in chunks(batch.column("text")):
+            group.append((batch.slice(first, end - first), data, offsets))
+            held += len(data)
+            if len(model) == 1 or held >= GROUP_BYTES:
+                yield from scored()
+                held = 0
+    yield from scored()
+
+
+def _scores(df: DataFrame, names: list[str], model: list[Broadcast], calibration) -> DataFrame:
     """id, text -> id, lang_pred, score, cross_entropy, rejected."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, (sharpness, limits) = model.value, calibration
-        langs = np.array(models.langs, object)
-        for batch in batches:
-            for first, end, data, offsets in chunks(batch.column("text")):
-                entropy, size, letters = models.entropies(data, offsets)
-                known = (letters > 0) & (len(langs) > 0)
-                best = entropy.argmin(axis=1) if len(langs) else np.zeros(len(known), int)
-                low = entropy.min(axis=1, initial=np.inf) if len(langs) else np.zeros(len(known))
-                gap = (entropy - low[:, None]) * (sharpness * np.minimum(size, EVIDENCE))[:, None]
-                sure = np.where(known, 1 / np.maximum(np.exp(-gap).sum(axis=1), 1), 0.0)
-                name = np.where(known, langs[best], "und") if len(langs) else np.full(len(known), "und", object)
-                rejected = ~known | (low > np.array([*limits, np.inf])[np.where(known, best, len(limits))])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("id").slice(first, end - first), pa.array(name, pa.string()), pa.array(sure),
-                    pa.array(np.where(known, low, np.nan)), pa.array(rejected)],
-                    names=["id", "lang_pred", "score", "cross_entropy", "rejected"])
+        sharpness, limits = calibration
+        langs = np.array(names, object)
+        for rows, entropy, size, letters in _entropies(batches, model):
+            known = (letters > 0) & (len(langs) > 0)
+            best = entropy.argmin(axis=1) if len(langs) else np.zeros(len(known), int)
+            low = entropy.min(axis=1, initial=np.inf) if len(langs) else np.zeros(len(known))
+            gap = (entropy - low[:, None]) * (sharpness * np.minimum(size, EVIDENCE))[:, None]
+            sure = np.where(known, 1 / np.maximum(np.exp(-gap).sum(axis=1), 1), 0.0)
+            name = np.where(known, langs[best], "und") if len(langs) else np.full(len(known), "und", object)
+            rejected = ~known | (low > np.array([*limits, np.inf])[np.where(known, best, len(limits))])
+            yield pa.RecordBatch.from_arrays([
+                rows.column("id"), pa.array(name, pa.string()), pa.array(sure),
+                pa.array(np.where(known, low, np.nan)), pa.array(rejected)],
+                names=["id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     kind = df.schema["id"].dataType.simpleString()
     return df.select("id", "text").mapInArrow(score, f"id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
-def _calibrate(sample: pd.DataFrame, models: CharacterModels) -> tuple[float, list[float]]:
+def _calibrate(sample: pd.DataFrame, langs: list[str]) -> tuple[float, list[float]]:
     """Sharpness of the score that makes held-back labels likeliest, and each language's entropy limit."""
-    if not len(sample) or not models.langs:
-        return 1.0, [np.inf] * len(models.langs)
+    if not len(sample) or not langs:
+        return 1.0, [np.inf] * len(langs)
     entropy = np.array(sample["entropy"].tolist())
-    truth = sample["lang"].map({lang: j for j, lang in enumerate(models.langs)}).to_numpy()
+    truth = sample["lang"].map({lang: j for j, lang in enumerate(langs)}).to_numpy()
     evidence = np.minimum(sample["size"].to_numpy(), EVIDENCE)
     best = (np.inf, 1.0)
     for sharpness in np.geomspace(0.02, 2, 25):
@@ -266,7 +339,7 @@ def _calibrate(sample: pd.DataFrame, models: CharacterModels) -> tuple[float, li
         loss = (np.log(np.exp(logit).sum(axis=1)) - logit[np.arange(len(truth)), truth]).mean()
         best = min(best, (loss, sharpness))
     limits = [float(np.quantile(entropy[truth == j, j], ACCEPTED_SHARE)) if (truth == j).sum() > 20 else np.inf
-              for j in range(len(models.langs))]
+              for j in range(len(langs))]
     return float(best[1]), limits
 
 
@@ -282,27 +355,23 @@ def identify(
     length-normalised cross-entropy, the first by name in a tie; ``rejected`` says that even
     that is beyond what 99.9 % of the language's texts have. Texts that are NULL or without
     a letter, and all texts where nothing could be learned, get ``und``, score 0 and rejected.
+    The model holds all grams; where they are more than ``max_grams``, in several parts.
     """
-    spark = df.sparkSession
     given = df.select(
         col(id_col).alias("id"), col(text_col).cast("string").alias("text"), col(lang_col).cast("string").alias("lang"),
         F.coalesce(train, F.lit(False)).alias("train"))
     known = given.filter("train and lang is not null and text is not null")
     fold = F.pmod(F.xxhash64("id", F.length("text")), F.lit(CALIBRATION_SHARE))
     counts = materialize(gram_counts(known.filter(fold != 0), "text", "lang"), "grams")
-    models = CharacterModels(_model_rows(counts, max_grams))
-    model = spark.sparkContext.broadcast(models)
-    held = known.filter(fold == 0).filter(F.col("lang").isin(models.langs)).orderBy(F.xxhash64("id", F.lit(1))).limit(calibration_rows)
+    langs, model = _broadcast_parts(counts, max_grams)
+    held = known.filter(fold == 0).filter(F.col("lang").isin(langs)).orderBy(F.xxhash64("id", F.lit(1))).limit(calibration_rows)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, end, data, offsets in chunks(batch.column("text")):
-                entropy, size, letters = model.value.entropies(data, offsets)
-                some = pa.array(letters > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("lang").slice(first, end - first), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(size)],
-                    names=["lang", "entropy", "size"]).filter(some)
+        for rows, entropy, size, letters in _entropies(batches, model):
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("lang"), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(size)],
+                names=["lang", "entropy", "size"]).filter(pa.array(letters > 0))
 
     sample = held.select("text", "lang").mapInArrow(measure, "lang string, entropy array<double>, size long").toPandas()
-    scored = _scores(given, model, _calibrate(sample, models))
+    scored = _scores(given, langs, model, _calibrate(sample, langs))
     return scored.withColumnRenamed("id", id_col)

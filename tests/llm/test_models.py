@@ -87,6 +87,19 @@ def test_characters_above_16_bits(docs):
     assert found[1] == ("und", 0.0) and found[2][0] == "zh" and found[2][1] > 0.5
 
 
+def test_model_in_parts_is_the_whole_model(docs):
+    """However few grams a part may have, none is lost, nor a small language beside a large one."""
+    rng = np.random.default_rng(6)
+    words = {lang: ["".join(rng.choice(list(letters), 5)) for _ in range(60)] for lang, letters in (("aa", "abcdefgh"), ("bb", "efghijkl"))}
+    rows = [(i, " ".join(rng.choice(words[lang], 12)), lang) for i in range(300) for lang in ["bb" if i % 30 == 0 else "aa"]]
+    whole, parts = ({r["doc_id"]: r for r in language_id.identify(docs(rows), F.lit(True), max_grams=most).collect()}
+                    for most in (language_id.MAX_GRAMS, 40))
+    assert all(whole[i]["lang_pred"] == parts[i]["lang_pred"] == lang for i, _, lang in rows)
+    for i in whole:
+        assert parts[i]["cross_entropy"] == pytest.approx(whole[i]["cross_entropy"], rel=1e-6)
+        assert parts[i]["score"] == pytest.approx(whole[i]["score"], rel=1e-6)
+
+
 def toxic_rows(n=600):
     rng = np.random.default_rng(2)
     words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
