@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens.llm import (
-    exact_dedup, fingerprint, language_id, mixing, near_dedup, packing, substring, toxicity, url_filter, warc,
+    alignment, exact_dedup, fingerprint, language_id, mixing, near_dedup, packing, substring, toxicity, url_filter, warc,
 )
 from flowlens.session import scratch_path
 
@@ -135,3 +135,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_url_filter")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir)).documents
