@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens.llm import (
-    alignment, exact_dedup, fingerprint, language_id, mixing, near_dedup, packing, substring, toxicity, url_filter, warc,
+    alignment, exact_dedup, extraction, fingerprint, language_id, mixing, near_dedup, packing, substring, toxicity,
+    url_filter, warc, whitening,
 )
 from flowlens.session import scratch_path
 
@@ -137,6 +138,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@query("op11_extraction")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query("op13_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir)).documents

@@ -30,7 +30,7 @@ def test_query_matches_sql(name, spark, sf_dir):
 
 def test_all_operators_are_registered():
     names = [n for n in entry_module.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == [*range(1, 11), 13] and "pipeline" in entry_module.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry_module.queries()
 
 
 def test_ids_are_those_of_the_vocabulary_file(table):
