@@ -103,7 +103,7 @@ class Page:
 
     def __init__(self, html: str):
         self.name, self.parent, self.beside, self.runs = ["html"], [-1], [""], []
-        self._open: list[tuple[str, int]] = [("html", 0)]  # inline elements have the number -1, skipped ones -2
+        self._open: list[tuple[str, int]] = [("html", 0)]  # inline elements have the number -1, skipped blocks -2, both -3
         self._count, self._parts, self._skips = Counter(html=1), [], 0
         self._linked = self._links = 0
         at = 0
@@ -139,11 +139,11 @@ class Page:
 
     def _pop(self) -> None:
         name, node = self._open[-1]
-        if node != -1:
+        if node not in (-1, -3):
             self._close_run()
         self._open.pop()
         self._count[name] -= 1
-        self._skips -= node == -2
+        self._skips -= node <= -2
 
     def _pop_to(self, depth: int) -> None:
         while len(self._open) > depth:
@@ -181,7 +181,7 @@ class Page:
                 self._links += not self._skips
             if skipped and not self._skips:
                 self._text(" ")
-            self._open.append((name, -2 if skipped else -1))
+            self._open.append((name, -3 if skipped else -1))
             self._count[name] += 1
             self._skips += skipped
             return
