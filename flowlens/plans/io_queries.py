@@ -14,6 +14,7 @@ from flowlens.session import scratch_path
 from flowlens.sources import datasets as D
 from flowlens.sources import packets as PK
 from flowlens.sources.attack_log import read_attack_log
+from flowlens.sources.ingest import ingest
 
 
 def capture_text(t: Tables):
@@ -45,28 +46,34 @@ def _(t):
 
 @query("src_02_utf16_csv", READ_BACK)
 def _(t):
-    """The same captures in UTF-16, found out from the header."""
+    """The same captures with one file of each day in UTF-16, all in one folder; every file tells its own encoding."""
     path = scratch_path(t.spark, "csv16")
-    PK.write_packets(capture_text(t), path, encoding="UTF-16", partitions=["capture_day"])
-    clean = C.clean_packets(PK.read_packets(t.spark, path))
+    text = capture_text(t)
+    wide = F.col("capture_file").endswith("-1")
+    PK.write_packets(text.filter(~wide), path, partitions=["capture_day", "capture_file"])
+    PK.write_packets(text.filter(wide), path, encoding="UTF-16", partitions=["capture_day", "capture_file"], mode="append")
+    clean = C.clean_packets(ingest(t.spark, path).packets)
     return clean.select(*READ_COLUMNS, F.round("payload_ratio", 9).alias("payload_ratio"))
 
 
-@query("src_03_skip_untimed", """
-    select 'success' as status, count(*) as packets from packets where capture_day < 'D05'
-    union all select 'skipped', 0""")
+UNTIMED = "(capture_day >= 'D05' and capture_file not like '%-2')"
+
+
+@query("src_03_skip_untimed", f"""
+    select case when {UNTIMED} then 'skipped' else 'success' end as status, case when {UNTIMED} then 'no frame.time_epoch column' end as reason,
+      count(distinct (capture_day, capture_file)) as captures, cast(sum(case when {UNTIMED} then 0 else 1 end) as bigint) as packets
+    from packets group by 1, 2""")
 def _(t):
-    """Half of the days come from an old export without epoch times and are left out."""
-    timed, untimed = scratch_path(t.spark, "timed"), scratch_path(t.spark, "untimed")
+    """Some captures of each later day come from an old export without epoch times; they alone are left out."""
+    path = scratch_path(t.spark, "mixed")
     text = capture_text(t)
-    PK.write_packets(text.filter("capture_day < 'D05'"), timed, partitions=["capture_day"])
-    PK.write_packets(text.filter("capture_day >= 'D05'").drop("frame_time_epoch"), untimed, partitions=["capture_day"])
-    rows, manifest = PK.read_folders(t.spark, [timed, untimed])
-    counts = rows.groupBy("source_folder").agg(F.count(F.lit(1)).alias("n"))
-    seen = manifest.select("source_folder", "status", F.lit(0).cast("bigint").alias("n")).unionByName(
-        counts.select("source_folder", F.lit(None).cast("string").alias("status"), "n")
-    )
-    return seen.groupBy("source_folder").agg(F.max("status").alias("status"), F.sum("n").alias("packets")).drop("source_folder")
+    PK.write_packets(text.filter(f"not {UNTIMED}"), path, partitions=["capture_day", "capture_file"])
+    PK.write_packets(text.filter(UNTIMED).drop("frame_time_epoch"), path, partitions=["capture_day", "capture_file"], mode="append")
+    read = ingest(t.spark, path)
+    packets = read.packets.groupBy("capture_day", "capture_file").agg(F.count(F.lit(1)).alias("n"))
+    per_capture = read.manifest.groupBy("capture_day", "capture_file", "status", "reason").agg(F.sum("records").alias("records"))
+    return per_capture.join(packets, ["capture_day", "capture_file"], "left").groupBy("status", "reason").agg(
+        F.count(F.lit(1)).alias("captures"), F.coalesce(F.sum("n"), F.lit(0)).alias("packets"))
 
 
 @query("src_04_discovery", """
@@ -136,13 +143,24 @@ def _(t):
     )
 
 
+BROKEN = "(capture_day = 'D09' and capture_file = 'cap-4')"
+
+
 @query("src_10_run_summary", f"""
-    select case when {PROCESSED} then 'skipped' when capture_day = 'D09' and capture_file = 'cap-4' then 'error' else 'success' end as status,
-      count(distinct (capture_day, capture_file)) as files from packets group by 1""")
+    select status, count(*) as files, cast(sum(records) as bigint) as records from (
+      select capture_day, capture_file, case when {BROKEN} then 'error' when {PROCESSED} then 'skipped' else 'success' end as status,
+        case when {BROKEN} then 0 else count(*) end as records
+      from packets group by 1, 2) group by 1""")
 def _(t):
+    """A run over captures, of which some are built already and one has line ends inside its records."""
+    path = scratch_path(t.spark, "captures")
+    text = capture_text(t).withColumn("tcp_flags", F.when(F.expr(BROKEN), F.lit("0x\n02")).otherwise(F.col("tcp_flags")))
+    PK.write_packets(text.repartition("capture_day", "capture_file"), path, partitions=["capture_day", "capture_file"])
+    manifest = ingest(t.spark, path).manifest
     done = t.packets.filter(PROCESSED).select("capture_day", "capture_file").distinct()
-    failed = t.packets.filter("capture_day = 'D09' and capture_file = 'cap-4'").select("capture_day", "capture_file")
-    return D.run_summary(D.build_status(t.packets, D.pending_inputs(t.packets, done), failed))
+    status = D.build_status(manifest, D.pending_inputs(manifest, done), manifest.filter("status = 'error'"))
+    return status.join(manifest.drop("status"), ["capture_day", "capture_file"]).groupBy("status").agg(
+        F.count(F.lit(1)).alias("files"), F.sum(F.when(F.col("status") == "error", 0).otherwise(F.col("records"))).alias("records"))
 
 
 @query("run_01_dataset_build", """

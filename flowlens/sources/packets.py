@@ -1,18 +1,22 @@
-"""Packet capture CSVs: discovery, encodings, and skipping files without a time column."""
+"""Packet capture CSVs: discovery, folders of one format, and writing."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens.functions.cleaning import rename_raw
-from flowlens.schema import RAW_PACKET_COLUMNS
+from flowlens.schema import FILE_KEY, RAW_PACKET_COLUMNS
 
 TIME_COLUMN = "frame.time_epoch"
 
 
+def _folder_value(name: str) -> Column:
+    """The value of a ``name=value`` folder, as a partitioned read gives it; '' where there is none."""
+    return F.try_url_decode(F.replace(F.regexp_extract("path", f"{name}=([^/]+)", 1), F.lit("+"), F.lit("%2B")))
+
+
 def discover(
     spark: SparkSession, root: str, day: str | None = None, limit: int | None = None, priority_day: str | None = None
 ) -> DataFrame:
@@ -22,12 +26,11 @@ def discover(
     """
     listing = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv").load(root).select("path", "length")
+        .option("pathGlobFilter", "*.csv").load(root).select("path", "length", F.col("_metadata.file_path").alias("uri"))
     )
     files = listing.select(
-        "path", "length",
-        F.regexp_extract("path", r"capture_day=([^/]+)", 1).alias("capture_day"),
-        F.regexp_extract("path", r"capture_file=([^/]+)", 1).alias("capture_file"),
+        "path", "uri", "length",
+        *[_folder_value(name).alias(name) for name in FILE_KEY],
     )
     if day:
         files = files.filter(F.col("capture_day") == day)
@@ -50,35 +53,20 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
 
 def read_packets(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """One folder of captures as text columns with plain names.
+    """A folder of captures of one encoding and header as text columns with plain names.
 
-    Files of a folder must share a header; one that differs is an error, not
-    silently shifted columns.
+    A file whose header differs is an error, not silently shifted columns; ``ingest``
+    reads folders of mixed files.
     """
     reader = _reader(spark, encoding or detect_encoding(spark, path))
     return rename_raw(reader.csv(path))
 
 
-def read_folders(spark: SparkSession, folders: Sequence[str]) -> tuple[DataFrame | None, DataFrame]:
-    """All readable folders stacked by name, and a manifest row per folder.
-
-    Folders whose header lacks the time column are skipped.
-    """
-    frames, manifest = [], []
-    for folder in folders:
-        df = read_packets(spark, folder)
-        if RAW_PACKET_COLUMNS[TIME_COLUMN] in df.columns:
-            frames.append(df.withColumn("source_folder", F.lit(folder)))
-            manifest.append((folder, "success", None))
-        else:
-            manifest.append((folder, "skipped", f"no {TIME_COLUMN} column"))
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
-    return stacked, spark.createDataFrame(manifest, "source_folder string, status string, reason string")
-
-
-def write_packets(packets: DataFrame, path: str, encoding: str = "UTF-8", partitions: Sequence[str] = ()) -> None:
+def write_packets(
+    packets: DataFrame, path: str, encoding: str = "UTF-8", partitions: Sequence[str] = (), mode: str = "error"
+) -> None:
     """Packets as quoted capture CSVs with dotted column names."""
     names = {plain: dotted for dotted, plain in RAW_PACKET_COLUMNS.items() if plain in packets.columns}
     renamed = packets.withColumnsRenamed(names)
-    writer = renamed.write.option("header", "true").option("quoteAll", "true").option("encoding", encoding)
+    writer = renamed.write.mode(mode).option("header", "true").option("quoteAll", "true").option("encoding", encoding)
     (writer.partitionBy(*partitions) if partitions else writer).csv(path)

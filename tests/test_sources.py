@@ -6,11 +6,12 @@ import os
 from pyspark.sql import functions as F
 
 from flowlens.operators.joins import unprocessed
-from flowlens.plans.dataset_build import build_dataset
+from flowlens.plans.dataset_build import build_dataset, build_folder
 from flowlens.schema import FLOW_SCHEMA
 from flowlens.sources import datasets as D
 from flowlens.sources import packets as PK
 from flowlens.sources.attack_log import read_attack_log
+from flowlens.sources.ingest import ingest, inspect_files
 
 HEADER = '"frame.time_epoch","ip.src","ip.dst","frame.len","tcp.flags"'
 BODY = '"1.5","10.0.0.1","10.0.0.2","60","0x0012"\n"2.5","10.0.0.1",,"70","bad"\n'
@@ -36,12 +37,93 @@ def test_encodings_give_the_same_rows(spark, tmp_path):
     assert PK.detect_encoding(spark, f"{tmp_path}/utf16") == "UTF-16"
 
 
-def test_untimed_folder_is_skipped(spark, tmp_path):
-    write(f"{tmp_path}/a/x.csv", (HEADER + "\n" + BODY).encode())
-    write(f"{tmp_path}/b/x.csv", b"frame.number,ip.src\n1,10.0.0.1\n")
-    rows, manifest = PK.read_folders(spark, [f"{tmp_path}/a", f"{tmp_path}/b"])
-    assert rows.count() == 2
-    assert [r["status"] for r in manifest.collect()] == ["success", "skipped"]
+def records(n, host):
+    return "".join(f'"{i}.5","10.0.0.{host}",{"" if i % 3 == 0 else chr(34) + "10.0.0.2" + chr(34)},"{60 + i}","0x0012"\n' for i in range(n))
+
+
+def mixed_folder(root):
+    """Files of every kind in one folder; what ``ingest`` should make of each: encoding, status, reason, records."""
+    whole = lambda host, n=50: HEADER + "\n" + records(n, host)
+    shorter = HEADER.replace(',"tcp.flags"', "")
+    files = {
+        "plain": (whole(1).encode(), "UTF-8", "success", None, 50),
+        "mark 8+%": (codecs.BOM_UTF8 + whole(2).encode(), "UTF-8", "success", None, 50),
+        "wide": (whole(3, 4000).replace("\n", "\r\n").encode("utf-16"), "UTF-16LE", "success", None, 4000),
+        "wide-be": (codecs.BOM_UTF16_BE + whole(4).encode("utf-16-be"), "UTF-16BE", "success", None, 50),
+        "wide-unmarked": (('"ip.src","frame.time_epoch"\n' + '"10.0.0.5","1.25"\n' * 5).encode("utf-16-le"), "UTF-16LE", "success", None, 5),
+        "only-header": ((HEADER + "\n").encode(), "UTF-8", "success", None, 0),
+        "no-line-end": (whole(6).encode()[:-1], "UTF-8", "success", None, 50),
+        "untimed": (b"frame.number,ip.src\n1,10.0.0.1\n", "UTF-8", "skipped", "no frame.time_epoch column", None),
+        "cut-off": (whole(7).encode()[:-4], "UTF-8", "error", "the last record is cut off", None),
+        "shifted": ((shorter + "\n" + records(50, 8)).encode(), "UTF-8", "error", "the last record has 5 fields, the header 4", None),
+        "hole": ((whole(9, 20) + '"1.5","10.0.0.1"\n' + records(20, 9)).encode(), "UTF-8", "error", "1 of 41 records do not fit the header", 41),
+        "blank": (b"\n\n", "UTF-8", "error", "no header", None),
+        "noise": (b"\xc3\x28\xa0\xa1,\n" * 9, None, "error", "not utf-8 text", None),
+        "twice": (b"frame.time_epoch,ip.src,ip.src\n1,2,3\n", "UTF-8", "error", "a column is named twice", None),
+    }
+    for k, (name, (data, *_)) in enumerate(files.items()):
+        write(f"{root}/capture_day=D{k % 2}/capture_file={name.replace('%', '%25')}/x.csv", data)
+    return {name: tuple(rest) for name, (_, *rest) in files.items()}
+
+
+def test_every_file_is_judged_on_its_own(spark, tmp_path):
+    expected = mixed_folder(tmp_path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 30_000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1000)
+    try:
+        read = ingest(spark, str(tmp_path))
+        scan = spark.read.option("encoding", "UTF-16LE").option("lineSep", "\n").csv(f"{tmp_path}/capture_day=D0/capture_file=wide")
+        assert scan.rdd.getNumPartitions() > 5  # one wide file, many tasks
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    found = {r["capture_file"]: (r["encoding"], r["status"], r["reason"], r["records"]) for r in read.manifest.collect()}
+    assert found == expected
+    rows = read.packets.groupBy("capture_file").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r["capture_file"]: r["n"] for r in rows} == {n: e[3] for n, e in expected.items() if e[1] == "success" and e[3]}
+    wide = read.packets.filter("capture_file = 'wide'")
+    lines = sorted(tuple(r) for r in wide.select("frame_time_epoch", "ip_src", "ip_dst", "frame_len", "tcp_flags").collect())
+    assert lines == sorted((f"{i}.5", "10.0.0.3", None if i % 3 == 0 else "10.0.0.2", str(60 + i), "0x0012") for i in range(4000))
+
+
+def test_separate_reads_give_the_same_packets(spark, tmp_path):
+    good = [n for n, e in mixed_folder(tmp_path / "all").items() if e[1] == "success" and e[3]]
+    together = ingest(spark, str(tmp_path / "all")).packets
+    columns = ["frame_time_epoch", "ip_src", "frame_len"]
+    for name in good[:4]:
+        path = next((tmp_path / "all").glob(f"capture_day=*/capture_file={name.replace('%', '%25')}"))
+        alone = PK.read_packets(spark, str(path)).select([c for c in columns])
+        assert sorted(map(tuple, alone.collect())) == sorted(
+            map(tuple, together.filter(F.col("capture_file") == name).select(*columns).collect()))
+
+
+def test_long_lines_and_no_good_file(spark, tmp_path):
+    columns = ",".join(['"frame.time_epoch"', *(f'"c{i}"' for i in range(20_000))])
+    row = ",".join(["1.5", *("x" * 9 for _ in range(20_000))])
+    write(f"{tmp_path}/a/capture_day=D0/capture_file=a/x.csv", f"{columns}\n{row}\n{row}\n".encode())
+    looked = inspect_files(spark, f"{tmp_path}/a").first()
+    assert looked["status"] == "success" and len(looked["columns"]) == 20_001
+    write(f"{tmp_path}/b/capture_day=D0/capture_file=a/x.csv", b"a,b\n1,2\n")
+    read = ingest(spark, f"{tmp_path}/b")
+    assert read.packets.count() == 0 and [r["status"] for r in read.manifest.collect()] == ["skipped"]
+
+
+def test_folder_build_leaves_out_what_cannot_be_read(spark, tables, tmp_path):
+    from flowlens.plans.io_queries import capture_text
+
+    root, out = str(tmp_path / "in"), str(tmp_path / "out")
+    text = capture_text(tables).filter("capture_day < 'D02'")
+    broken = F.expr("capture_day = 'D00' and capture_file = 'cap-1'")
+    text = text.withColumn("tcp_flags", F.when(broken, F.lit("0x\n02")).otherwise(F.col("tcp_flags")))
+    PK.write_packets(text, root, partitions=["capture_day", "capture_file"])
+    status = {(r["capture_day"], r["capture_file"]): r for r in build_folder(spark, root, tables.log, out, size=20, stride=5).collect()}
+    assert len(status) == 10 and {k for k, r in status.items() if r["status"] != "success"} == {("D00", "cap-1")}
+    assert "header" in status["D00", "cap-1"]["reason"]
+    built = spark.read.parquet(f"{out}/flows")
+    expected = tables.packets.filter("capture_day < 'D02' and not (capture_day = 'D00' and capture_file = 'cap-1') and ip_src is not null").count()
+    assert built.agg(F.sum("frame_len_count")).first()[0] == expected
+    again = build_folder(spark, root, tables.log, out, size=20, stride=5).collect()
+    assert sorted(r["status"] for r in again) == ["error"] + ["skipped"] * 9
 
 
 def test_attack_log_keeps_file_order(spark, tmp_path):
