@@ -24,8 +24,6 @@ WEIGHT_GAIN, WEIGHT_CAP = 1.5, 10.0
 FLOW_POSITIVE_WEIGHT = 50.0
 SEQUENCE_POSITIVE_WEIGHT = 18.0
 SCORING_BATCH = 2048
-#: Shares of the trees after which a growing forest is judged.
-FOREST_STEPS = (0.25, 0.5, 1.0)
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -124,34 +122,6 @@ def fit_multiclass(
     return model, list(model.stages[0].labels)
 
 
-def multiclass_log_loss(scored: DataFrame, labels: Sequence[str], label: str = "label") -> DataFrame:
-    """Rows and mean -log of the true class's probability, from ``probs``; the mean is NULL without rows."""
-    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)).cast("int")
-    p = F.greatest(F.element_at("probs", place), F.lit(1e-15))
-    return scored.filter(place > 0).agg(F.count(F.lit(1)).alias("n"), F.avg(-F.log(p)).alias("log_loss"))
-
-
-def fit_multiclass_early_stop(
-    train: DataFrame, held_out: DataFrame, features: Sequence[str], trees: int = 100, depth: int = 10, tolerance: float = 0.0,
-) -> tuple[PipelineModel, list[str], list[tuple[int, float]]]:
-    """Forests of growing size until the held-out log-loss falls no further.
-
-    Returns the model before the loss stopped falling, its class order and the
-    (trees, loss) table. Without held-out rows the first size is kept.
-    """
-    best, losses = None, []
-    for size in sorted({max(1, int(trees * share)) for share in FOREST_STEPS}):
-        model, labels = fit_multiclass(train, features, size, depth)
-        loss = multiclass_log_loss(score_multiclass(model, labels, held_out, features), labels).first()["log_loss"]
-        losses.append((size, loss))
-        if best is not None and (loss is None or loss > best[2] - tolerance):
-            break
-        best = (model, labels, loss)
-        if loss is None:
-            break
-    return best[0], best[1], losses
-
-
 def score_multiclass(
     model: PipelineModel, labels: Sequence[str], df: DataFrame, features: Sequence[str]
 ) -> DataFrame:
@@ -199,7 +169,7 @@ def permutation_importance(
     losses = log_loss(score_binary(model, spread, features), by=["feature"])
     base = losses.filter("feature = 'baseline'").select("log_loss").scalar()
     return losses.filter("feature <> 'baseline'").select(
-        "feature", (F.col("log_loss") - base).alias("added_loss")
+        "feature", "n", (F.col("log_loss") - base).alias("added_loss")
     ).orderBy(F.desc("added_loss"), "feature")
 
 
@@ -225,6 +195,22 @@ def window_summary(
     return windows, list(extra)
 
 
+def vector_summary(windows: DataFrame, size: int = WINDOW_SIZE) -> DataFrame:
+    """The columns of :func:`window_summary` from stored window vectors instead of packets."""
+    width, out = len(SEQUENCE_FEATURES), {}
+    for place, c in enumerate(SEQUENCE_FEATURES):
+        steps = F.transform(
+            F.sequence(F.lit(0), F.lit(size - 1)), lambda i, p=place: F.col("sequence_features")[i * width + p].cast("double"))
+        sums = F.aggregate(steps, F.array(F.lit(0.0), F.lit(0.0)), lambda s, x: F.array(s[0] + x, s[1] + x * x))
+        mean = sums[0] / size
+        out |= {
+            f"{c}_avg": mean, f"{c}_dev": F.sqrt(F.greatest(sums[1] / size - mean * mean, F.lit(0.0))), f"{c}_max": F.array_max(steps),
+            f"{c}_first": F.col("sequence_features")[place].cast("double"),
+            f"{c}_last": F.col("sequence_features")[(size - 1) * width + place].cast("double"),
+        }
+    return windows.withColumns(out)
+
+
 def fit_sequence_model(
     windows: DataFrame, features: Sequence[str], weight: float = SEQUENCE_POSITIVE_WEIGHT, iterations: int = 50
 ) -> PipelineModel:

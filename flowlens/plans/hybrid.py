@@ -8,7 +8,6 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.functions.ordering import hash_key
 from flowlens.operators.evaluate import classification_report, confusion_matrix, attack_recall
 from flowlens.operators.joins import session_join
 from flowlens.operators.triage import batch_triage, trigger_rate
@@ -20,8 +19,12 @@ HELD_OUT_PCT = 15
 
 
 def held_out_session(seed: int = 42) -> Column:
-    """Is a flow's or window's session, in its capture, kept from every fit? Both stages use this split."""
-    return F.pmod(hash_key(seed, *FILE_KEY, *SESSION_KEY), F.lit(100)) < HELD_OUT_PCT
+    """Is a flow's or window's session, in its capture, kept from every fit? Both stages use this split.
+
+    A share of the sessions' MD5 digests, so that any engine can tell the sides apart.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *FILE_KEY, *SESSION_KEY).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100 < HELD_OUT_PCT
 
 
 def score_sessions(model: PipelineModel, windows: DataFrame) -> DataFrame:

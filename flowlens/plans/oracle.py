@@ -31,7 +31,7 @@ def _flows(key: str, source: str = "clean") -> str:
       using ({key})"""
 
 
-def _windows(key: str, size: int, stride: int) -> str:
+def windows_sql(key: str, size: int, stride: int) -> str:
     part = f"partition by {key} order by packet_ts, packet_id"
     return f"""
     select * from (
@@ -43,7 +43,7 @@ def _windows(key: str, size: int, stride: int) -> str:
                   from clean where ip_src is not null and ip_dst is not null)))"""
 
 
-def _window_labels(key: str, rows: str) -> str:
+def window_labels_sql(key: str, rows: str) -> str:
     return f"""
     select {key}, win, label from (
       select {key}, win, label, row_number() over (partition by {key}, win order by count(*) desc, label) as r
@@ -78,12 +78,12 @@ BASE = {
     from labelled""",
     "flows": _flows(FLOW_KEY),
     "file_flows": _flows(FILE_KEY),
-    "window_rows": _windows("ip_src, ip_dst", 200, 50),
-    "small_window_rows": _windows("ip_src, ip_dst", 20, 5),
-    "file_window_rows": _windows("capture_day, capture_file, ip_src, ip_dst", 20, 5),
-    "window_labels": _window_labels("ip_src, ip_dst", "window_rows"),
-    "small_window_labels": _window_labels("ip_src, ip_dst", "small_window_rows"),
-    "file_window_labels": _window_labels("capture_day, capture_file, ip_src, ip_dst", "file_window_rows"),
+    "window_rows": windows_sql("ip_src, ip_dst", 200, 50),
+    "small_window_rows": windows_sql("ip_src, ip_dst", 20, 5),
+    "file_window_rows": windows_sql("capture_day, capture_file, ip_src, ip_dst", 20, 5),
+    "window_labels": window_labels_sql("ip_src, ip_dst", "window_rows"),
+    "small_window_labels": window_labels_sql("ip_src, ip_dst", "small_window_rows"),
+    "file_window_labels": window_labels_sql("capture_day, capture_file, ip_src, ip_dst", "file_window_rows"),
     # values of one window's steps, one row per window, feature and step, padding as missing rows
     "window_steps": """
     select ip_src, ip_dst, win, f.idx as feature_idx, rn - win * 50 as step, cast(cast(f.v as float) as double) as v

@@ -5,60 +5,59 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens.functions.features import engineer_features, feature_names
-from flowlens.operators import models as M
+from flowlens.operators.boosting import BoostedTrees, Settings, fit_boosted
 from flowlens.operators.scaling import apply_flow_scaler, fit_flow_scaler
 from flowlens.operators.split import attack_priority, permutation_split
 from flowlens.session import materialize
 
 
+#: Fewer and larger steps than the fixed ones, and trees of at most 64 leaves: a pass per level of a round.
+QUICK = Settings(rounds=40, patience=3, depth=5, step=0.4)
+
+
 @dataclass
 class FlowClassifier:
-    model: PipelineModel
-    labels: list[str]
+    model: BoostedTrees
     scaler: DataFrame
-    features: list[str]
+
+    @property
+    def labels(self) -> list[str]:
+        return self.model.labels
+
+    @property
+    def features(self) -> list[str]:
+        return self.model.features
 
     def score(self, flows: DataFrame, keep: Sequence[str]) -> DataFrame:
         """``keep`` columns, the scaled features, ``pred_label``, ``probs`` and ``x_score``."""
         rows = engineer_features(flows, list(keep))
-        scaled = apply_flow_scaler(rows, self.scaler, self.features, clamp=True)
-        return M.score_multiclass(self.model, self.labels, scaled, self.features)
+        return self.model.score(apply_flow_scaler(rows, self.scaler, self.features, clamp=True))
 
     def save(self, path: str) -> None:
-        """Model, scaler and names below ``path``, for :meth:`load` in another program."""
-        self.model.write().overwrite().save(f"{path}/model")
+        """Model and scaler as two tables below ``path``, for :meth:`load` in another program."""
+        self.model.to_rows(self.scaler.sparkSession).write.mode("overwrite").parquet(f"{path}/model")
         self.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
-        names = [("label", i, v) for i, v in enumerate(self.labels)] + [("feature", i, v) for i, v in enumerate(self.features)]
-        self.scaler.sparkSession.createDataFrame(names, "kind string, place int, name string").write.mode("overwrite").parquet(f"{path}/names")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "FlowClassifier":
-        names = spark.read.parquet(f"{path}/names").orderBy("place").collect()
-        listed = lambda kind: [r["name"] for r in names if r["kind"] == kind]
-        return FlowClassifier(
-            PipelineModel.load(f"{path}/model"), listed("label"), spark.read.parquet(f"{path}/scaler"), listed("feature"))
+        return FlowClassifier(BoostedTrees.from_rows(spark.read.parquet(f"{path}/model")), spark.read.parquet(f"{path}/scaler"))
 
 
 def train_flow_classifier(
-    train: DataFrame, ids: Sequence[str], max_total: int = 12_000_000, trees: int = 100, depth: int = 10,
-    file_key: Column | None = None,
+    train: DataFrame, ids: Sequence[str], max_total: int = 12_000_000, settings: Settings = Settings(), file_key: Column | None = None,
 ) -> FlowClassifier:
-    """Attack-priority load, 43 features, train-side scaling, class weights, a forest on 90 %.
+    """Attack-priority load, 43 features, train-side scaling, class weights, boosted trees on 90 %.
 
-    The forest grows by ``M.FOREST_STEPS`` up to ``trees`` until the log-loss on the
-    other 10 % stops falling.
+    Rounds end when the weighted log-loss of the other 10 % has not fallen for ``settings.patience`` rounds.
     """
     names = feature_names()
-    # read by the scaler fit, the weights, the forests and their losses: stored before and after scaling
+    # read by the scaler fit, the weights, the bins and the boosting: stored before scaling
     parts = materialize(permutation_split(attack_priority(train, max_total, file_key), ids), "training-rows")
     features = materialize(engineer_features(parts, [*ids, "label", "split"]), "training-features")
     scaler_rows = fit_flow_scaler(features.filter("split = 'train'"), names).collect()
     scaler = train.sparkSession.createDataFrame(scaler_rows, "feature string, mean double, std double")
-    scaled = apply_flow_scaler(features, scaler, names, clamp=True)
-    model, labels, _ = M.fit_multiclass_early_stop(
-        scaled.filter("split = 'train'"), scaled.filter("split = 'eval'"), names, trees, depth)
-    return FlowClassifier(model, labels, scaler, names)
+    scaled = apply_flow_scaler(features, scaler, names, clamp=True).withColumn("held_out", F.col("split") == "eval")
+    return FlowClassifier(fit_boosted(scaled, names, "held_out", ids, settings), scaler)

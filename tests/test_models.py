@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowlens.operators import boosting as B
 from flowlens.operators import models as M
 from flowlens.operators.triage import attack_score
-from flowlens.plans.fit_queries import pooled_logistic
 
 FEATURES = ["a", "b"]
 
@@ -51,6 +51,19 @@ def test_continual_training_fits_every_day(rows):
     assert [day for day, _ in models] == ["D0", "D1", "D2"]
 
 
+def pooled_logistic(center):
+    """Loader of a network that takes the logistic of the mean-pooled, log-scaled window."""
+
+    def load():
+        def predict(batch):
+            steps = np.log1p(np.abs(batch.reshape(len(batch), -1, 9)))
+            return 1.0 / (1.0 + np.exp(center - steps.mean(axis=(1, 2))))
+
+        return predict
+
+    return load
+
+
 def test_vector_scores_match_numpy(spark):
     data = np.random.default_rng(0).normal(3, 1, (11, 1800)).astype(np.float32)
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "i int, sequence_features array<float>")
@@ -70,15 +83,89 @@ def test_window_summary_counts_padding(tables):
     assert row["packet_direction_avg"] == pytest.approx(row["packets"] / 200)
 
 
-def test_forest_stops_growing_on_held_out_loss(rows):
-    train, held = rows.filter("id % 10 > 0"), rows.filter("id % 10 = 0")
-    model, labels, losses = M.fit_multiclass_early_stop(train, held, FEATURES, trees=8, depth=4)
-    assert [n for n, _ in losses] == [2, 4, 8][: len(losses)]
-    best = min(loss for _, loss in losses)
-    found = M.multiclass_log_loss(M.score_multiclass(model, labels, held, FEATURES), labels).first()
-    assert found["n"] == held.count() and found["log_loss"] == pytest.approx(best)
-    shares = held.groupBy("label").count().collect()
-    assert best < -sum(r["count"] / found["n"] * np.log(r["count"] / found["n"]) for r in shares)
+def boosted_by_hand(x, y, w, rounds, depth, step, ridge, alpha, least_weight, least_gain, cuts):
+    """Softmax boosting on whole arrays, a cut at a time: margins after each round."""
+    classes, n = int(y.max()) + 1, len(y)
+    shrink = lambda g: np.sign(g) * max(abs(g) - alpha, 0)
+    margins, history = np.zeros((n, classes)), []
+    for _ in range(rounds):
+        p = np.exp(margins) / np.exp(margins).sum(axis=1, keepdims=True)
+        update = np.zeros_like(margins)
+        for k in range(classes):
+            g, h = w * (p[:, k] - (y == k)), 2 * w * p[:, k] * (1 - p[:, k])
+            todo = [(np.arange(n), 0)]
+            while todo:
+                rows, level = todo.pop()
+                whole = shrink(g[rows].sum()) ** 2 / (h[rows].sum() + ridge)
+                best = (least_gain, None)
+                for f in range(x.shape[1]) if level < depth else ():
+                    for c in cuts[f]:
+                        left = rows[x[rows, f] <= c]
+                        right = rows[x[rows, f] > c]
+                        if min(h[left].sum(), h[right].sum()) < least_weight:
+                            continue
+                        gain = sum(shrink(g[s].sum()) ** 2 / (h[s].sum() + ridge) for s in (left, right)) - whole
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (left, right))
+                if best[1] is None:
+                    update[rows, k] = -step * shrink(g[rows].sum()) / (h[rows].sum() + ridge)
+                else:
+                    todo += [(s, level + 1) for s in best[1]]
+        margins += update
+        history.append(margins.copy())
+    return history
+
+
+def test_boosting_matches_plain_arithmetic(rows):
+    s = B.Settings(rounds=3, patience=3, depth=3, step=0.3, row_share=1.0, feature_share=1.0, least_weight=2.0, bins=8, keep_every=2)
+    flagged = rows.withColumn("held", F.col("id") % 10 == 0)
+    model = B.fit_boosted(flagged, FEATURES, "held", ["id"], s)
+    assert model.labels == ["Alpha", "Benign", "Zeta"] and [r for r, _, _ in model.losses] == [0, 1, 2, 3] and model.best_round == 3
+    data = flagged.filter("not held").orderBy("id").toPandas()
+    weight = {r["label"]: r["weight"] for r in M.class_weights(flagged.filter("not held")).collect()}
+    x, y = data[FEATURES].to_numpy(), data["label"].map(model.labels.index).to_numpy()
+    w = data["label"].map(weight).to_numpy()
+    history = boosted_by_hand(x, y, w, 3, s.depth, s.step, s.ridge, s.alpha, s.least_weight, s.least_gain, model.edges)
+    for (_, loss, _), margins in zip(model.losses[1:], history):
+        p = np.exp(margins[np.arange(len(y)), y]) / np.exp(margins).sum(axis=1)
+        assert loss == pytest.approx(-(w * np.log(p)).sum() / w.sum(), rel=1e-5)
+    scored = model.score(flagged.filter("not held")).orderBy("id").toPandas()
+    margins = history[-1]
+    expected = np.exp(margins) / np.exp(margins).sum(axis=1, keepdims=True)
+    np.testing.assert_allclose(np.array(scored["probs"].tolist()), expected, atol=1e-6)
+    np.testing.assert_allclose(scored["x_score"], 1 - expected[:, 1], atol=1e-6)
+    assert model.importances()["a"] > 0.9 and sum(model.importances().values()) == pytest.approx(1)
+
+
+def test_boosting_stops_before_it_learns_noise(spark, rows):
+    noisy = rows.withColumn("label", F.when(F.rand(1) < 0.5, "Alpha").otherwise("Benign")).withColumn("held", F.col("id") % 4 == 0)
+    noisy = spark.createDataFrame(noisy.collect(), noisy.schema)
+    model = B.fit_boosted(noisy, FEATURES, "held", ["id"], B.Settings(rounds=12, patience=2, depth=4, step=0.6, least_weight=1.0, bins=16))
+    assert len(model.losses) < 13 and len(model.trees) == model.best_round <= len(model.losses) - 3
+    found = {r["round"]: r for r in B.losses(spark, model).collect()}
+    assert min(found, key=lambda r: found[r]["held_out_loss"]) == model.best_round and found[model.best_round]["chosen"]
+    assert found[max(found)]["train_loss"] < found[0]["train_loss"]
+
+
+def test_a_pass_over_the_rows_per_level(rows, monkeypatch):
+    passes, whole = [], B._pass
+    monkeypatch.setattr(B, "_pass", lambda *a: passes.append(len(a[3])) or whole(*a))
+    flagged = rows.withColumn("held", F.col("id") % 10 == 0)
+    B.fit_boosted(flagged, FEATURES, "held", ["id"], B.Settings(rounds=2, depth=2, step=0.3, least_weight=1.0, bins=8))
+    assert len(passes) == 2 * 2 + 1  # all classes at once; the last pass judges the last round
+
+
+def test_boosted_rows_of_every_kind(spark, rows):
+    model = B.fit_boosted(rows.withColumn("held", F.lit(False)), FEATURES, "held", ["id"], B.Settings(rounds=2, depth=2, step=0.5, bins=4))
+    assert len(model.trees) == 2 and all(np.isnan(h) for _, _, h in model.losses)
+    odd = spark.createDataFrame([(1, None, None, "Benign"), (2, float("nan"), 1e300, "New"), (3, -1e300, float("inf"), None)],
+                                "id long, a double, b double, label string")
+    assert model.score(odd).filter("abs(aggregate(probs, 0d, (s, x) -> s + x) - 1) < 1e-9").count() == 3
+    assert model.score(odd.limit(0)).count() == 0
+    again = B.BoostedTrees.from_rows(model.to_rows(spark))
+    assert (again.labels, again.features, again.edges, again.best_round) == (model.labels, model.features, model.edges, 2)
+    x = np.random.default_rng(0).integers(0, 4, (50, 2)).astype(np.uint8)
+    assert (again.probabilities(x) == model.probabilities(x)).all()
 
 
 @pytest.fixture(scope="module")
@@ -88,7 +175,8 @@ def classifier(tables):
     from flowlens.session import materialize
 
     flows = materialize(tables.file_flows.withColumn("held_out", held_out_session()), "flows")
-    return flows, train_flow_classifier(flows.filter("not held_out"), ["capture_day", "capture_file", "first_packet_id"], trees=4, depth=4)
+    return flows, train_flow_classifier(flows.filter("not held_out"), ["capture_day", "capture_file", "first_packet_id"],
+                                        settings=B.Settings(rounds=3, depth=3, step=0.3))
 
 
 def test_saved_classifier_scores_alike(spark, classifier, tmp_path):
