@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from flowlens.llm.rows import col, pack, unpack
@@ -20,8 +20,6 @@ BANDS, ROWS = 10, 4
 COUNTERS = 1 << 18
 IDF_GAIN = 0.1
 FILTER_BITS = 1 << 22
-#: Rank limits of the nodes that lead a bucket in successive rounds.
-LEADERS = 8
 _GAMMA_LEVELS, _LOG_LEVELS = 1 << 12, 1 << 16
 
 
@@ -274,17 +272,128 @@ def _mixed(busy: DataFrame) -> DataFrame:
     return busy.join(several.select("band"), "band")
 
 
+def common_weights(values: list[np.ndarray], weights: list[np.ndarray], split: int, columns: int = 4096) -> np.ndarray:
+    """Weights that each of the first ``split`` sets has in common with each of the others.
+
+    The lesser of two weights is a sum over levels, the rising distinct weights of one element,
+    of those steps both reach; so the matrix is a product of two matrices of zeros and ones
+    with the steps between them, taken ``columns`` levels at a time.
+    """
+    row = np.repeat(np.arange(len(values)), [len(v) for v in values])
+    value, weight = np.concatenate(values), np.concatenate(weights).astype(float)
+    order = np.lexsort((weight, value))
+    row, value, weight = row[order], value[order], weight[order]
+    fresh = np.append(True, value[1:] != value[:-1]) if len(value) else np.zeros(0, bool)
+    rises = fresh | (np.diff(weight, prepend=0) != 0)
+    level = np.cumsum(rises) - 1
+    step = np.where(fresh, weight, np.diff(weight, prepend=0))[rises]
+    lowest = level[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    times = level - lowest + 1
+    row = np.repeat(row, times)
+    level = np.repeat(lowest, times) + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    here = np.bincount(level[row < split], minlength=len(step)) > 0
+    there = np.bincount(level[row >= split], minlength=len(step)) > 0
+    number = np.where(here & there, np.cumsum(here & there) - 1, -1)
+    row, level, step = row[number[level] >= 0], number[level[number[level] >= 0]], step[here & there]
+    order = np.argsort(level, kind="stable")
+    row, level = row[order], level[order]
+    common = np.zeros((split, len(values) - split))
+    for first in range(0, len(step), columns):
+        a, b = np.searchsorted(level, (first, first + columns))
+        part = np.zeros((len(values), min(columns, len(step) - first)))
+        part[row[a:b], level[a:b] - first] = 1
+        common += (part[:split] * step[first : first + columns]) @ part[split:].T
+    return common
+
+
+def _forest(pairs: list[tuple[bytes, bytes, int]]) -> list[int]:
+    """The last entries of those pairs of classes that a spanning forest needs."""
+    parent: dict[bytes, bytes] = {}
+
+    def top(c: bytes) -> bytes:
+        while parent.get(c, c) != c:
+            parent[c] = c = parent.get(parent[c], parent[c])
+        return c
+
+    kept = []
+    for a, b, at in pairs:
+        a, b = top(a), top(b)
+        if a != b:
+            parent[a] = b
+            kept.append(at)
+    return kept
+
+
+def block_links(busy: DataFrame, profiled: DataFrame, threshold: float, nodes: int = 1024, weight: float = 2e6) -> DataFrame:
+    """Links (leader, node) that join classes: a spanning forest of those in each pair of blocks; stored.
+
+    ``busy`` has band, node, comp and whole. In each bucket the nodes outside its largest class
+    meet all its nodes, block against block: a block has about ``nodes`` nodes or the given
+    weight, and a task sees two. Every pair of different classes in a bucket is compared, but
+    none of them is a row; a node is sent once per block it meets.
+    """
+    per_class = busy.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("w"))
+    per_band = per_class.groupBy("band").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"),
+        F.max(F.struct("n", "comp", "w")).alias("most"))
+
+    def blocks(n, w):
+        return F.greatest(F.ceil(n / nodes), F.ceil(w / weight), F.lit(1)).cast("int")
+
+    per_band = per_band.select(
+        "band", "main", blocks(F.col("n"), F.col("w")).alias("whole_blocks"),
+        blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("few_blocks"))
+    placed = busy.select("band", "node", "comp").join(per_band, "band")
+
+    def dealt(salt: int, count: str):
+        return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count)).cast("int")
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    few = placed.filter("comp != main").select(
+        "band", "node", "comp", F.lit(True).alias("few"), dealt(11, "few_blocks").alias("i"), every("whole_blocks").alias("j"))
+    whole = placed.select(
+        "band", "node", "comp", F.lit(False).alias("few"), dealt(12, "whole_blocks").alias("j"), every("few_blocks").alias("i"))
+    met = few.unionByName(whole).join(profiled, "node")
+
+    def compare(block: pa.Table) -> pa.Table:
+        few = block["few"].to_numpy()
+        order, split = np.argsort(~few, kind="stable"), int(few.sum())
+        node, comp = (block[c].take(pa.array(order)).to_pylist() for c in ("node", "comp"))
+        lists = [block[c].take(pa.array(order)).combine_chunks() for c in ("values", "weights")]
+        values, weights = ([x.values.to_numpy() for x in column] for column in lists)
+        out = []
+        if 0 < split < len(order):
+            common = common_weights(values, weights, split)
+            total = np.array([w.sum(dtype=float) for w in weights])
+            near = common >= (threshold - 1e-9) * (total[:split, None] + total[None, split:] - common)
+            number = np.unique(np.array(comp, "S16"), return_inverse=True)[1]
+            a, b = np.nonzero(near & (number[:split, None] != number[None, split:]))
+            _, first = np.unique(number[a] * len(order) + number[split + b], return_index=True)
+            a, b = a[first], b[first] + split
+            out = [(node[a[at]], node[b[at]]) for at in _forest([(comp[x], comp[y], k) for k, (x, y) in enumerate(zip(a, b))])]
+        leader, other = zip(*out) if out else ((), ())
+        return pa.table({"leader": pa.array(leader, pa.binary()), "node": pa.array(other, pa.binary())})
+
+    found = met.groupBy("band", "i", "j").applyInArrow(compare, "leader binary, node binary")
+    return materialize(found.distinct(), "links")
+
+
 def near_classes(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = WORDS,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): id and node of every row, and node, comp of every node with a near-duplicate.
 
     Copies with the same words are one node. Nodes that share a band of ICWS samples are
-    candidates; in each bucket the nodes met most often elsewhere lead. A round compares
-    the next leaders (1, then eight times as many each time) with all lower nodes of their
-    bucket that are not yet in the same class, so every candidate pair that could join two
-    classes is compared in the end or excluded by ``weight_bounds``, while copies around one
-    centre cost one comparison each.
+    candidates. First the node of a bucket that is met most often elsewhere is compared with
+    the others, which settles copies around one centre at one comparison each. In buckets
+    that still hold several classes, every pair of different classes is compared block by
+    block, but for nodes that ``weight_bounds`` shows to be in no further link.
+
+    NULL ids and repeated rows are kept in ``rows``; NULL, empty and wordless texts share a
+    node with identical texts only; ties are broken by the node; an empty table gives two
+    empty ones; other columns are not read.
     """
     spark = df.sparkSession
     weights = shingle_weights(counter_sums(df, text_col, size))
@@ -295,52 +404,19 @@ def near_classes(
     members = materialize(bands.join(shared, "band"), "members")
     central = members.groupBy("node").agg(F.sum("n").alias("met"))
     members = materialize(members.join(central, "node").select(
-        "band", "node", "n", F.struct(F.col("met"), F.col("node").alias("key")).alias("rank")), "members")
+        "band", "node", F.struct(F.col("met"), F.col("node").alias("key")).alias("rank")), "members")
     profiled = profiles(df, text_col, central.select("node"), sampler, size)
-    largest = members.agg(F.max("n")).first()[0] or 0
-    labels = links = done = bounds = None
-    low, high, least = 0, 1, threshold - 1e-6
-    while low < largest - 1:
-        busy = members.filter(F.col("n") > low + 1).withColumn("comp", F.col("node"))
-        if labels is not None:
-            busy = busy.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            busy = _mixed(busy.join(bounds, "node") if bounds is not None else busy)
-            if bounds is None:
-                busy = materialize(busy, "busy")
-                bounds = weight_bounds(busy, profiled).filter(F.col("open") >= least * F.col("whole"))
-                members = _mixed(busy.join(bounds, "node")).drop("whole", "open", "comp")
-                shared_bands = members.groupBy("node").agg(F.collect_list("band").alias("bands"))
-                members = materialize(members.join(shared_bands, "node"), "members")
-                low, high = 0, LEADERS
-                continue
-            busy = materialize(busy, "busy")
-            if not busy.limit(1).count():
-                break
-        order = Window.partitionBy("band").orderBy(F.desc("rank"))
-        lead = busy.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= high).filter(F.col("place") > low)
-        named = {"node": "leader", "rank": "lead_rank", "comp": "lead_comp", "whole": "lead_whole", "open": "lead_open", "bands": "lead_bands"}
-        lead = lead.select("band", *[F.col(c).alias(n) for c, n in named.items() if c in lead.columns])
-        pairs = busy.join(lead, "band").filter("rank < lead_rank and comp != lead_comp")
-        if bounds is not None:
-            pairs = pairs.filter(F.least("open", "lead_open") >= least * F.greatest(
-                F.expr("whole + lead_whole - lead_open"), F.expr("lead_whole + whole - open")))
-            # of the bands that a pair shares, the first one compares it
-            pairs = pairs.filter(F.col("band") == F.array_min(F.array_intersect("bands", "lead_bands")))
-        pairs = pairs.select("leader", "node").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["leader", "node"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        low, high = high, high * LEADERS
-        if not pairs.limit(1).count():
-            continue
-        sims = verified(pairs, profiled)
-        done = sims.select("leader", "node") if done is None else done.unionByName(sims.select("leader", "node"))
-        new = sims.filter(F.col("sim") >= threshold - 1e-9).select("leader", "node")
-        if labels is None or new.limit(1).count():
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
-    if labels is None:
-        labels = members.select("node", F.col("node").alias("comp")).limit(0)
+    leads = members.groupBy("band").agg(F.max("rank").alias("lead"))
+    pairs = members.join(leads, "band").filter("rank < lead").select(F.col("lead.key").alias("leader"), "node").distinct()
+    links = verified(materialize(pairs, "pairs"), profiled).filter(F.col("sim") >= threshold - 1e-9).select("leader", "node")
+    labels = components(links)
+    busy = members.select("band", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    busy = materialize(_mixed(busy), "busy")
+    bounds = weight_bounds(busy, profiled).filter(F.col("open") >= (threshold - 1e-6) * F.col("whole"))
+    busy = materialize(_mixed(busy.join(bounds, "node")), "busy")
+    further = block_links(busy, profiled, threshold)
+    if further.limit(1).count():
+        labels = components(links.unionByName(further))
     return rows.select("id", "node"), labels
 
 
