@@ -1,8 +1,11 @@
-"""Repeated passages: windows of words, met by an anchor that every copy of a window picks alike.
-
-The anchor of a window is the smallest hash among its runs of ``GRAM`` words, so it depends on
-the window's bytes only. Windows with different anchors differ; those whose anchor one document
-alone has need no further look, and the rest are compared whole.
+"""Repeated passages by content-defined chunking.
+
+A gear rolling hash of the last 32 bytes is taken at the end of each word. Of every run of 30 words
+the smallest value inside it is a cut, so a cut follows from the bytes near it, each run has one, and
+an insertion moves none that is further away. The runs with one cut are a chunk, of as many words as
+they reach over. Chunks are deduplicated by digests: of the bytes at the cut, by which copies meet,
+and of the whole chunk. Where all chunks that meet are equal they are repeated as they stand; the
+others, which differ somewhere beyond the cut, are compared run by run.
 """
 
 from __future__ import annotations
@@ -18,10 +21,7 @@ from flowlens.llm.text import POWERS, U64, Words, chunks, mix
 from flowlens.session import materialize
 
 WINDOW = 32
-MASK_BITS = 5
-LEAST_BYTES, MOST_BYTES = 8, 96
 MIN_WORDS = 30
-GRAM = 8
 GEAR = (mix(np.arange(1, 257, dtype=U64)) >> U64(32)).astype(np.uint32)
 
 
@@ -35,40 +35,45 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chunks of texts: (start of each chunk, text of each chunk).
+def cuts(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """For each run of ``size`` words, the word at whose end the gear hash is smallest, the first in a tie.
 
-    A chunk ends where the top bits of the gear hash are zero, a character is complete and
-    no such place is among the 8 bytes before; that depends on the last 40 bytes only, so
-    an insertion moves no boundary beyond them. Longer chunks than 96 bytes are cut
-    every 96 bytes, at the next complete character.
+    ``start`` and ``end`` are the words' bytes and ``first`` the runs' first words. Only ends with
+    32 bytes of the run before them count; a shorter run has its last word.
     """
-    size = np.diff(offsets)
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    whole = np.ones(len(data) + 1, bool)
-    whole[:-1] = (data & 0xC0) != 0x80  # a character starts here
-    at = np.flatnonzero((gear_hash(data) >> np.uint32(32 - MASK_BITS)) == 0) + 1
-    at = at[whole[at]]
-    far = np.ones(len(at), bool)
-    far[1:] = np.diff(at) > LEAST_BYTES
-    starts = np.unique(np.concatenate([offsets[:-1][size > 0], at[far & (at < len(data))]]))
-    length = np.diff(np.append(starts, len(data)))
-    pieces = -(-length // MOST_BYTES)
-    inner = np.repeat(starts, pieces) + MOST_BYTES * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    for _ in range(3):
-        inner = inner + ~whole[inner]
-    inner = inner[inner < len(data)]
-    starts = np.unique(inner)
-    return starts, np.searchsorted(offsets, starts, "right") - 1
+    last = first + size - 1
+    begin = np.minimum(np.searchsorted(end, start[first] + WINDOW), last)
+    least, where = gear_hash(data)[end - 1], np.arange(len(end))
+    best = np.empty(len(first), np.int64)
+    width = 1
+    while True:  # smallest of 1, 2, 4, ... ends; two of those ranges cover a run
+        level = np.flatnonzero((last - begin + 1 >= width) & (last - begin + 1 < 2 * width))
+        left, right = begin[level], last[level] - width + 1
+        best[level] = np.where(least[right] < least[left], where[right], where[left])
+        if 2 * width > size or len(least) <= width:
+            return best
+        less = least[width:] < least[:-width]
+        least, where = np.where(less, least[width:], least[:-width]), np.where(less, where[width:], where[:-width])
+        width *= 2
+
+
+def cut_digests(data: np.ndarray, end: np.ndarray, run: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of the 32 bytes before each cut's word ``end``; of a run that starts after that, the run's own hash."""
+    out = run.copy()
+    at = np.flatnonzero(end - start >= WINDOW)
+    total = np.zeros(len(at), U64)
+    for k in range(WINDOW):
+        total += (data[end[at] - 1 - k].astype(U64) + U64(1)) * POWERS[k]
+    out[at] = mix(total)
+    return out
 
 
 class Windows:
     """All runs of ``size`` words in some texts, byte for byte from their first word to their last.
 
     ``word`` numbers the first word within its text, ``doc`` the text, ``start`` and ``end`` are
-    bytes of the chunk; ``hash`` is of the whole window, ``anchor`` of its smallest run of
-    ``GRAM`` words (the first in a tie) and ``place`` where that is.
+    bytes of the chunk; ``hash`` is of the whole run, ``place`` the word at its cut and ``anchor``
+    the digest of the bytes there.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, size: int):
@@ -89,28 +94,18 @@ class Windows:
         edges = np.column_stack([words.start, words.end]).ravel() - begin
         value = np.append(value, U64(0))  # a word may end with the chunk
         plain = mix(np.add.reduceat(value, edges)[::2] + U64(1))
-
-        def runs(width: int) -> np.ndarray:
-            total = np.zeros(n, U64)
-            for k in range(width):
-                total[: n - k] += (spaced if k < width - 1 else plain)[k:] * POWERS[k % len(POWERS)]
-            return mix(total + U64(width))
-
-        gram = min(GRAM, size)
-        least, where, width, most = runs(gram), np.arange(n), 1, size - gram + 1
-        while width < most:  # smallest of 1, 2, 4, ... runs
-            step = min(width, most - width)
-            less = least[step:] < least[:-step]
-            least = np.append(np.where(less, least[step:], least[:-step]), least[n - step :])
-            where = np.append(np.where(less, where[step:], where[:-step]), where[n - step :])
-            width += step
-        self.hash, self.anchor, self.place = runs(size)[at], least[at], where[at]
+        total = np.zeros(n, U64)
+        for k in range(size):
+            total[: n - k] += (spaced if k < size - 1 else plain)[k:] * POWERS[k % len(POWERS)]
+        self.hash = mix(total + U64(size))[at]
+        self.place = cuts(data, words.start, words.end, at, size)
+        self.anchor = cut_digests(data, words.end[self.place], self.hash, self.start)
 
 
-def anchor_table(given: DataFrame, min_words: int) -> DataFrame:
-    """A row for all windows of a text that pick the same anchor: id, anchor, span, start, length, word, words.
+def chunk_table(given: DataFrame, min_words: int) -> DataFrame:
+    """The chunks of every text: id, anchor, span, start, length, word, words.
 
-    ``span`` is a hash of those windows and of where the anchor stands in them.
+    ``anchor`` is the digest of the bytes at the chunk's cut, ``span`` that of the whole chunk.
     """
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +133,7 @@ def anchor_table(given: DataFrame, min_words: int) -> DataFrame:
 
 
 def window_table(asked: DataFrame, min_words: int) -> DataFrame:
-    """The single windows of texts with one of the ``anchors`` beside them: id, hash, start, length, word."""
+    """The single runs of those chunks of a text whose ``anchors`` are beside it: id, hash, start, length, word."""
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,8 +173,8 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty, have no passage; repeated rows of one id are one document.
     """
     given = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).filter("id is not null")
-    table = materialize(anchor_table(given, min_words), "anchors")
-    # where all copies of an anchor stand in the same span, its windows are shared with it
+    table = materialize(chunk_table(given, min_words), "chunks")
+    # where all chunks with one anchor are equal, each run in them is repeated with them
     alike = (F.min("span") == F.max("span")).alias("alike")
     hits = materialize(table.drop("span").join(_shared(table, "anchor", alike), "anchor"), "hits")
     asked = hits.filter("not alike").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))

@@ -110,6 +110,72 @@ def test_near_duplicate_links(docs):
     assert staying == set(found.values())
 
 
+def near_the_limit(seed=5):
+    """Copies of one text whose pairs lie round 0.8, so that classes hang on single links; two lengths."""
+    rng, rows = random.Random(seed), []
+    words = ["".join(rng.choices("abcdefghijkl", k=6)) for _ in range(3000)]
+    for length, copies in ((200, 90), (320, 60)):
+        base = rng.choices(words, k=length)
+        for _ in range(copies):
+            copy = list(base)
+            for place in rng.sample(range(length), rng.choice([2, 3, 4, 5, 6])):
+                copy[place] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+def test_every_candidate_pair_is_decided_exactly(spark, docs, monkeypatch):
+    """Classes are what all pairs with a common band and a weighted Jaccard similarity of 0.8 connect."""
+    import numpy as np
+
+    from flowlens.llm.text import Words, counted
+
+    blocks = near_dedup.block_links
+    monkeypatch.setattr(near_dedup, "block_links", lambda busy, profiled, threshold: blocks(busy, profiled, threshold, nodes=16))
+    rows = near_the_limit()
+    df = docs(rows)
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    sampler = near_dedup.Sampler(near_dedup.shingle_weights(near_dedup.counter_sums(df, "text")))
+    bands = {r["id"]: set(r["bands"]) for r in near_dedup.sketches(df, "doc_id", "text", spark.sparkContext.broadcast(sampler)).collect()}
+    sets = {}
+    for i, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        values, _, counts = counted(*Words(data, np.array([0, len(data)])).shingles(5))
+        sets[i] = dict(zip(values.tolist(), sampler.weigh(values, counts).astype(float).tolist()))
+    top, decided = {i: i for i in sets}, Counter()
+
+    def head(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a in sets:
+        for b in range(a):
+            if bands[a] & bands[b]:
+                common = sum(min(w, sets[b].get(v, 0)) for v, w in sets[a].items())
+                sim = common / (sum(sets[a].values()) + sum(sets[b].values()) - common)
+                decided["near" if abs(sim - 0.8) < 0.03 else "far"] += 1
+                if sim >= 0.8:
+                    x, y = head(a), head(b)
+                    top[max(x, y)] = min(x, y)
+    assert decided["near"] > 300 and len({head(i) for i in sets}) > 5
+    assert found == {i: head(i) for i in sets}
+
+
+def test_common_weights():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        n = int(rng.integers(2, 12))
+        split = int(rng.integers(1, n))
+        values = [np.sort(rng.choice(30, rng.integers(0, 20), replace=False)) for _ in range(n)]
+        weights = [(1 + 0.01 * v) * rng.integers(1, 4, len(v)) for v in values]
+        sets = [dict(zip(v.tolist(), w.tolist())) for v, w in zip(values, weights)]
+        expected = [[sum(min(w, sets[b].get(v, 0)) for v, w in sets[a].items()) for b in range(split, n)] for a in range(split)]
+        assert np.allclose(near_dedup.common_weights(values, weights, split, columns=7), expected)
+
+
 def test_weight_bounds_lose_no_link(docs):
     """Classes with the bound are those without it."""
     rows = variants(8)
@@ -216,12 +282,47 @@ def test_passages_of_odd_rows(docs, odd):
     assert substring.without_repeats(docs(odd)).count() == len({tuple(r) for r in odd}) + 1
 
 
-def test_chunks_depend_on_their_surroundings_only():
+def text_chunks(text, size=30):
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    data = rng.integers(32, 127, 5000).astype(np.uint8)
-    moved = np.concatenate([rng.integers(32, 127, 13).astype(np.uint8), data])
-    a = set(substring.cut(data, np.array([0, len(data)]))[0])
-    b = {x - 13 for x in substring.cut(moved, np.array([0, len(moved)]))[0]}
-    assert len(a) > 50 and {x for x in a if x > 400} == {x for x in b if x > 400}
+    data = np.frombuffer(text.encode(), np.uint8)
+    return substring.Windows(data, np.array([0, len(data)]), size)
+
+
+def test_cuts_are_the_smallest_gear_hash_of_each_run():
+    import numpy as np
+
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdé", k=rng.randint(1, 7))) for _ in range(400)]
+    for size in (3, 12, 30):
+        text = "  ".join(words)
+        data = np.frombuffer(text.encode(), np.uint8)
+        gear = [sum(int(substring.GEAR[b]) << k for k, b in enumerate(data[max(0, i - 31) : i + 1][::-1])) % 2**32 for i in range(len(data))]
+        runs, spans = text_chunks(text, size), [m.span() for m in re.finditer(rb"\S+", text.encode())]
+        for i, place in enumerate(runs.place):
+            ends = [j for j in range(i, i + size) if spans[j][1] - spans[i][0] >= 32] or [i + size - 1]
+            assert place == min(ends, key=lambda j: (gear[spans[j][1] - 1], j))
+
+
+def test_chunks_resist_shifts():
+    """An insertion changes the chunks that it touches; the others keep their digests."""
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(900)]
+    before = text_chunks(" ".join(words))
+    after = text_chunks(" ".join(words[:300] + ["inserted words"] + words[300:]))
+    a, b = set(before.anchor.tolist()), set(after.anchor.tolist())
+    assert 60 < len(a) < 250 and len(a - b) <= 6 and len(b - a) <= 6
+    lengths = Counter(before.place.tolist()).values()
+    assert len(set(lengths)) > 5 and max(lengths) <= 30  # variable, and never further apart than a run
+
+
+def test_gear_hash_places_the_cuts(docs, monkeypatch):
+    """Other gear values give other chunks and the same passages."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=40) + words[:45] + rng.choices(words, k=40))) for i in range(6)]
+    found = sorted(map(tuple, substring.repeated_passages(docs(rows)).collect()))
+    places = text_chunks(rows[0][1]).place.tolist()
+    monkeypatch.setattr(substring, "GEAR", substring.GEAR[::-1].copy())
+    assert text_chunks(rows[0][1]).place.tolist() != places
+    assert sorted(map(tuple, substring.repeated_passages(docs(rows)).collect())) == found and len(found) >= 6
