@@ -71,10 +71,12 @@ class Trees:
 
 @dataclass
 class BoostedTrees:
-    """A fit: features with their bin edges, class names, trees of the rounds kept, and the losses by round."""
+    """A fit: features with their bin edges, class names with the logarithms of their weighted shares, from which margins
+    start, trees of the rounds kept, and the losses by round."""
 
     features: list[str]
     labels: list[str]
+    base: list[float]
     edges: list[list[float]]
     trees: list[Trees]
     losses: list[tuple[int, float, float]] = field(default_factory=list)
@@ -90,7 +92,7 @@ class BoostedTrees:
 
     def to_rows(self, spark: SparkSession) -> DataFrame:
         """The model as a table: one row per node, bin edge and class, for :meth:`from_rows`."""
-        rows = [("label", i, 0, 0, 0, 0.0, 0.0, name) for i, name in enumerate(self.labels)]
+        rows = [("label", i, 0, 0, 0, float(b), 0.0, name) for i, (name, b) in enumerate(zip(self.labels, self.base))]
         for i, (name, cuts) in enumerate(zip(self.features, self.edges)):
             rows.append(("feature", i, 0, 0, 0, 0.0, 0.0, name))
             rows += [("edge", i, j, 0, 0, float(c), 0.0, None) for j, c in enumerate(cuts)]
@@ -120,10 +122,11 @@ class BoostedTrees:
             t.feature[at], t.cut[at], t.value[at], t.gain[at] = r["d"], int(r["name"]), r["v"], r["g"]
         while len(trees) < best:
             trees.append(Trees.empty(len(labels), rows["depth"][0]["a"]))
-        return BoostedTrees(features, labels, edges, trees, [(r["a"], r["v"], r["g"]) for r in rows.get("loss", [])], best)
+        base = [r["v"] for r in rows.get("label", [])]
+        return BoostedTrees(features, labels, base, edges, trees, [(r["a"], r["v"], r["g"]) for r in rows.get("loss", [])], best)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        margins = np.zeros((len(x), len(self.labels)))
+        margins = np.tile(np.array(self.base), (len(x), 1))
         for t in self.trees:
             margins += t.margins(x)
         return _softmax(margins)
@@ -309,7 +312,7 @@ def fit_boosted(
 ) -> BoostedTrees:
     """Softmax boosting over all labels, stopped by the weighted log-loss of the rows where ``held_out`` is true.
 
-    Classes are alphabetical, weighted by ``class_weights`` of the fitted rows. NULL features are 0; rows with a
+    Margins start at the classes' shares, so round 0 is what those alone give. Classes are alphabetical, weighted by ``class_weights`` of the fitted rows. NULL features are 0; rows with a
     label that no fitted row has are left out. ``ids`` name the columns that tell rows apart: a round's
     sample of rows follows from them. The model ends with its best round; without held-out
     rows all rounds are kept.
@@ -317,9 +320,12 @@ def fit_boosted(
     spark, s = rows.sparkSession, settings
     fitted = rows.filter(~F.col(held_out))
     encoder = label_encoding(fitted).join(class_weights(fitted).select("label", "weight"), "label")
-    labels = [r["label"] for r in encoder.orderBy("label_idx").collect()]
-    if not labels:
+    encoder = encoder.join(fitted.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")
+    known = encoder.orderBy("label_idx").collect()  # one row per class
+    if not known:
         raise ValueError("no rows to fit")
+    labels, share = [r["label"] for r in known], np.array([r["n"] * r["weight"] for r in known])
+    base = np.log(share / share.sum())
     edges = quantile_edges(fitted, features, s.bins)
     classes, n_features = len(labels), len(features)
     given = rows.join(encoder, "label").select(
@@ -329,14 +335,14 @@ def fit_boosted(
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _binned([batch.column(f"f{i}").to_numpy() for i in range(n_features)], edges)
-            margins = np.zeros((len(x), classes), np.float32)
+            margins = np.tile(base.astype(np.float32), (len(x), 1))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("y", "w", "held", "key")), _packed(x), _packed(margins)],
                 names=["y", "w", "held", "key", "x", "m"])
 
     stored = materialize(given.mapInArrow(binned, "y int, w double, held boolean, key long, x binary, m binary"), "boosting")
     rng = np.random.default_rng(s.seed)
-    model = BoostedTrees(list(features), labels, edges, [])
+    model = BoostedTrees(list(features), labels, base.tolist(), edges, [])
     recent: list[Trees] = []
     best = (np.inf, 0)
     for round_ in range(s.rounds + 1):

@@ -198,9 +198,13 @@ def window_summary(
 def vector_summary(windows: DataFrame, size: int = WINDOW_SIZE) -> DataFrame:
     """The columns of :func:`window_summary` from stored window vectors instead of packets."""
     width, out = len(SEQUENCE_FEATURES), {}
+
+    def feature(place: int) -> Column:
+        at = F.sequence(F.lit(place), F.lit((size - 1) * width + place), F.lit(width))
+        return F.transform(at, lambda i: F.col("sequence_features")[i].cast("double"))
+
     for place, c in enumerate(SEQUENCE_FEATURES):
-        steps = F.transform(
-            F.sequence(F.lit(0), F.lit(size - 1)), lambda i, p=place: F.col("sequence_features")[i * width + p].cast("double"))
+        steps = feature(place)
         sums = F.aggregate(steps, F.array(F.lit(0.0), F.lit(0.0)), lambda s, x: F.array(s[0] + x, s[1] + x * x))
         mean = sums[0] / size
         out |= {

@@ -6,9 +6,12 @@ cumulative counts are taken slice by slice, so no task holds a whole group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.cleaning import is_attack
@@ -116,19 +119,96 @@ def label_means(df: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r of every pair below the diagonal, pairwise complete.
+class _Moments:
+    """Sums for Pearson's r of every column pair over the rows that have both: n, means, squares and products about them.
 
-    Column pairs become rows keyed by a pair number and are combined before the
-    shuffle; one wide aggregate would have too many buffer fields for generated code.
+    Entry (a, b) of ``mean`` and ``square`` is of column a where b is there too.
     """
-    pairs = [(b, a) for a, b in combinations(columns, 2)]
-    rows = ", ".join(
-        f"named_struct('pair', {i}, 'x', double(`{a}`), 'y', double(`{b}`))" for i, (a, b) in enumerate(pairs)
-    )
-    names = ", ".join(f"named_struct('feature_a', '{a}', 'feature_b', '{b}')" for a, b in pairs)
-    found = df.select(F.expr(f"inline(array({rows}))")).groupBy("pair").agg(F.corr("x", "y").alias("r"))
-    return found.select(F.expr(f"array({names})[pair]").alias("p"), "r").select("p.feature_a", "p.feature_b", "r")
+
+    def __init__(self, n: np.ndarray, mean: np.ndarray, square: np.ndarray, product: np.ndarray):
+        self.n, self.mean, self.square, self.product = n, mean, square, product
+
+    @staticmethod
+    def of(values: np.ndarray, there: np.ndarray) -> "_Moments":
+        """Rows with the same columns present are centred together; the first row comes off first, so a constant leaves zeros."""
+        patterns, which = np.unique(there, axis=0, return_inverse=True)
+        total = None
+        for k, pattern in enumerate(patterns):
+            cols = np.flatnonzero(pattern)
+            x = values[which.ravel() == k][:, cols]
+            first = x[0]
+            x = x - first
+            middle = x.mean(axis=0)
+            x -= middle
+            part = _Moments(*np.zeros((4, len(pattern), len(pattern))))
+            inner = np.ix_(cols, cols)
+            part.n[inner], part.mean[inner] = len(x), (first + middle)[:, None]
+            part.square[inner], part.product[inner] = (x * x).sum(axis=0)[:, None], x.T @ x
+            total = part if total is None else total.add(part)
+        return total
+
+    def add(self, other: "_Moments") -> "_Moments":
+        n = self.n + other.n
+        share = other.n / np.maximum(n, 1)
+        step = np.where(other.n > 0, np.where(self.n > 0, other.mean - self.mean, 0), 0)
+        mean = np.where(self.n > 0, self.mean + step * share, other.mean)
+        weight = self.n * share
+        return _Moments(
+            n, mean, self.square + other.square + step * step * weight, self.product + other.product + step * step.T * weight)
+
+    def pack(self) -> bytes:
+        return np.stack([self.n, self.mean, self.square, self.product]).tobytes()
+
+    @staticmethod
+    def unpack(data: bytes, width: int) -> "_Moments":
+        return _Moments(*np.frombuffer(data).reshape(4, width, width))
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str], merge_tasks: int = 32) -> DataFrame:
+    """Pearson r of every pair below the diagonal, pairwise complete; NaN where a column does not vary, NULL without rows.
+
+    Each task turns its rows into one masked Gram matrix, so a scan is all the rows cost, and
+    one row per task is shuffled: to ``merge_tasks`` tasks that add them up, then to one.
+    """
+    width = len(columns)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            with np.errstate(invalid="ignore", over="ignore"):
+                part = _Moments.of(values, there)
+                total = part if total is None else total.add(part)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.pack()], pa.binary())], names=["m"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> _Moments | None:
+        parts = (_Moments.unpack(m, width) for batch in batches for m in batch.column("m").to_pylist())
+        with np.errstate(invalid="ignore", over="ignore"):
+            return reduce(lambda a, b: b if a is None else a.add(b), parts, None)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = merged(batches)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.pack()], pa.binary())], names=["m"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = merged(batches)
+        pairs = [(b, a) for a, b in combinations(range(width), 2)]
+        r: list[float | None] = [None] * len(pairs)
+        if total is not None:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                scale = np.sqrt(total.square) * np.sqrt(total.square.T)
+                matrix = np.where(scale == 0, np.nan, total.product / scale)
+            r = [float(matrix[a, b]) if total.n[a, b] else None for a, b in pairs]
+        names = [pa.array([columns[p[k]] for p in pairs], pa.string()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*names, pa.array(r, pa.float64())], names=["feature_a", "feature_b", "r"])
+
+    sums = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(moments, "m binary")
+    # one task a partition: adaptive execution must not make the merging one task too early
+    sums = sums.repartition(merge_tasks, F.monotonically_increasing_id()).mapInArrow(merge, "m binary")
+    return sums.repartition(1).mapInArrow(finish, "feature_a string, feature_b string, r double")
 
 
 def redundant_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0.95) -> DataFrame:

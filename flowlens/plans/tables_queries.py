@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from flowlens.functions import cleaning as C
@@ -453,6 +455,21 @@ def _(t):
     return r6(P.redundant_pairs(t.flows, NUMERIC, 0.5))
 
 
+SEEN = ["first_seen", "last_seen"]
+SEEN_SQL = " union all ".join(
+    f"select '{b}' as feature_a, '{a}' as feature_b, corr({b}, {a}) as r from seen" for a, b in combinations([*FLOW_FEATURES, *SEEN], 2))
+
+
+@query("agg_14_usual_threshold", "select feature_a, feature_b, round(r, 6) as r from pairs where abs(r) > 0.95", {
+    "seen": "select " + ", ".join(f"cast({c} as double) as {c}" for c in FLOW_FEATURES) + """,
+        epoch_us(timestamp_min) / 1e6 as first_seen, epoch_us(timestamp_max) / 1e6 as last_seen from file_flows""",
+    "pairs": SEEN_SQL})
+def _(t):
+    """Pairs above 0.95 of each capture's flows, with when a flow was first and last seen."""
+    seen = t.file_flows.withColumns({"first_seen": epoch_us("timestamp_min") / 1e6, "last_seen": epoch_us("timestamp_max") / 1e6})
+    return r6(P.redundant_pairs(seen, [*FLOW_FEATURES, *SEEN]))
+
+
 @query("agg_15_target_correlation", " union all ".join(
     f"select '{c}' as feature, round(corr(cast({c} as double), case when label <> 'Benign' then 1.0e0 else 0.0e0 end), 6) as r from flows"
     for c in FLOW_FEATURES))

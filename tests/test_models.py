@@ -87,7 +87,8 @@ def boosted_by_hand(x, y, w, rounds, depth, step, ridge, alpha, least_weight, le
     """Softmax boosting on whole arrays, a cut at a time: margins after each round."""
     classes, n = int(y.max()) + 1, len(y)
     shrink = lambda g: np.sign(g) * max(abs(g) - alpha, 0)
-    margins, history = np.zeros((n, classes)), []
+    share = np.bincount(y, w) / w.sum()
+    margins, history = np.tile(np.log(share), (n, 1)), []
     for _ in range(rounds):
         p = np.exp(margins) / np.exp(margins).sum(axis=1, keepdims=True)
         update = np.zeros_like(margins)

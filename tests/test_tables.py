@@ -181,3 +181,28 @@ def test_report_zero_division_and_zero_cells(spark):
     assert rows["accuracy"]["f1"] == pytest.approx(1 / 3)
     assert rows["macro avg"]["recall"] == pytest.approx(0.5 / 3)
     assert E.confusion_matrix(df, "t", "p").count() == 9
+
+
+def test_correlations_are_pairwise_complete(spark):
+    """Against numpy per pair: NULLs, a constant column, large offsets, infinities, and plans with one scan and no fan-out."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    a = rng.normal(1e9, 1, 400)
+    rows = [(float(x), float(2 * x + 0.1 * rng.normal()), None if i % 3 else float(-x + rng.normal()), 5.0, float("inf") if i == 7 else float(i), i)
+            for i, x in enumerate(a)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f int").repartition(7)
+    found = {(r["feature_a"], r["feature_b"]): r["r"] for r in P.correlation_matrix(df, list("abcdef"), merge_tasks=3).collect()}
+    table = {k: np.array([np.nan if r[i] is None else r[i] for r in rows], float) for i, k in enumerate("abcdef")}
+    assert len(found) == 15
+    for (x, y), r in found.items():
+        both = ~np.isnan(table[x]) & ~np.isnan(table[y])
+        if "d" in (x, y) or "e" in (x, y) and (7 % 3 == 0 or "c" not in (x, y)):
+            assert np.isnan(r)
+        else:
+            assert abs(r - np.corrcoef(table[x][both], table[y][both])[0, 1]) < 1e-7
+    plan = P.correlation_matrix(df, list("abcdef"))._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    assert [r["r"] for r in P.correlation_matrix(df.limit(0), ["a", "b"]).collect()] == [None]
+    assert {(r["feature_a"], r["feature_b"]) for r in P.redundant_pairs(df, list("abcf")).collect()} == {("b", "a")} | (
+        {("c", "a")} if abs(found["c", "a"]) > 0.95 else set()) | ({("c", "b")} if abs(found["c", "b"]) > 0.95 else set())
