@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flowlens.session import materialize
+
 KEY_SPACE = 1_000_003
 KEY_SLICES = 1024
 
@@ -86,6 +88,35 @@ def running_sums(
     ).drop(*[f"_before_{out}" for out in values])
 
 
+def refined_slices(
+    df: DataFrame, group: Sequence[str], slice_col: str, order: Sequence[str], most: int, out: str = "_fine", per_part: int = 64
+) -> tuple[DataFrame, list[str], DataFrame | None]:
+    """Cut slices of more than ``most`` rows at splitters drawn from their own rows.
+
+    Returns the rows, the slice columns from coarse to fine, and the rows per slice where none
+    had to be cut. Rows are counted per (group, slice), once and stored. A heavy slice gets
+    splitters from a sample of its rows by a hash of ``order``, about ``per_part`` to half of
+    ``most``, so its parts hold fewer rows than ``most``; only rows equal in all of ``order`` stay
+    together. What the splitters take follows the number of heavy slices, and rows of
+    other slices get part 0.
+    """
+    part = [*group, slice_col]
+    counts = materialize(df.groupBy(*part).agg(F.count(F.lit(1)).alias("_own")), "slice-counts")
+    heavy = counts.filter(F.col("_own") > most)
+    if not heavy.limit(1).count():
+        return df, [slice_col], counts
+    heavy = heavy.withColumn("_parts", F.ceil(F.col("_own") * 2 / most).cast("int"))
+    drawn = F.pmod(F.xxhash64(F.lit(7), *order), F.lit(1 << 30)) < F.lit(float(per_part << 30)) * F.col("_parts") / F.col("_own")
+    sample = df.join(heavy, part).filter(drawn).groupBy(*part, "_parts").agg(
+        F.sort_array(F.collect_list(F.struct(*order))).alias("_sample"))
+    at = F.transform(
+        F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: F.element_at("_sample", F.ceil(i * F.size("_sample") / F.col("_parts")).cast("int")))
+    splitters = materialize(sample.select(*part, F.array_distinct(at).alias("_splitters")), "splitters")
+    below = F.size(F.filter("_splitters", lambda s: s < F.struct(*order)))
+    placed = df.join(splitters, part, "left").withColumn(out, F.coalesce(F.when(F.col("_splitters").isNotNull(), below), F.lit(0)))
+    return placed.drop("_splitters"), [slice_col, out], None
+
+
 def sliced_row_number(
     df: DataFrame,
     out: str,
@@ -93,12 +124,17 @@ def sliced_row_number(
     order: Sequence[str],
     slices: Sequence[str],
     count_as: str | None = None,
+    per_slice: DataFrame | None = None,
 ) -> DataFrame:
-    """1-based ``row_number`` per group, and the group size as ``count_as``."""
+    """1-based ``row_number`` per group, and the group size as ``count_as``.
+
+    ``per_slice`` may give the rows of each (group, slice) as ``_own``, if they are known.
+    """
     group, slices = list(group), list(slices)
     part = group + slices
     local = df.withColumn(out, F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("bigint"))
-    per_slice = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_own"))
+    if per_slice is None:
+        per_slice = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_own"))
     ahead = running_sums(per_slice, {"_ahead": "_own"}, group, [slices[-1]], slices[:-1], count_as is not None)
     keep = [*part, (F.col("_ahead") - F.col("_own")).alias("_before")]
     if count_as:

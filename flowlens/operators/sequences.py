@@ -11,7 +11,7 @@ from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowlens.functions.ordering import sliced_row_number, time_slice
+from flowlens.functions.ordering import refined_slices, sliced_row_number, time_slice
 from flowlens.operators.flows import mode_in_domain
 from flowlens.schema import (
     FILE_KEY,
@@ -19,6 +19,7 @@ from flowlens.schema import (
 )
 
 _SLICE = "_slice"
+ROWS_PER_SLICE = 2_000_000
 
 
 def _session_key(per_file: bool) -> list[str]:
@@ -31,11 +32,13 @@ def number_packets(
     bidirectional: bool = False,
     slice_seconds: int = 60,
     ts: str = "packet_ts",
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Packets with position ``rn``, session size ``n`` and ``packet_direction``.
 
     Sessions are directed, so the direction is 1 on every row; ``bidirectional``
-    folds both directions into one session and compares with its first sender.
+    folds both directions into one session and compares with its first sender. A minute in
+    which a session sends more than ``rows_per_slice`` packets is cut further, by what it holds.
     """
     rows = packets.filter(F.col("ip_src").isNotNull() & F.col("ip_dst").isNotNull())
     key = _session_key(per_file)
@@ -44,14 +47,16 @@ def number_packets(
             {"ip_src": F.least("_sender", "ip_dst"), "ip_dst": F.greatest("_sender", "ip_dst")}
         )
     rows = rows.withColumn(_SLICE, time_slice(ts, slice_seconds))
-    numbered = sliced_row_number(rows, "rn", key, [ts, "packet_id"], [_SLICE], count_as="n")
+    order = [ts, "packet_id"]
+    cut, slices, counts = refined_slices(rows, key, _SLICE, order, rows_per_slice)
+    numbered = sliced_row_number(cut, "rn", key, order, slices, count_as="n", per_slice=counts)
     if not bidirectional:
-        return numbered.withColumn("packet_direction", F.lit(1)).drop(_SLICE)
+        return numbered.withColumn("packet_direction", F.lit(1)).drop(*slices)
     first = rows.groupBy(*key).agg(F.min_by("_sender", F.struct(ts, "packet_id")).alias("_first"))
     return (
         numbered.join(first, key)
         .withColumn("packet_direction", (F.col("_sender") == F.col("_first")).cast("int"))
-        .drop(_SLICE, "_first", "_sender")
+        .drop(*slices, "_first", "_sender")
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.functions.cleaning import is_internal
-from flowlens.functions.ordering import epoch_us, previous_time, time_slice
+from flowlens.functions.ordering import epoch_us, previous_time, refined_slices, time_slice
 from flowlens.schema import FILE_KEY
 
 
@@ -85,13 +85,19 @@ def mark_windows(bins: DataFrame, attack_log: DataFrame, name: str = "bin", unit
 
 
 def interarrival(
-    packets: DataFrame, group: Sequence[str] = FILE_KEY, ts: str = "packet_ts", slice_seconds: int = 60
+    packets: DataFrame, group: Sequence[str] = FILE_KEY, ts: str = "packet_ts", slice_seconds: int = 60,
+    rows_per_slice: int = 2_000_000,
 ) -> DataFrame:
-    """Seconds since the preceding packet of the group; NULL on its first packet."""
+    """Seconds since the preceding packet of the group; NULL on its first packet.
+
+    Slices of more than ``rows_per_slice`` packets are cut further, by what they hold.
+    """
     rows = packets.withColumn("_slice", time_slice(ts, slice_seconds))
-    lagged = previous_time(rows, "_prev", ts, group, [ts, "packet_id"], "_slice")
+    cut, slices, _ = refined_slices(rows, group, "_slice", [ts, "packet_id"], rows_per_slice)
+    cut = cut.withColumn("_place", F.struct(*slices)).drop(*slices)
+    lagged = previous_time(cut, "_prev", ts, group, [ts, "packet_id"], "_place")
     gap = (epoch_us(ts) - epoch_us("_prev")) / F.lit(1e6)
-    return lagged.withColumn("interarrival_sec", gap).drop("_prev", "_slice")
+    return lagged.withColumn("interarrival_sec", gap).drop("_prev", "_place")
 
 
 def port_entropy(packets: DataFrame, group: Sequence[str] = (), unit: str = "minute") -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from flowlens.functions.ordering import (
-    KEY_SPACE, hash_key, key_slice, previous_time, running_sums, sliced_row_number, time_slice, value_slice,
+    KEY_SPACE, hash_key, key_slice, previous_time, refined_slices, running_sums, sliced_row_number, time_slice, value_slice,
 )
 
 
@@ -66,3 +66,35 @@ def test_hash_key_range_and_spread(rows):
     keyed = rows.select(hash_key(42, "id").alias("k")).withColumn("s", key_slice("k"))
     low, high, distinct, top = keyed.agg(F.min("k"), F.max("k"), F.countDistinct("k"), F.max("s")).first()
     assert 0 <= low and high < KEY_SPACE and distinct > 2900 and top < 1024
+
+
+@pytest.fixture(scope="module")
+def flood(spark):
+    """A session that sends 30,000 packets in one minute, a third of them at one instant, beside quiet ones."""
+    rng = random.Random(3)
+    data = [("hot", rng.choice([30_000_000, rng.randrange(60_000_000), rng.randrange(1000)]), i) for i in range(30_000)]
+    data += [(f"q{i % 40}", rng.randrange(600_000_000), 100_000 + i) for i in range(1500)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "g string, us long, packet_id long")
+    return df.withColumn("packet_ts", F.timestamp_micros("us").cast("timestamp_ntz")).withColumn("_slice", time_slice("packet_ts")).cache()
+
+
+def test_no_part_of_a_flooded_minute_holds_more_than_its_share(flood):
+    order = ["packet_ts", "packet_id"]
+    cut, slices, counts = refined_slices(flood, ["g"], "_slice", order, 2000)
+    assert slices == ["_slice", "_fine"] and counts is None
+    sizes = {(r["g"], r["_slice"], r["_fine"]): r["count"] for r in cut.groupBy("g", *slices).count().collect()}
+    assert sum(sizes.values()) == 31_500 and max(sizes.values()) < 2000
+    assert sum(g == "hot" for g, _, _ in sizes) >= 20 and all(f == 0 for g, _, f in sizes if g != "hot")
+    ranked = sliced_row_number(cut, "rn", ["g"], order, slices, count_as="n").select("packet_id", "rn", "n")
+    group = Window.partitionBy("g")
+    plain = flood.select(
+        "packet_id", F.row_number().over(group.orderBy(*order)).cast("long").alias("rn"), F.count(F.lit(1)).over(group).alias("n"))
+    assert same(ranked, plain)
+
+
+def test_quiet_slices_are_left_whole(flood):
+    cut, slices, counts = refined_slices(flood, ["g"], "_slice", ["packet_ts", "packet_id"], 100_000)
+    assert slices == ["_slice"] and cut is flood and counts.agg(F.sum("_own")).first()[0] == 31_500
+    ranked = sliced_row_number(cut, "rn", ["g"], ["packet_ts", "packet_id"], slices, per_slice=counts)
+    assert same(ranked.select("packet_id", "rn"), sliced_row_number(flood, "rn", ["g"], ["packet_ts", "packet_id"], slices).select("packet_id", "rn"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.operators import sequences as S
+from flowlens.operators import timeline as TL
 from flowlens.schema import SEQUENCE_FEATURES
 from test_packets import PACKET, at, packet
 
@@ -76,3 +77,14 @@ def test_cap(spark):
     kept = S.cap_per_file(df, 7).orderBy("capture_day", "seq_idx").collect()
     assert [(r["ip_src"], r["win"]) for r in kept[:7]] == [("s0", w) for w in range(5)] + [("s1", 0), ("s1", 1)]
     assert len(kept) == 14
+
+
+def test_flooded_minute_gives_the_same_windows(spark):
+    """One session sends everything within a second, many packets at the same microsecond."""
+    rows = [packet(i, at(0), src="flood" if i % 9 else "calm", length=60 + i % 50, label="ab"[i % 7 == 0]) for i in range(3000)]
+    df = spark.createDataFrame(rows, PACKET).withColumn("payload_ratio", F.col("frame_len") / 100.0)
+    whole = S.number_packets(df).select("packet_id", "rn", "n")
+    cut = S.number_packets(df, rows_per_slice=100).select("packet_id", "rn", "n")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
+    gaps = [TL.interarrival(df, ["ip_src"], rows_per_slice=n).select("packet_id", "interarrival_sec") for n in (10**9, 100)]
+    assert sorted(map(str, gaps[0].collect())) == sorted(map(str, gaps[1].collect()))
