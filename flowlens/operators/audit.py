@@ -109,29 +109,6 @@ def file_health(
     })
 
 
-def schema_rows(df: DataFrame, scope: str) -> DataFrame:
-    """The frame's columns and types as rows (bounded by its width)."""
-    rows = [(scope, f.name, f.dataType.simpleString()) for f in df.schema.fields]
-    return df.sparkSession.createDataFrame(rows, "scope string, column_name string, type string")
-
-
-def missing_columns(found: DataFrame, expected: DataFrame) -> DataFrame:
-    """(scope, column, type) rows every scope should have but lacks."""
-    scopes = found.groupBy("scope").agg(F.collect_set(F.struct("column_name", "type")).alias("have"))
-    wanted = expected.agg(F.collect_set(F.struct("column_name", "type")).alias("want")).scalar()
-    return scopes.select("scope", F.inline(F.array_except(wanted, F.col("have"))))
-
-
-def absent_columns(df: DataFrame, scope: str, columns: Sequence[str]) -> DataFrame:
-    """(scope, column) pairs whose rows carry no value at all.
-
-    For tables unioned from exports of different versions, where a missing
-    column reads as NULL.
-    """
-    present = df.groupBy(scope).agg(*[F.count(c).alias(c) for c in columns])
-    return present.unpivot([scope], list(columns), "column_name", "n").filter(F.col("n") == 0).drop("n")
-
-
 def vector_lengths(windows: DataFrame, expected: int = WINDOW_SIZE * len(SEQUENCE_FEATURES)) -> DataFrame:
     return windows.agg(
         F.count(F.lit(1)).alias("windows"),
@@ -190,11 +167,6 @@ def label_coverage(train: DataFrame, test: DataFrame) -> DataFrame:
     )
 
 
-def absent_labels(df: DataFrame, expected: DataFrame) -> DataFrame:
-    """Expected labels no row carries."""
-    return expected.select("label").distinct().join(df.select("label").distinct(), "label", "left_anti")
-
-
 def shared_files(train: DataFrame, test: DataFrame) -> DataFrame:
     """File names present on both sides of a split."""
     return train.select(*FILE_KEY).distinct().intersect(test.select(*FILE_KEY).distinct())

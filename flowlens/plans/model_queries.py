@@ -13,6 +13,7 @@ from flowlens.operators import sequences as S
 from flowlens.operators import triage as TR
 from flowlens.plans.oracle import FLOW_KEY as KEY_SQL
 from flowlens.plans.registry import Tables, query, r6
+from flowlens.session import materialize
 from flowlens.schema import FLOW_FEATURES, FLOW_KEY, LABELS, SERVICE_PORTS
 
 # ---- features ----------------------------------------------------------------
@@ -148,7 +149,7 @@ def _(t):
     from window_steps join seq_scaler using (feature_idx) group by 1, 2, 3""", SEQ_SCALER)
 def _(t):
     """Sum of every scaled vector, of 32-bit values; padding steps count with the value of a scaled zero."""
-    vectors = S.window_vectors(t.clean)
+    vectors = materialize(S.window_vectors(t.clean), "vectors")  # read by the fit and by the scaling
     scaled = SC.apply_sequence_scaler(vectors, SC.fit_sequence_scaler(vectors))
     total = F.aggregate("sequence_features", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
     return scaled.select("ip_src", "ip_dst", "win", (F.round(total, 2) + 0.0).alias("scaled_sum"))

@@ -297,12 +297,27 @@ def _(t):
     return SP.evaluation_rows(t.indexed_flows, quota(t)).select("capture_day", "capture_file", "row_idx", "first_packet_id")
 
 
+@query("smp_08_evaluation_all_rows", """
+    select f.capture_day, f.capture_file, f.row_idx, f.first_packet_id, q.triggers from indexed_flows f join (
+      select capture_day, capture_file, count(*) filter (triggered = 1) as triggers from file_triaged group by 1, 2) q using (capture_day, capture_file)""")
+def _(t):
+    """The default: every row of every file, and each file's triggers as counted."""
+    t.store("file_flows", "file_scored")
+    files = t.file_triaged.groupBy("capture_day", "capture_file").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("triggered").alias("triggers"))
+    quota = SP.evaluation_quota(files, file_key=FILE_ORDER_KEY())
+    rows = SP.evaluation_rows(t.indexed_flows, quota)
+    return rows.join(quota.select("capture_day", "capture_file", F.col("triggers_counted").alias("triggers")), ["capture_day", "capture_file"]).select(
+        "capture_day", "capture_file", "row_idx", "first_packet_id", "triggers")
+
+
 @query("smp_09_permutation_split", """
     select first_packet_id, capture_day, capture_file, case when r <= floor(n * 0.9e0) then 'train' else 'eval' end as split
     from (select *, row_number() over (order by (first_packet_id * 7919 + 104729) % 1000003, first_packet_id) as r,
       count(*) over () as n from file_flows)""")
 def _(t):
-    split = SP.permutation_split(t.file_flows, ["first_packet_id"], key=ROW_KEY())
+    flows = t.store("file_flows").file_flows  # counted twice and split: three reads of the stored rows
+    split = SP.permutation_split(flows, ["first_packet_id"], key=ROW_KEY())
     return split.select("first_packet_id", "capture_day", "capture_file", "split")
 
 

@@ -20,6 +20,12 @@ def _finish(t: Tables, stream, name):
     return ST.run_available(stream, scratch_path(t.spark, name), scratch_path(t.spark, f"{name}-state"))
 
 
+def _finish_with_state(t: Tables, stream, name):
+    """The rows a stream has emitted, and the checkpoint that holds what it has not."""
+    left = scratch_path(t.spark, f"{name}-state")
+    return ST.run_available(stream, scratch_path(t.spark, name), left), left
+
+
 @query("str_01_minute_counts", """
     select date_trunc('minute', packet_ts) as bin, count(*) as packets, cast(sum(frame_len) as bigint) as bytes from packets
     group by 1 having date_trunc('minute', packet_ts) + interval 1 minute <= (select max(packet_ts) - interval 10 minute from packets)""")
@@ -28,7 +34,18 @@ def _(t):
     return _finish(t, ST.minute_counts(packets_of(_events(t))), "minutes")
 
 
-@query("str_02_idle_timeout_flows", """
+@query("str_01_every_minute", """
+    select date_trunc('minute', packet_ts) as bin, case when date_trunc('minute', packet_ts) + interval 1 minute
+      <= (select max(packet_ts) - interval 10 minute from packets) then 'closed' else 'open' end as state,
+      count(*) as packets, cast(sum(frame_len) as bigint) as bytes from packets group by 1""")
+def _(t):
+    """Closed minutes from the sink and open ones from the state: all packets of the table."""
+    closed, left = _finish_with_state(t, ST.minute_counts(packets_of(_events(t))), "every-minute")
+    return closed.withColumn("state", F.lit("closed")).unionByName(
+        ST.open_minutes(t.spark, left).withColumn("state", F.lit("open")))
+
+
+FLOW_PARTS = """
     with gaps as (select *, case when packet_ts < lag(packet_ts) over (partition by ip_src, ip_dst, ip_proto, tcp_srcport, tcp_dstport
           order by packet_ts, packet_id) + interval 6 hour then 0 else 1 end as starts from clean where ip_src is not null and ip_dst is not null),
       parts as (select *, sum(starts) over (partition by ip_src, ip_dst, ip_proto, tcp_srcport, tcp_dstport order by packet_ts, packet_id) as part from gaps),
@@ -39,6 +56,10 @@ def _(t):
       cast(sum(frame_len) as bigint) as frame_len_sum, any_value(l.label) as label
     from parts p join (select * from labels where r = 1) l using (ip_src, ip_dst, ip_proto, tcp_srcport, tcp_dstport, part)
     group by 2, 3, 4, 5, 6, part
+"""
+
+
+@query("str_02_idle_timeout_flows", FLOW_PARTS + """
     having max(packet_ts) + interval 6 hour <= (select max(packet_ts) - interval 10 minute from clean where ip_src is not null)""")
 def _(t):
     """Flows closed by six idle hours and the watermark."""
@@ -46,6 +67,17 @@ def _(t):
     return _finish(t, ST.idle_timeout_flows(clean, t.domain, gap="6 hours"), "idle")
 
 
+@query("str_02_every_flow", FLOW_PARTS.replace("any_value(l.label) as label", """any_value(l.label) as label,
+      case when max(packet_ts) + interval 6 hour <= (select max(packet_ts) - interval 10 minute from clean where ip_src is not null)
+        then 'closed' else 'open' end as state"""))
+def _(t):
+    """Ended flows from the sink and those still open from the state, with their labels: all packets of the table."""
+    clean = clean_packets(apply_labels(packets_of(_events(t)), t.log))
+    closed, left = _finish_with_state(t, ST.idle_timeout_flows(clean, t.domain, gap="6 hours"), "every-flow")
+    return closed.withColumn("state", F.lit("closed")).unionByName(
+        ST.open_flows(t.spark, left, t.domain).withColumn("state", F.lit("open")))
+
+
 @query("str_03_label_and_triage", """
     select packet_id, label, outcome, pred from (
       select *, case outcome when 'verified' then 1 when 'flow_only' then case when x_score > 0.5 then 1 else 0 end else 0 end as pred from (
@@ -63,20 +95,13 @@ def _(t):
 
 
 @query("str_04_late_rows", """
-    with ends as (select max(ts) filter (event_id % 10 between 1 and 8) - interval 10 minute as first_mark, max(ts) - interval 10 minute as last_mark from events)
-    select date_trunc('minute', packet_ts) as bin, count(*) as packets, cast(sum(frame_len) as bigint) as bytes from packets, ends
-    where packet_id % 10 <> 0 or date_trunc('minute', packet_ts) + interval 1 minute > first_mark
-    group by 1, last_mark having date_trunc('minute', packet_ts) + interval 1 minute <= last_mark""")
+    with m as (select date_trunc('minute', packet_ts) + interval 1 minute <= (select max(packet_ts) - interval 10 minute from packets) as closed from packets)
+    select case when closed then 'closed' else 'open' end as state, count(*) as packets from m group by 1
+    union all select 'late', 0""")
 def _(t):
-    """Every tenth row arrives last; those behind the watermark are dropped.
-
-    Lateness is judged by the mark of the batch before, so the other rows arrive
-    in two batches.
-    """
-    rows = events(t.spark, t.sf_dir)
-    folder = scratch_path(t.spark, "arrivals")
-    arrivals = ["event_id % 10 between 1 and 8", "event_id % 10 = 9", "event_id % 10 = 0"]
-    for part in map(rows.filter, arrivals):
-        part.coalesce(1).write.mode("append").parquet(folder)
-    stream = ST.event_stream(t.spark, folder, EVENT_SCHEMA, "*.parquet", files_per_batch=1)
-    return _finish(t, ST.minute_counts(packets_of(stream)), "late")
+    """Where every packet of the stream ended up: in a closed minute, an open one, or behind the watermark."""
+    closed, left = _finish_with_state(t, ST.minute_counts(packets_of(_events(t))), "accounted")
+    open_ = ST.open_minutes(t.spark, left)
+    late = ST.late_minutes(packets_of(events(t.spark, t.sf_dir)), closed.unionByName(open_))
+    total = lambda df, state: df.agg(F.coalesce(F.sum("packets"), F.lit(0)).alias("packets")).select(F.lit(state).alias("state"), "packets")
+    return total(closed, "closed").unionByName(total(open_, "open")).unionByName(total(late, "late"))

@@ -18,6 +18,9 @@ from flowlens.operators import triage as TR
 from flowlens.plans.oracle import FLOW_KEY as KEY_SQL
 from flowlens.plans.registry import FILE_ORDER_KEY, Tables, query, r6
 from flowlens.schema import FILE_KEY, FLOW_COLUMNS, FLOW_FEATURES, FLOW_KEY, LABELS
+from flowlens.session import scratch_path
+from flowlens.sources.datasets import built_files, write_by_day
+from flowlens.sources.footers import footer_rows, schema_drift
 
 # ---- projections -------------------------------------------------------------
 
@@ -294,11 +297,12 @@ def _(t):
 
 
 @query("join_09_file_parity", """
-    select capture_day, capture_file from packets group by 1, 2
-    except select capture_day, capture_file from file_flows where label <> 'Benign'""")
+    select capture_day, capture_file from packets where capture_day = 'D03' or capture_file = 'cap-2' group by 1, 2""")
 def _(t):
-    """Captures without any attack flow, as inputs lacking an output."""
-    return J.unprocessed(t.packets, t.file_flows.filter(F.col("label") != "Benign"))
+    """Inputs without a counterpart among the files of a built table: one day was not built, and one capture of each."""
+    path = scratch_path(t.spark, "built")
+    write_by_day(t.file_flows.filter("capture_day <> 'D03' and capture_file <> 'cap-2'"), path)
+    return J.unprocessed(t.packets, built_files(t.spark, path))
 
 
 # ---- aggregates --------------------------------------------------------------
@@ -570,13 +574,26 @@ def _(t):
 
 
 @query("agg_25_schema_parity", """
-    select distinct capture_day, column_name from file_flows,
-      (values ('flow_duration_sec'), ('packet_rate'), ('tcp_window_mean')) as c(column_name) where capture_day = 'D02'""")
-def _(t):
-    """One day comes from an older export without three columns; the union shows them as absent."""
-    older = t.file_flows.filter("capture_day = 'D02'").drop("flow_duration_sec", "packet_rate", "tcp_window_mean")
-    merged = t.file_flows.filter("capture_day <> 'D02'").unionByName(older, allowMissingColumns=True)
-    return A.absent_columns(merged, "capture_day", FLOW_COLUMNS)
+    select distinct capture_day, column_name, problem, found from file_flows, (values
+      ('D02', 'flow_duration_sec', 'missing', null), ('D02', 'packet_rate', 'missing', null), ('D02', 'tcp_window_mean', 'missing', null),
+      ('D04', 'frame_len_sum', 'type', 'string')) as c(folder, column_name, problem, found) where capture_day = folder""")
+def _(t):
+    """Files of one day come from an older export without three columns, of another with a number as text.
+
+    Both are named by their footers; a third day whose window sizes are all NULL is not.
+    """
+    path = scratch_path(t.spark, "exports")
+    flows = t.store("file_flows").file_flows
+    for day, change in {
+        "D02": lambda df: df.drop("flow_duration_sec", "packet_rate", "tcp_window_mean"),
+        "D04": lambda df: df.withColumn("frame_len_sum", F.col("frame_len_sum").cast("string")),
+        "D06": lambda df: df.withColumn("tcp_window_mean", F.lit(None).cast("double")),
+    }.items():
+        change(flows.filter(F.col("capture_day") == day)).write.mode("append").partitionBy("capture_day").parquet(path)
+    flows.filter("capture_day not in ('D02', 'D04', 'D06')").write.mode("append").partitionBy("capture_day").parquet(path)
+    expected = flows.select(*FLOW_COLUMNS).schema
+    drift = schema_drift(footer_rows(t.spark, path, "capture_day"), expected)
+    return drift.select(F.col("folder").alias("capture_day"), "column_name", "problem", "found")
 
 
 @query("agg_26_vector_lengths", "select count(*) as windows, count(*) as right_length from window_labels")

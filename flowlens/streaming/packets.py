@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flowlens.operators.flows import mode_in_domain
 from flowlens.operators.labels import apply_labels
@@ -45,6 +45,43 @@ def idle_timeout_flows(
     )
 
 
+def _state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What the last batch of a finished query left in its state store."""
+    return spark.read.format("statestore").load(checkpoint)
+
+
+def open_minutes(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Minutes that :func:`minute_counts` has counted and not closed yet, with its columns."""
+    return _state(spark, checkpoint).select(
+        F.col("key.window.start").cast("timestamp_ntz").alias("bin"), F.col("value.count").alias("packets"), F.col("value.sum").alias("bytes"))
+
+
+def open_flows(spark: SparkSession, checkpoint: str, label_domain: Sequence[str]) -> DataFrame:
+    """Flows that :func:`idle_timeout_flows` has seen and not ended yet, with its columns.
+
+    The state holds a counter per label in the order of ``label_domain``, under one name; they are told apart by place.
+    """
+    labels = [f"_label_{i}" for i in range(len(label_domain))]
+    state = _state(spark, checkpoint)
+    places = ["_w", *FLOW_KEY, "frame_len_count", "frame_len_sum", *labels]
+    named = T.StructType([T.StructField(n, f.dataType) for n, f in zip(places, state.schema["value"].dataType.fields, strict=True)])
+    flat = state.select(F.col("value").cast(named).alias("_v")).select("_v.*")
+    names = F.array(*[F.lit(x) for x in label_domain])
+    counters = F.array(*labels)
+    return flat.select(
+        F.col("_w.start").cast("timestamp_ntz").alias("timestamp_min"), *FLOW_KEY, "frame_len_count", "frame_len_sum",
+        F.element_at(names, F.array_position(counters, F.array_max(counters)).cast("int")).alias("label"))
+
+
+def late_minutes(packets: DataFrame, counted: DataFrame) -> DataFrame:
+    """Packets of each minute that came behind the watermark: those of ``packets``, a batch read of the same
+    input, that are in none of the ``counted`` minutes, closed or open."""
+    given = packets.groupBy(F.date_trunc("minute", "packet_ts").cast("timestamp_ntz").alias("bin")).agg(F.count(F.lit(1)).alias("given"))
+    seen = counted.groupBy("bin").agg(F.sum("packets").alias("seen"))
+    missing = F.col("given") - F.coalesce("seen", F.lit(0))
+    return given.join(seen, "bin", "left").select("bin", missing.alias("packets")).filter("packets > 0")
+
+
 def label_and_triage(scored: DataFrame, attack_log: DataFrame) -> DataFrame:
     """Label and triage scored packets; stateless, so each batch is a projection."""
     return batch_triage(apply_labels(scored, attack_log))

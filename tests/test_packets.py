@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import cleaning as C
 from flowlens.operators.flows import build_flows
-from flowlens.operators.labels import apply_labels, join_labels, label_domain
+from flowlens.operators.labels import apply_labels, join_labels, label_domain, window_index
 from flowlens.schema import ATTACK_LOG_SCHEMA
 
 PACKET = (
@@ -85,7 +85,7 @@ def test_labels_last_match_wins(labelled_cases):
 
 def test_labels_long_log(labelled_cases):
     df, log = labelled_cases
-    assert values(join_labels(df, log, bucket_seconds=30).orderBy("packet_id"), "label") == EXPECTED
+    assert values(join_labels(df, log, most=1).orderBy("packet_id"), "label") == EXPECTED
     assert values(apply_labels(df, log, max_inline=2).orderBy("packet_id"), "label") == EXPECTED
 
 
@@ -146,3 +146,44 @@ def test_an_attack_without_name_is_benign_in_both_forms(labelled_cases):
     short, long = (f(df.withColumnRenamed("packet_id", "n"), unnamed).orderBy("n") for f in (apply_labels, join_labels))
     assert values(short, "label") == values(long, "label")
     assert None not in values(short, "label")
+
+
+def long_log(n, seed=1):
+    """Windows of very different lengths, crowded into one second on one host and spread over others, and a few hundred addresses."""
+    import random
+
+    rng, base = random.Random(seed), 1_700_000_000_000_000
+    targets = ["10.0.0.1", "10.0.0.", "10.0", "10.0.0.12", None, "", "172.31.69.25", "10.1.2."]
+    rows = []
+    for i in range(n):
+        crowded = rng.random() < 0.7
+        start = base + (rng.randrange(1_000_000) if crowded else rng.randrange(7_200_000_000))
+        length = rng.choice([0, 5, 300, 40_000, 900_000]) if crowded or rng.random() < 0.5 else rng.randrange(3_000_000_000)
+        target = "10.0.0.1" if crowded else rng.choice(targets) if rng.random() < 0.02 else f"10.{rng.randrange(4)}.{rng.randrange(3)}.{rng.randrange(200)}"
+        rows.append((i, start, start + length, target, None if rng.random() < 0.05 else f"A{i % 50}"))
+    packets = [(k, base + (rng.randrange(1_100_000) if k % 2 else rng.randrange(7_300_000_000)),
+                rng.choice(["10.0.0.1", "10.0.0.12", f"10.{rng.randrange(4)}.{rng.randrange(3)}.{rng.randrange(200)}", None]),
+                rng.choice(["10.0.0.13", "172.31.69.25", "8.8.8.8"])) for k in range(600)]
+    return rows, packets
+
+
+@pytest.mark.parametrize("n, most, match", [(1500, 8, "prefix"), (1500, 8, "octet"), (20_000, 64, "prefix")])
+def test_long_logs_label_like_a_walk_through_them(spark, n, most, match):
+    rows, packets = long_log(n)
+    times = lambda df, *names: df.withColumns({c: F.timestamp_micros(c).cast("timestamp_ntz") for c in names})
+    log = times(spark.createDataFrame(rows, "log_id int, start_ts long, end_ts long, target_ip string, attack_type string"), "start_ts", "end_ts")
+    df = times(spark.createDataFrame(packets, "packet_id int, packet_ts long, ip_src string, ip_dst string"), "packet_ts")
+    index = window_index(log, match, most)
+    assert len(index) > 2  # one host's second is cut further
+    assert max(t.agg(F.max(F.size("_windows"))).first()[0] or 0 for _, t in index) <= most + 1
+
+    def hits(ip, target):
+        stem = target.rstrip(".")
+        return ip is not None and (ip.startswith(target) if match == "prefix" else ip == stem or ip.startswith(stem + ".") and stem != "")
+
+    expected = {}
+    for k, at, src, dst in packets:
+        fits = [w for w in rows if w[1] <= at <= w[2] and (w[3] is None or hits(src, w[3]) or hits(dst, w[3]))]
+        expected[k] = (fits[-1][4] or "Benign") if fits else "Benign"
+    found = {r["packet_id"]: r["label"] for r in join_labels(df, log, match, most=most).collect()}
+    assert found == expected and len(set(found.values())) > 10

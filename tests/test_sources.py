@@ -2,6 +2,7 @@
 
 import codecs
 import os
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from flowlens.schema import FLOW_SCHEMA
 from flowlens.sources import datasets as D
 from flowlens.sources import packets as PK
 from flowlens.sources.attack_log import read_attack_log
+from flowlens.sources.footers import footer_rows, schema_drift
 from flowlens.sources.ingest import ingest, inspect_files
 
 HEADER = '"frame.time_epoch","ip.src","ip.dst","frame.len","tcp.flags"'
@@ -172,3 +174,19 @@ def test_build_from_capture_text(spark, tables, tmp_path):
     vectors = spark.read.parquet(f"{out}/sequences")
     assert vectors.groupBy("capture_day", "capture_file").count().count() == 50
     assert vectors.filter(F.size("sequence_features") != 180).count() == 0
+
+
+def test_schema_drift_is_read_from_footers(spark, tmp_path):
+    path = str(tmp_path / "t")
+    full = spark.createDataFrame([(1, "a", 2.0, datetime(2024, 1, 1))], "n bigint, s string, x double, at timestamp_ntz")
+    parts = {"D 0+%": full, "D1": full.drop("x"), "D2": full.withColumn("n", F.lit("1")), "D3": full.withColumn("x", F.lit(None).cast("double")),
+             "D4": full.withColumn("extra", F.lit(1))}
+    for day, df in parts.items():
+        df.withColumn("day", F.lit(day)).write.mode("append").partitionBy("day").parquet(path)
+    os.makedirs(f"{path}/day=D5")
+    with open(f"{path}/day=D5/bad.parquet", "wb") as f:
+        f.write(b"PAR1 no footer")
+    footers = footer_rows(spark, path, "day")
+    assert {r["folder"] for r in footers.collect()} == {*parts, "D5"} and footers.filter("rows = 1 and column_name = 'at' and type = 'timestamp_ntz'").count() == 5
+    found = {(r["folder"], r["column_name"], r["problem"], r["found"], r["files"]) for r in schema_drift(footers, full.schema).collect()}
+    assert found == {("D1", "x", "missing", None, 1), ("D2", "n", "type", "string", 1), ("D5", None, "unreadable", None, 1)}
