@@ -17,7 +17,7 @@ from flowlens.functions.cleaning import is_attack
 from flowlens.functions.ordering import hash_key, key_slice, sliced_row_number
 from flowlens.operators.sequences import session_windows
 from flowlens.schema import BENIGN, SEQUENCE_FEATURES, SESSION_KEY, WINDOW_SIZE, WINDOW_STRIDE
-from flowlens.session import use_checkpoints
+from flowlens.session import materialize, use_checkpoints
 
 # Class-weight rule and positive weights.
 WEIGHT_GAIN, WEIGHT_CAP = 1.5, 10.0
@@ -243,22 +243,24 @@ def score_vectors(
 
 def continual_training(
     flows: DataFrame, features: Sequence[str], days: Sequence[str], ids: Sequence[str],
-    retained_pct: float = 5.0, rounds: int = 20,
-) -> list[tuple[str, PipelineModel]]:
-    """One model per day, each fitted on that day plus a retained sample of the days before.
+    retained_pct: float = 5.0, rounds: int = 20, key: Column | None = None,
+) -> list[tuple[str, PipelineModel, int]]:
+    """(day, model, rows fitted) per day, each fitted on that day plus a sample retained from the days before.
 
-    ``days`` is the ordered list of capture days; each fit is one Spark job.
+    ``days`` is the ordered list of capture days. What is retained is carried on as a table, so a day's
+    fit reads that day, which a table by day prunes to its files, and the small sample, and
+    never the days before. ``key`` decides by its value modulo 1000 which rows are retained.
     """
-    key = hash_key(42, *ids)
-    sampled = F.pmod(key, F.lit(1000)) < retained_pct * 10
-    models = []
-    for i, day in enumerate(days):
-        current = F.col("capture_day") == day
-        earlier = F.col("capture_day").isin(*days[:i]) if i else F.lit(False)
-        rows = with_positive_weight(_zeros(flows.filter(current | (earlier & sampled)), features), FLOW_POSITIVE_WEIGHT)
+    drawn = F.pmod(key if key is not None else hash_key(42, *ids), F.lit(1000)) < retained_pct * 10
+    models, retained = [], None
+    for day in days:
+        current = _zeros(flows.filter(F.col("capture_day") == day), features).select(*ids, "label", *[c for c in features if c not in ids])
+        rows = materialize(current if retained is None else current.unionByName(retained), "continual")
         stages = [
             VectorAssembler(inputCols=list(features), outputCol="features"),
             LogisticRegression(labelCol="y", weightCol="w", maxIter=rounds, family="multinomial"),
         ]
-        models.append((day, Pipeline(stages=stages).fit(rows)))
+        model = Pipeline(stages=stages).fit(with_positive_weight(rows, FLOW_POSITIVE_WEIGHT))
+        models.append((day, model, rows.count()))
+        retained = rows.filter(drawn)
     return models

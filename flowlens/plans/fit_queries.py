@@ -23,6 +23,7 @@ from flowlens.plans.registry import FILE_ORDER_KEY, ROW_KEY, Tables, query
 from flowlens.plans.training import QUICK, FlowClassifier, train_flow_classifier
 from flowlens.schema import FILE_KEY, FLOW_FEATURES, SESSION_KEY, WINDOW_SIZE, WINDOW_STRIDE
 from flowlens.session import materialize, scratch_path
+from flowlens.sources.datasets import write_by_day
 
 IDS = [*FILE_KEY, "first_packet_id"]
 
@@ -222,17 +223,24 @@ def _(t):
 
 
 @query("ml_10_continual_training", """
-    with d as (select capture_day, lag(capture_day) over (order by capture_day) as before, count(*) as n from split_rows group by 1)
-    select before as trained_through, capture_day as tested_on, n, true as in_range from d where before is not null""")
+    with d as (select capture_day, lead(capture_day) over (order by capture_day) as after, count(*) filter (where split = 'train') as own,
+        count(*) filter (where split = 'train' and (first_packet_id * 7919 + 104729) % 1000003 % 1000 < 50) as kept, count(*) as n
+      from split_rows group by 1)
+    select capture_day as trained_through, after as tested_on, lead(n) over (order by capture_day) as n, true as in_range,
+      cast(own + coalesce(sum(kept) over (order by capture_day rows between unbounded preceding and 1 preceding), 0) as bigint) as rows_fitted
+    from d qualify after is not null""")
 def _(t):
-    """Each day's model on the next day's flows."""
-    rows = split_table(t)
+    """Each day's model on the next day's flows, and how many rows it was fitted on."""
+    path = scratch_path(t.spark, "days")
+    write_by_day(t.split_rows, path)
+    rows = t.spark.read.parquet(path)
     days = [r[0] for r in rows.select("capture_day").distinct().orderBy("capture_day").collect()]
-    models = M.continual_training(rows.filter("split = 'train'"), FLOW_FEATURES, days, IDS)
+    models = M.continual_training(rows.filter("split = 'train'"), FLOW_FEATURES, days, IDS, key=ROW_KEY())
     steps = [
         M.log_loss(M.score_binary(model, rows.filter(F.col("capture_day") == after), FLOW_FEATURES)).select(
-            F.lit(day).alias("trained_through"), F.lit(after).alias("tested_on"), "n", F.col("accuracy").between(0, 1).alias("in_range"))
-        for (day, model), after in zip(models, days[1:])
+            F.lit(day).alias("trained_through"), F.lit(after).alias("tested_on"), "n", F.col("accuracy").between(0, 1).alias("in_range"),
+            F.lit(fitted).cast("bigint").alias("rows_fitted"))
+        for (day, model, fitted), after in zip(models, days[1:])
     ]
     return reduce(DataFrame.unionByName, steps)
 

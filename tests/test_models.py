@@ -46,9 +46,17 @@ def test_early_stopping_and_importance(rows):
     assert set(added) == set(FEATURES) and added["a"] > added["b"]
 
 
-def test_continual_training_fits_every_day(rows):
-    models = M.continual_training(rows, FEATURES, ["D0", "D1", "D2"], ["id"], rounds=3)
-    assert [day for day, _ in models] == ["D0", "D1", "D2"]
+def test_continual_training_reads_a_day_and_the_sample(spark, rows, tmp_path, monkeypatch):
+    path, read = str(tmp_path / "days"), []
+    rows.write.partitionBy("capture_day").parquet(path)
+    whole = M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, name: read.append(df) or whole(df, name))
+    models = M.continual_training(spark.read.parquet(path), FEATURES, ["D0", "D1", "D2"], ["id"], rounds=3, retained_pct=10.0, key=F.col("id"))
+    assert [(day, n) for day, _, n in models] == [("D0", 200), ("D1", 200 + 34), ("D2", 200 + 34 + 33)]
+    for day, df in zip(["D0", "D1", "D2"], read):
+        files = [f for f in df.inputFiles() if "capture_day=" in f]
+        assert files and all(f"capture_day={day}/" in f for f in files) or "PartitionFilters" in df._jdf.queryExecution().toString()
+        assert df._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("FileScan") == (1 if day == "D0" else 2)
 
 
 def pooled_logistic(center):
@@ -217,7 +225,7 @@ def test_report_of_held_out_sessions(tables, classifier):
 
 def test_weighted_scores_keep_the_weighted_share(rows):
     """An unpenalised intercept makes the weighted mean score the weighted attack share."""
-    (_, model), = M.continual_training(rows.withColumn("capture_day", F.lit("D0")), FEATURES, ["D0"], ["id"], rounds=100)
+    (_, model, _), = M.continual_training(rows.withColumn("capture_day", F.lit("D0")), FEATURES, ["D0"], ["id"], rounds=100)
     scored = M.with_positive_weight(M.score_binary(model, rows, FEATURES), M.FLOW_POSITIVE_WEIGHT)
     mean, share = scored.agg(F.sum(F.expr("w * x_score")) / F.sum("w"), F.sum(F.expr("w * y")) / F.sum("w")).first()
     assert mean == pytest.approx(share, abs=1e-3)
