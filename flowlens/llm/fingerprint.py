@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.llm.rows import col
 from flowlens.llm.warc import bucket_of
+from flowlens.session import materialize
 
 #: Terms share 2**18 hash classes; a class is in the lexicon if its document frequency is in the band.
 CLASSES = 1 << 18
-MOST_FREQUENT = 0.1
-LEAST_DOCUMENTS = 2
+#: The band, as natural logarithms of documents over the documents with a class.
+LEAST_IDF, MOST_IDF = math.log(10), 12.0
 #: (ways a level deals the lexicon out, how many of those subsets are used), coarse to fine.
 LEVELS = ((1, 1), (16, 16), (256, 48), (4096, 48))
 SUBSETS = sum(used for _, used in LEVELS)
@@ -36,16 +37,14 @@ def term_class(term: Column) -> Column:
 def lexicon(texts: DataFrame, documents: int) -> Column:
     """One byte per term class, 1 where the class's inverse document frequency is in the band.
 
-    Document frequencies are over all documents. Below the band are classes of more than a
-    tenth of the documents; above it those of fewer than two more than unrelated terms that
-    share a class would reach by themselves. The literal has a fixed size.
+    Document frequencies are over all documents and the band is of their shares, so a table
+    and its copies have one lexicon. The literal has a fixed size; counts are stored, as they are
+    read again for every limit.
     """
-    counts = texts.select(F.explode(F.array_distinct(F.transform(terms(F.col("text")), term_class))).alias("class")).groupBy("class").count()
-    spread = counts.agg(F.count(F.lit(1)), F.percentile_approx("count", 0.5)).first()
-    base = spread[1] if spread[0] > CLASSES // 2 else 0
-    least = max(LEAST_DOCUMENTS, base + LEAST_DOCUMENTS * int(math.sqrt(base)) if base else 0)
-    most = max(MOST_FREQUENT * documents, least)
-    kept = counts.filter((F.col("count") >= least) & (F.col("count") <= most)).select("class").collect()
+    classes = F.explode(F.array_distinct(F.transform(terms(F.col("text")), term_class))).alias("class")
+    counts = materialize(texts.select(classes).groupBy("class").count(), "term-classes")
+    least, most = documents * math.exp(-MOST_IDF), documents * math.exp(-LEAST_IDF)
+    kept = counts.filter((F.col("count") >= least) & (F.col("count") <= max(most, 1))).select("class").collect()
     flags = bytearray(CLASSES)
     for (c,) in kept:
         flags[c] = 1
@@ -70,7 +69,7 @@ def _entry(ways: int, base: int):
 
 
 def subset_hashes(inside: Column) -> Column:
-    """Hashes of the sorted distinct lexicon terms of every subset, NULL where a subset has none.
+    """Hashes of the sorted distinct lexicon terms of every subset, 64 bits of the first, 16 of the others; NULL where a subset has none.
 
     A term is in subset s of a level when its hash deals it there; marks for every subset
     are sorted in before its terms, so one sort of numbers and one split serve all subsets.
@@ -83,21 +82,22 @@ def subset_hashes(inside: Column) -> Column:
     marked = F.sort_array(F.concat(*entries, marks))
     shown = F.transform(marked, lambda e: F.when(e.bitwiseAND(HASH_BITS) == 0, F.lit(";")).otherwise(F.concat(e.cast("string"), F.lit(","))))
     parts = F.slice(F.split(F.array_join(shown, ""), ";"), 2, SUBSETS)
-    return F.transform(parts, lambda p: F.when(p != "", F.pmod(F.xxhash64(p), F.lit(65_536)).cast("int")))
+    return F.transform(parts, lambda p, i: F.when(p != "", F.when(i == 0, F.xxhash64(p)).otherwise(F.pmod(F.xxhash64(p), F.lit(65_536)))))
 
 
 def with_hashes(df: DataFrame, text_col: str, out: str, flags: Column) -> DataFrame:
     """Adds the subset hashes of a text. Without lexicon terms, the first is of all its terms, or of the text."""
     split = df.withColumn("all_terms", terms(F.col(text_col)))
     split = split.withColumn("inside", in_lexicon(F.col("all_terms"), flags)).withColumn(out, subset_hashes(F.col("inside")))
-    rest = F.pmod(F.xxhash64(F.when(F.size("all_terms") > 0, F.array_join(F.sort_array("all_terms"), ",")).otherwise(F.col(text_col))), F.lit(65_536))
-    whole = F.coalesce(F.element_at(F.col(out), 1), rest.cast("int"))
+    rest = F.xxhash64(F.when(F.size("all_terms") > 0, F.array_join(F.sort_array("all_terms"), ",")).otherwise(F.col(text_col)))
+    whole = F.coalesce(F.element_at(F.col(out), 1), rest)
     return split.withColumn(out, F.concat(F.array(whole), F.slice(F.col(out), 2, SUBSETS - 1))).drop("all_terms", "inside")
 
 
 def fingerprint_text(hashes: Column) -> Column:
-    """Four hex digits per subset, four dashes for one without terms."""
-    return F.array_join(F.transform(hashes, lambda h: F.when(h.isNull(), F.lit("----")).otherwise(F.lpad(F.hex(h), 4, "0"))), "")
+    """Sixteen hex digits of the hash of all lexicon terms, then four per subset, or four dashes for one without terms."""
+    digits = lambda h, i: F.lpad(F.hex(h), F.when(i == 0, 16).otherwise(4), F.lit("0"))
+    return F.array_join(F.transform(hashes, lambda h, i: F.when(h.isNull(), F.lit("----")).otherwise(digits(h, i))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
