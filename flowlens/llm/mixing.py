@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.llm.rows import col, pack, unpack
+from flowlens.session import materialize
 
 #: A source's weight is its size to this power: between its share (1) and equal weights (0).
 EVENNESS = 0.5
@@ -59,10 +60,12 @@ def replicated(packed: DataFrame, rated: DataFrame, seed: int = SEED) -> DataFra
     """Packed rows with ``rate``, ``copies``, ``copy`` (from 1) and ``key``, in the order of ``key``.
 
     A row's count inverts the Poisson distribution of its source's rate at numbers hashed
-    from seed and id, so a recomputed task draws the same copies. Rows meet the small
-    table of rates on (source, salt); a source with most of the rows is thus many keys.
+    from seed and id, so a recomputed task draws the same copies. Rows meet the stored
+    table of rates on (source, salt): Spark broadcasts it where its files are small, and
+    where they are not, a source with most of the rows is many keys.
     """
     salted = with_tables(rated).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("source", "of")
+    salted = materialize(salted, "rates")
     name = F.coalesce(F.col("id").cast("string"), F.lit("null"))
     rows = packed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     rows = rows.join(salted, (rows["salt"] == salted["salt"]) & rows["source"].eqNullSafe(salted["of"])).drop("salt", "of")
@@ -80,7 +83,11 @@ def _packed(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
 
 def mix_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                weights: DataFrame | None = None, budget: float | None = None, seed: int = SEED) -> DataFrame:
-    """One row per copy drawn, in shuffled order: id, source, text, rate, copies, copy, key."""
+    """One row per copy drawn, in shuffled order: id, source, text, rate, copies, copy, key.
+
+    NULL texts count no characters; NULL ids draw alike, repeated rows as many copies each;
+    other columns are not in it; an empty table gives an empty one.
+    """
     packed = _packed(df, id_col, text_col, source_col)
     drawn = replicated(packed, rates(packed, weights, budget), seed)
     return drawn.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("text").alias(text_col), "rate", "copies", "copy", "key")
