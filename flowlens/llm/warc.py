@@ -50,20 +50,19 @@ def shard_bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
     if low is None:
         return []
     cells: list[tuple[int, int]] = []
-    todo, width = [(low, high + 1)], 0
-    while todo:
-        found: dict[int, int] = {}
-        for a, b in todo:
-            width = max(1, -(-(b - a) // SPLIT))
-            cell = F.expr(f"(id - {a}) div {width}")
-            for k, n in sizes.filter((F.col("id") >= a) & (F.col("id") < b)).groupBy(cell.alias("k")).agg(F.sum("bytes")).collect():
-                found[a + k * width] = (n, width)
+    todo, size = [low], high + 1 - low
+    while todo:  # all ranges of a round have one size, and are summed in one job
+        width = max(1, -(-size // SPLIT))
+        start = F.get(F.from_json(F.lit(json.dumps(todo)), "array<bigint>"), bucket_of(F.col("id"), todo) - 1)
+        placed = sizes.withColumn("start", start).filter(F.col("id") < F.col("start") + size)
+        found = placed.groupBy("start", F.expr(f"(id - start) div {width}").alias("k")).agg(F.sum("bytes").alias("n")).collect()
         todo = []
-        for start, (n, size) in found.items():
-            if n > shard_bytes and size > 1:
-                todo.append((start, start + size))
+        for a, k, n in found:
+            if n > shard_bytes and width > 1:
+                todo.append(a + k * width)
             else:
-                cells.append((start, n))
+                cells.append((a + k * width, n))
+        todo, size = sorted(todo), width
     bounds, total = [], 0
     for start, n in sorted(cells):
         if total and total + n > shard_bytes:
@@ -204,8 +203,12 @@ def _members(stream, digest) -> Iterator[bytes]:
         raise ValueError("the archive ends within a record")
 
 
-def read_archives(spark: SparkSession, root: str) -> DataFrame:
-    """Every record of the files the manifest names; sizes and digests are checked against the bytes read."""
+def read_archives(spark: SparkSession, root: str, most_tasks: int = 4096) -> DataFrame:
+    """Every record of the files the manifest names; sizes and digests are checked against the bytes read.
+
+    There are as many tasks as files, up to ``most_tasks``. Records come back as they were written: NULL ids,
+    repeated rows and empty payloads too; a manifest without files gives no rows.
+    """
     manifest = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,5 +245,6 @@ def read_archives(spark: SparkSession, root: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    spread = manifest.repartitionByRange("file")
+    files = manifest.count()  # a number of partitions, so that a small manifest is not one task
+    spread = manifest.repartitionByRange(min(max(1, files), most_tasks), "file")
     return spread.mapInArrow(read, RECORDS)

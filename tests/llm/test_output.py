@@ -149,6 +149,23 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_shards_of_uneven_ids(spark):
+    """Most bytes in a few ids far apart: shards hold their share, but for single ids with more."""
+    rows = [(i, 10) for i in range(300)] + [(10**12 + 3 * i, 40) for i in range(500)] + [(7, 5000), (-(10**15), 20)]
+    bounds = warc.shard_bounds(spark.createDataFrame(rows, "id long, bytes long").repartition(5), 400)
+    assert bounds == sorted(set(bounds))
+    shards = Counter()
+    for i, n in rows:
+        shards[sum(b <= i for b in bounds)] += n
+    per_id = Counter()
+    for i, n in rows:
+        per_id[i] += n
+    for shard, n in shards.items():
+        ids = [i for i in per_id if sum(b <= i for b in bounds) == shard]
+        assert n <= 400 or len(ids) == 1
+    assert warc.shard_bounds(spark.createDataFrame([], "id long, bytes long"), 400) == []
+
+
 def test_bucket_of_counts_bounds(spark):
     bounds = [3, 3 + 1, 10, 11, 50, 51, 52, 1000]
     rows = spark.range(0, 1100).select("id", bucket_of(F.col("id"), bounds).alias("b")).collect()
@@ -173,6 +190,77 @@ def test_fingerprints(spark, sf_dir, table, bucket_chars, monkeypatch):
     assert np.mean([r["near_edited"] > r["near_next"] for r in found.values()]) > 0.9
 
 
+def plain_fingerprints(rows):
+    """(fingerprint, edited fingerprint, near_edited, near_next) of each id, without Spark."""
+    import math
+
+    import regex
+    import xxhash
+
+    def hashed(text):
+        h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+        return h - (1 << 64) if h >> 63 else h
+
+    def words(text):
+        return {hashed(w) for w in regex.split(fingerprint.NOT_A_TERM, text.lower()) if w}
+
+    counts = Counter(c for _, t in rows for c in {w % fingerprint.CLASSES for w in words(t)})
+    low, high = (len(rows) * math.exp(-x) for x in (fingerprint.MOST_IDF, fingerprint.LEAST_IDF))
+    lexicon = {c for c, n in counts.items() if low <= n <= max(high, 1)}
+
+    def hashes(text):
+        every = words(text)
+        inside = [w for w in every if w % fingerprint.CLASSES in lexicon]
+        out, base = [], 0
+        for ways, used in fingerprint.LEVELS:
+            for s in range(used):
+                mine = sorted((s + base << 44) | (w & fingerprint.HASH_BITS) | 1 for w in inside if (w >> 20) % ways == s)
+                out.append(hashed("".join(f"{e}," for e in mine)) if mine else None)
+            base += used
+        if out[0] is None:
+            out[0] = hashed(",".join(map(str, sorted(every))) if every else text)
+        return [out[0], *(None if h is None else h % 65536 for h in out[1:])]
+
+    def shown(h):
+        return f"{h[0] % (1 << 64):016X}" + "".join("----" if x is None else f"{x:04X}" for x in h[1:])
+
+    def alike(a, b):
+        if a[0] == b[0]:
+            return 1.0
+        start, value = 1, 0.0
+        for k, (_, used) in enumerate(fingerprint.LEVELS[1:]):
+            pairs = [(x, y) for x, y in zip(a[start : start + used], b[start : start + used]) if x is not None or y is not None]
+            if k == 0 or len(pairs) >= fingerprint.LEAST_FILLED:
+                value = sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+            start += used
+        return value
+
+    rows = sorted(rows, reverse=True)
+    own, out = [hashes(t) for _, t in rows], {}
+    for k, (i, text) in enumerate(rows):
+        after, half = (k + 1) % len(rows), len(text) // 2
+        changed = hashes(text[: len(text) - half] + rows[after][1][:half])
+        out[i] = (shown(own[k]), shown(changed), alike(own[k], changed), alike(own[k], own[after]))
+    return out
+
+
+def test_fingerprints_match_plain_arithmetic(docs, table):
+    rows = [(r["doc_id"], r["text"]) for r in table("documents").collect()]
+    found = {r["doc_id"]: (r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"])
+             for r in fingerprint.fingerprints(docs(rows)).collect()}
+    expected = plain_fingerprints(rows)
+    assert {i: f[:2] for i, f in found.items()} == {i: e[:2] for i, e in expected.items()}
+    assert all(found[i][2:] == pytest.approx(expected[i][2:]) for i in expected)
+
+
+def test_lexicon_of_a_table_and_its_copies(docs, table):
+    """Ten copies of every document change no fingerprint: the band is of shares."""
+    rows = [(r["doc_id"], r["text"]) for r in table("documents").limit(60).collect()]
+    once = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(docs(rows)).collect()}
+    many = fingerprint.fingerprints(docs([(10 * i + k, t) for i, t in rows for k in range(10)])).collect()
+    assert {r["doc_id"]: r["fingerprint"] for r in many} == {10 * i + k: once[i] for i, _ in rows for k in range(10)}
+
+
 def test_fingerprints_of_odd_rows(docs, odd):
     found = fingerprint.fingerprints(docs(odd, extra=("bucket", "hashes", "edited"))).collect()
     assert len(found) == len(odd)
