@@ -84,6 +84,11 @@ def threshold(scored: DataFrame) -> float:
     return float((steps["step"].iloc[at] + 1 + following) / 2 * SCORE_STEP)
 
 
+def url_key(url: Column) -> Column:
+    """A 128-bit digest, which stands for a URL of any length beside each of its grams."""
+    return F.unhex(F.md5(url.cast("binary")))
+
+
 def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """id, host, path, rule, verdict, score of every row.
 
@@ -100,17 +105,17 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RU
     rows = rows.withColumn("rule", name).withColumn("ruled", verdict)
     urls = rows.select(F.coalesce("url", F.lit("")).alias("url"), F.col("ruled").alias("verdict")).groupBy("url").agg(
         F.first("verdict").alias("verdict"), F.count(F.lit(1)).cast("double").alias("n"))
-    urls = urls.withColumn("held", F.pmod(F.xxhash64("url", F.lit(5)), F.lit(CALIBRATION_SHARE)) == 0)
+    urls = urls.withColumn("key", url_key(F.col("url"))).withColumn("held", F.pmod(F.xxhash64("url", F.lit(5)), F.lit(CALIBRATION_SHARE)) == 0)
     urls = materialize(urls.withColumn("grams", contexts(F.col("url"))), "urls")
     grams = urls.select(F.explode("grams").alias("gram"), "verdict", "held", "n")
     taught = materialize(grams.groupBy("gram").agg(*[
         F.sum(F.when((F.col("verdict") == v) & ~F.col("held"), F.col("n")).otherwise(0.0)).alias(c) for v, c in (("allow", "good"), ("block", "bad"))]), "grams")
     ratios = materialize(log_ratios(taught.filter("good > 0 or bad > 0"), taught), "ratios")
-    summed = urls.select("url", F.explode("grams").alias("gram")).groupBy("url", "gram").count().join(ratios, "gram").groupBy("url").agg(
+    summed = urls.select("key", F.explode("grams").alias("gram")).groupBy("key", "gram").count().join(ratios, "gram").groupBy("key").agg(
         (F.sum(F.col("count") * F.col("ratio")) / F.sum("count")).alias("score"))
-    scored = materialize(urls.select("url", "verdict", "held").join(summed, "url"), "scores")
+    scored = materialize(urls.select("key", "verdict", "held").join(summed, "key"), "scores")
     limit = threshold(scored.filter("held and verdict is not null"))
-    judged = rows.withColumn("_url", F.coalesce("url", F.lit(""))).join(scored.select(F.col("url").alias("_url"), "score"), "_url")
+    judged = rows.withColumn("key", url_key(F.coalesce("url", F.lit("")))).join(scored.select("key", "score"), "key")
     return judged.select(
         F.col("id").alias(id_col), "host", "path", "rule",
         F.coalesce("ruled", F.when(F.col("score") > limit, F.lit("allow")).otherwise(F.lit("block"))).alias("verdict"), "score")

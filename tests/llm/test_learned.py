@@ -183,6 +183,28 @@ def test_rules(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_urls_of_every_kind(spark, table):
+    """A very long URL, repeated rows, NULL ids and urls, and columns with the names used inside."""
+    import time
+
+    rows = [(r["page_id"], r["url"]) for r in table("pages").limit(120).collect()]
+    odd = [(None, rows[0][1]), (None, None), (5000, rows[1][1]), (5000, rows[1][1]), (5001, ""), (5002, "data:" + "x%20" * 25_000),
+           (5003, "http://a.example/" + "é" * 30_000)]
+    names = ["score", "grams", "ruled", "key", "host", "id", "verdict"]
+    schema = "page_id long, url string, " + ", ".join(f"{n} string" for n in names)
+    df = spark.createDataFrame([(*r, *names) for r in rows + odd], schema)
+    start = time.perf_counter()
+    found = url_filter.judge(df).collect()
+    assert time.perf_counter() - start < 60
+    assert Counter(r["page_id"] for r in found) == Counter(i for i, _ in rows + odd)
+    assert {r["verdict"] for r in found} <= {"allow", "block"} and all(r["score"] is not None for r in found)
+    scores = {}
+    for r in found:
+        scores.setdefault((r["host"], r["path"], r["page_id"]), set()).add(r["score"])
+    assert len({r["score"] for r in found if r["page_id"] == 5000}) == 1
+    assert next(r for r in found if r["page_id"] == 5003)["path"] == "/" + "é" * 30_000
+
+
 def test_url_scores_match_brute_force(spark, table):
     pages = table("pages").select("page_id", "url")
     found = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
