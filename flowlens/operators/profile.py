@@ -216,9 +216,13 @@ def redundant_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0.
 
 
 def target_correlation(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    target = is_attack().cast("double")
-    row = df.agg(*[F.corr(F.col(c).cast("double"), target).alias(c) for c in features])
-    return row.unpivot([], list(features), "feature", "r")
+    """Pearson r of each feature with being an attack; NaN where either does not vary, NULL without rows.
+
+    Spark's own ``corr`` divides by zero there, for instance where all flows are Benign.
+    """
+    rows = df.select(is_attack().alias("_attack"), *[F.col(c).alias(c) for c in features])
+    pairs = correlation_matrix(rows, ["_attack", *features])
+    return pairs.filter(F.col("feature_b") == "_attack").select(F.col("feature_a").alias("feature"), "r")
 
 
 def skewed_features(df: DataFrame, features: Sequence[str], threshold: float = 5.0) -> DataFrame:

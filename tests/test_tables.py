@@ -206,3 +206,17 @@ def test_correlations_are_pairwise_complete(spark):
     assert [r["r"] for r in P.correlation_matrix(df.limit(0), ["a", "b"]).collect()] == [None]
     assert {(r["feature_a"], r["feature_b"]) for r in P.redundant_pairs(df, list("abcf")).collect()} == {("b", "a")} | (
         {("c", "a")} if abs(found["c", "a"]) > 0.95 else set()) | ({("c", "b")} if abs(found["c", "b"]) > 0.95 else set())
+
+
+@pytest.mark.parametrize("rows, expected", [
+    ([("Benign", 1.0, 5.0), ("Benign", 2.0, 6.0)], {"a": math.nan, "b": math.nan}),
+    ([("Botnet", 1.0, 5.0)] * 49, {"a": math.nan, "b": math.nan}),
+    ([("Benign", 1.0, 5.0), ("Botnet", 2.0, 5.0), ("Botnet", 4.0, None)], {"a": math.sqrt(4 / 7), "b": math.nan}),
+    ([("Benign", 1.0, None)], {"a": math.nan, "b": None}),
+    ([], {"a": None, "b": None}),
+])
+def test_target_correlation_without_variation(spark, rows, expected):
+    """One class only, a constant feature, a single row and no rows: NaN or NULL as in the check SQL, and no error."""
+    df = spark.createDataFrame(rows, "label string, a double, b double").repartition(3)
+    found = {r["feature"]: r["r"] for r in P.target_correlation(df, ["a", "b"]).collect()}
+    assert found == {k: None if r is None else pytest.approx(r, nan_ok=True) for k, r in expected.items()}
