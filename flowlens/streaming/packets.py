@@ -87,13 +87,25 @@ def label_and_triage(scored: DataFrame, attack_log: DataFrame) -> DataFrame:
     return batch_triage(apply_labels(scored, attack_log))
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Process everything available, append to Parquet, and read the result back."""
-    query = (
-        stream.writeStream.outputMode("append").format("parquet")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+def run_available(stream: DataFrame, path: str, checkpoint: str, more: bool = False) -> DataFrame:
+    """Process everything available, append to Parquet, and read the result back.
+
+    Another run on the same checkpoint goes on with what has come since. With ``more`` to come, the query
+    ends without the closing batch that has no rows: a mark closes minutes in the batch after the one that
+    moved it, and rows behind it are late in the batch after that.
+    """
+    conf, closing = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    given = conf.get(closing)
+    if more:
+        conf.set(closing, "false")
+    try:  # a query keeps the settings it was started with
+        query = (
+            stream.writeStream.outputMode("append").format("parquet")
+            .option("path", path).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        conf.set(closing, given)
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
